@@ -27,6 +27,27 @@ def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table(rows, "doc_id", SHARDS, SHARDS + 1).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, held_out, predict
+
+    docs = load(spark, sf_dir, "documents")
+    model = fit(docs.where(~held_out()))
+    return predict(docs.select("doc_id", "text", held_out().alias("held_out")), model).drop("text")
+
+
+def op7_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multiset_hash import edited_fingerprints
+
+    return edited_fingerprints(load(spark, sf_dir, "documents"))
+
+
+def op9_wav_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media_columns import media_columns
+
+    facts = media_columns(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "facts.*")
+    return facts.withColumn("feature", F.concat_ws(",", F.col("landmarks").cast("array<string>"))).drop("landmarks")
+
+
 def op8_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .best_fit_pack import pack_documents
 
@@ -34,8 +55,11 @@ def op8_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op3_jump_shards": op3_jump_shards,
+    "op7_multiset_hash": op7_multiset_hash,
     "op8_best_fit_pack": op8_best_fit_pack,
+    "op9_wav_landmarks": op9_wav_landmarks,
 }
 
 ORACLES: dict[str, str] = {}

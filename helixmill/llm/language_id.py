@@ -26,8 +26,9 @@ DIMS = 4096
 ORDERS = (1, 2, 3, 4)
 PER_LANGUAGE = 500
 CENTROIDS = 4
-#: A text is rejected beyond this part of the lowest cosine that all but one in a thousand fitted texts reach.
-SLACK = 0.5
+#: A text is rejected below this part of the cosine that all but one in a thousand fitted texts reach. Both are
+#: taken relative to what so few n-grams can reach: the square root of their share of the usual number.
+SLACK = 0.4
 ROWS = 512
 
 
@@ -81,15 +82,21 @@ class LanguageModel:
     owner: np.ndarray
     limit: np.ndarray
     names: list[str]
+    usual: float
 
     def vectors(self, c: np.ndarray) -> np.ndarray:
         return unit(np.log1p(c) * self.idf)
 
-    def nearest(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the language and cosine of each row of counts."""
+    def nearest(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the language, cosine, and whether it is too far, of each row of counts."""
         cos = self.vectors(c) @ self.centroids.T
         best = cos.argmax(axis=1)
-        return self.owner[best], cos[np.arange(len(cos)), best].clip(0, 1)
+        which, top = self.owner[best], cos[np.arange(len(cos)), best].clip(0, 1)
+        return which, top, top < self.limit[which] * reach(c, self.usual)
+
+
+def reach(c: np.ndarray, usual: float) -> np.ndarray:
+    return np.sqrt(np.minimum((c > 0).sum(axis=1) / usual, 1))
 
 
 def fit(train: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CENTROIDS) -> LanguageModel | None:
@@ -118,8 +125,9 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CENT
     x = unit(np.log1p(c) * idf)
     parts = [spherical_means(x[lang == j], clusters) for j in range(len(names))]
     owner = np.repeat(np.arange(len(names)), [len(p) for p in parts])
-    limit = np.array([SLACK * np.quantile((x[lang == j] @ p.T).max(axis=1), 0.001) for j, p in enumerate(parts)])
-    return LanguageModel(idf, np.concatenate(parts).astype(np.float32), owner, limit, names)
+    usual = float(np.median((c > 0).sum(axis=1)))
+    limit = np.array([SLACK * np.quantile((x[lang == j] @ p.T).max(axis=1) / reach(c[lang == j], usual), 0.001) for j, p in enumerate(parts)])
+    return LanguageModel(idf, np.concatenate(parts).astype(np.float32), owner, limit, names, usual)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
@@ -134,10 +142,10 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             for k in range(0, part.num_rows, ROWS):
                 t = part.column("t").slice(k, ROWS)
                 ok = has_letter(t) if model else np.zeros(len(t), bool)
-                which, cos = model.nearest(counts(t)) if model else (np.zeros(len(t), int), np.zeros(len(t)))
+                which, cos, far = model.nearest(counts(t)) if model else (np.zeros(len(t), int), np.zeros(len(t)), ~ok)
                 names += [model.names[w] if y else "und" for w, y in zip(which, ok, strict=True)]
                 scores.append(np.where(ok, cos, 0.0))
-                rejects.append(~ok | (cos < model.limit[which]) if model else ~ok)
+                rejects.append(~ok | far)
         flat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), flat(scores, pa.float64()), flat(rejects, pa.bool_())], names=["lang_pred", "score", "rejected"])
 

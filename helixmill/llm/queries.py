@@ -19,6 +19,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii_bootstrap import find, report
+
+    return report(find(load(spark, sf_dir, "documents")))
+
+
 def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jump_shards import shard_table
 
@@ -56,6 +62,7 @@ def op8_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_pii_bootstrap": op2_pii_bootstrap,
     "op3_jump_shards": op3_jump_shards,
     "op7_multiset_hash": op7_multiset_hash,
     "op8_best_fit_pack": op8_best_fit_pack,

@@ -41,6 +41,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text", held_out().alias("held_out")), model).drop("text")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similar_groups
+
+    return similar_groups(load(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op7_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .multiset_hash import edited_fingerprints
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pii_bootstrap": op2_pii_bootstrap,
     "op3_jump_shards": op3_jump_shards,
+    "op4_ngram_join": op4_ngram_join,
     "op7_multiset_hash": op7_multiset_hash,
     "op8_best_fit_pack": op8_best_fit_pack,
     "op9_wav_landmarks": op9_wav_landmarks,

@@ -1,11 +1,75 @@
-"""Corpus pipeline: the stages of a training-data run over ``documents``."""
+"""Corpus pipeline over ``documents``: each stage works on all that the one before kept.
 
+1. language ID: rows that the language model rejects go; ``lang`` becomes the predicted language.
+2. n-gram Jaccard join: of each group of documents with similar word shingles (five words, 0.8) the smallest id stays.
+3. substring dedup: passages that an earlier document holds are cut out; documents that lose all their words go.
+4. PII: identifiers are replaced by their kind.
+5. best-fit packing: the token pieces of all documents with their places in sequences of 4096 tokens.
+
+Stages 1 to 4 return the columns of ``documents``; rows with null or wordless texts are rejected by stage 1.
+Repeated rows are copies of each other and leave one row."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from helixmill.llm import best_fit_pack, language_id, ngram_join, paragraph_dedup, pii_bootstrap
+from helixmill.llm.common import Scratch
+from helixmill.llm.queries import CAPACITY, tokenizer_path
+
+#: SQL can't express the stages; tests/llm holds them against brute-force versions.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
+def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``docs`` with n_chars of its text as it is now."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    told = language_id.predict(docs, model).where(~F.col("rejected"))
+    return told.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = ngram_join.similar_groups(docs.select("doc_id", "text"))
+    # rows without an id are kept as they are, but for repeated ones
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = Scratch(spark, "similar").keep(gone, "gone")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    own = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang", "n_chars"))
+    return kept.withColumn("_copy", own).where("_copy = 1").drop("_copy")
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return counted(paragraph_dedup.without_passages(docs), docs.columns)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return counted(pii_bootstrap.redact(docs), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return best_fit_pack.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), CAPACITY)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_join", join_similar),
+    ("paragraph_dedup", cut_passages),
+    ("pii_bootstrap", redact_pii),
+    ("best_fit_pack", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    scratch = Scratch(spark, "pipeline")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = scratch.keep(docs, name)
     return docs

@@ -47,6 +47,12 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(load(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .paragraph_dedup import passages
+
+    return passages(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .multiset_hash import edited_fingerprints
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii_bootstrap": op2_pii_bootstrap,
     "op3_jump_shards": op3_jump_shards,
     "op4_ngram_join": op4_ngram_join,
+    "op6_paragraph_dedup": op6_paragraph_dedup,
     "op7_multiset_hash": op7_multiset_hash,
     "op8_best_fit_pack": op8_best_fit_pack,
     "op9_wav_landmarks": op9_wav_landmarks,

@@ -300,7 +300,8 @@ def families(links: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame
     """(block, node) of larger buckets that the links so far leave apart: a family where that costs less than its buckets."""
     wide = links.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("hub").alias("hub")).where(F.col("n") >= SMALL)
     member = links.join(wide.select("sig"), "sig").select("sig", "node").unionByName(wide.select("sig", F.col("hub").alias("node"))).distinct()
-    member = member.join(labels, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("label"))
+    member = scratch.keep(member, "wide")
+    member = scratch.keep(member.join(labels, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("label")), "labelled")
     apart = member.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("x <> y").select("sig", "n", "first")
     member = scratch.keep(member.select("sig", "node").join(apart, "sig"), "apart")
     family = scratch.keep(components(member.select(F.col("node").alias("a"), F.col("first").alias("b")), scratch, "families"), "family")
@@ -356,7 +357,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     several = member.where("rep is not null").groupBy("node").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
     bridges = member.join(several, "node").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     labels = components(first.unionByName(second).unionByName(bridges), scratch, "components")
-    scratch.drop("texts", "links", "blocks", "apart")
+    scratch.drop("texts", "links", "blocks", "apart", "wide", "labelled")
     out = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = lambda c: F.when(c < NAMELESS, c)
     return out.select(named(F.col("node")).alias("doc_id"), "n_shingles", named(F.coalesce("component", "rep", "node")).alias("component_id"))

@@ -47,6 +47,21 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(load(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_forest import findings, frequent_words, labelled_findings, train
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    words = frequent_words(docs)
+    told = findings(docs, train(labelled_findings(spark), words), words)
+    return told.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), F.round("probability", 6).alias("probability"), "is_secret")
+
+
+def op10_piece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_fst import piece_facts
+
+    return piece_facts(load(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .paragraph_dedup import passages
 
@@ -77,10 +92,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii_bootstrap": op2_pii_bootstrap,
     "op3_jump_shards": op3_jump_shards,
     "op4_ngram_join": op4_ngram_join,
+    "op5_secret_forest": op5_secret_forest,
     "op6_paragraph_dedup": op6_paragraph_dedup,
     "op7_multiset_hash": op7_multiset_hash,
     "op8_best_fit_pack": op8_best_fit_pack,
     "op9_wav_landmarks": op9_wav_landmarks,
+    "op10_piece_fst": op10_piece_fst,
 }
 
 ORACLES: dict[str, str] = {}

@@ -1,4 +1,6 @@
 """Named queries of the engine, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import sequence_plans  # noqa: F401
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

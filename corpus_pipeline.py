@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from helixmill.llm import best_fit_pack, language_id, ngram_join, paragraph_dedup, pii_bootstrap
-from helixmill.llm.common import Scratch
+from helixmill.llm.common import Scratch, carried, restored
 from helixmill.llm.queries import CAPACITY, tokenizer_path
 
 #: SQL can't express the stages; tests/llm holds them against brute-force versions.
@@ -30,8 +30,9 @@ def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.where(~language_id.held_out()))
-    told = language_id.predict(docs, model).where(~F.col("rejected"))
-    return told.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    rows = carried(docs, "text")
+    told = language_id.predict(rows, model).where(~F.col("rejected"))
+    return restored(told, docs.columns, lang=F.col("lang_pred"))
 
 
 def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +40,9 @@ def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     # rows without an id are kept as they are, but for repeated ones
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     gone = Scratch(spark, "similar").keep(gone, "gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    own = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang", "n_chars"))
-    return kept.withColumn("_copy", own).where("_copy = 1").drop("_copy")
+    kept = carried(docs, "doc_id", F.xxhash64("text").alias("_text")).join(gone, "doc_id", "left_anti")
+    own = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("_row.source", "_row.lang", "_row.n_chars"))
+    return restored(kept.withColumn("_copy", own).where("_copy = 1"), docs.columns)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,6 +49,17 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def carried(df: DataFrame, *others: Column | str) -> DataFrame:
+    """All columns as one struct ``_row``, so that no name of theirs can clash, and ``others`` beside it."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *others)
+
+
+def restored(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of a carried table again; ``new`` ones take the place of those of their name or follow."""
+    kept = [(new[c] if c in new else F.col(f"_row.`{c}`")).alias(c) for c in columns]
+    return df.select(*kept, *(x.alias(c) for c, x in new.items() if c not in columns))
+
+
 def id_chunk(doc_id: str = "doc_id", spread: str | None = None, width: int = 16384) -> Column:
     """Groups of neighbouring ids: at most ``width`` distinct ids each. Null ids are spread by a hash."""
     other = F.xxhash64(F.col(spread)) if spread else F.lit(0).cast("long")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, id_chunk
+from .common import carried, gapless_rank, id_chunk, restored
 
 STEP = np.uint64(2862933555777941757)
 
@@ -40,7 +40,11 @@ def jump_shard(key: Column, shards: int) -> Column:
 
 
 def shard_table(df: DataFrame, key: str, shards: int, grow_to: int | None = None) -> DataFrame:
-    """Adds ``shard``, gapless ``slot`` within it by ascending key, and ``grown_shard`` for ``grow_to`` shards."""
-    out = df.withColumn("shard", jump_shard(F.col(key), shards)).withColumn("grown_shard", jump_shard(F.col(key), grow_to or shards + 1))
-    order = [F.col(key), *(F.col(c) for c in df.columns if c != key)]
-    return gapless_rank(out, ["shard"], id_chunk(key), order, "slot")
+    """Adds ``shard``, gapless ``slot`` within it by ascending key, and ``grown_shard`` for ``grow_to`` shards.
+
+    Columns that had these names are replaced. Equal keys are ordered by the other columns (but for maps)."""
+    own = F.col(f"`{key}`")
+    rows = carried(df, own.alias("_key"), jump_shard(own, shards).alias("_shard"), jump_shard(own, grow_to or shards + 1).alias("_grown"))
+    order = [F.col("_key"), *(F.col(f"_row.`{f.name}`") for f in df.schema if f.name != key and "map<" not in f.dataType.simpleString())]
+    ranked = gapless_rank(rows, ["_shard"], id_chunk("_key"), order, "_slot")
+    return restored(ranked, df.columns, shard=F.col("_shard"), slot=F.col("_slot"), grown_shard=F.col("_grown"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices
+from .common import carried, restored, slices
 
 DIMS = 4096
 ORDERS = (1, 2, 3, 4)
@@ -131,9 +131,7 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CENT
 
 
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """Adds ``lang_pred``, ``score`` and ``rejected`` to doc_id, text and any other columns of ``docs``."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    docs = docs.select(*kept)
+    """Adds ``lang_pred``, ``score`` and ``rejected`` to the columns of ``docs``; columns that had these names are replaced."""
 
     @F.arrow_udf("lang_pred string, score double, rejected boolean")
     def told(v: pa.Array) -> pa.Array:
@@ -149,7 +147,8 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
         flat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), flat(scores, pa.float64()), flat(rejects, pa.bool_())], names=["lang_pred", "score", "rejected"])
 
-    return docs.withColumn("_told", told(F.col("text"))).select(*kept, "_told.*")
+    rows = carried(docs, told(F.col("text")).alias("_told"))
+    return restored(rows, docs.columns, **{c: F.col(f"_told.{c}") for c in ("lang_pred", "score", "rejected")})
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import carried, restored
+
 UNIT = 64
 RATE = 8000
 FRAME = 512
@@ -115,5 +117,7 @@ def text_of_media(media: Column, n_bytes: Column) -> Column:
 
 
 def media_columns(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``n_bytes``, ``media`` and ``facts``."""
-    return df.withColumn("n_bytes", F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long")).withColumn("media", wav_media(F.col(text))).withColumn("facts", wav_facts(F.col("media")))
+    """Adds ``n_bytes``, ``media`` and ``facts``; columns that had these names are replaced."""
+    own = F.col(f"`{text}`")
+    rows = carried(df, F.octet_length(F.coalesce(own, F.lit(""))).cast("long").alias("_n"), wav_media(own).alias("_media"))
+    return restored(rows.withColumn("_facts", wav_facts(F.col("_media"))), df.columns, n_bytes=F.col("_n"), media=F.col("_media"), facts=F.col("_facts"))

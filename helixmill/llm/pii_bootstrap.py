@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, carried, restored
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -163,8 +163,9 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span replaced by its kind in angle brackets; overlapping spans by the first one's. Nulls stay."""
     found = find(docs).select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.array_sort(F.concat("base", "added")).alias("_spans")).where(F.size("_spans") > 0).distinct()
     found = Scratch(docs.sparkSession, "redact").keep(found, "spans")
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(found, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    text = F.col("text")
+    rows = carried(docs, F.col("text").alias("_text"), F.col("doc_id").alias("_doc"), F.xxhash64("doc_id", "text").alias("_key"))
+    rows = rows.join(found, (F.col("_key") == F.col("_k")) & F.col("_doc").eqNullSafe(F.col("_id")), "left")
+    text = F.col("_text")
     done = F.aggregate(
         F.col("_spans"),
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
@@ -174,4 +175,4 @@ def redact(docs: DataFrame) -> DataFrame:
         ),
     )
     clean = F.when(F.col("_spans").isNull(), text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text))))
-    return rows.withColumn("text", clean).select(*docs.columns)
+    return restored(rows, docs.columns, text=clean)

@@ -12,6 +12,7 @@ one instance; the joins are on written tables without texts."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,35 +22,56 @@ from pyspark.sql.window import Window
 from .common import Scratch, carried, restored
 
 KINDS = ("email", "ip", "card", "phone")
+#: Loops are possessive, and matches begin where a run or the last match ends, so that long runs cost no stack and no
+#: quadratic time; the matches are those of the plain patterns.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
-    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
-    "card": r"[0-9]([\x20-]?[0-9])+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A cheap sign that a text may hold the kind.
 SIGN = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-CANDIDATE = r"\+?[0-9(][0-9().\x20-]{5,}[0-9]|[A-Za-z0-9._%+-]++(@|\x20at\x20|\x20?\(at\)\x20?)[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*"
+CANDIDATE = r"(?<![0-9])\+?[0-9(][0-9().\x20-]{5,30}[0-9](?![0-9])|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+|(?:\x20at\x20|\x20?\(at\)\x20?)[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)"
 ROUNDS = 3
 SEEDS = 3
 CONFIDENT = 0.9
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
-def located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value, before, after>> of the leftmost non-overlapping matches, in code points."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rows = F.transform(found, lambda m, i: F.struct(m.alias("value"), F.char_length(F.get(gaps, i)).alias("gap"), F.char_length(m).alias("size"), F.get(gaps, i).alias("before"), F.get(gaps, i + 1).alias("after")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>").alias("out"))
-    walked = F.aggregate(
-        rows,
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["size"]).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("end"), x["value"].alias("value"), F.right(x["before"], F.lit(64)).alias("before"), F.substring(x["after"], 1, 64).alias("after"))).alias("out"),
-        ),
-    )
-    return walked["out"]
+PLACES = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+#: Matches are gathered in blocks of so many, as an array grows by copying.
+BLOCK = 128
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once: what a lambda takes from outside is worked out for every element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def located(text: Column, pattern: str, kept: Callable[[Column], Column]) -> Column:
+    """array<struct<start, end, value, before, after>> of those leftmost non-overlapping matches whose value is ``kept``.
+
+    Places are code points: the lengths of the gaps and the matches are added up."""
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+
+    def rows(z: Column) -> Column:
+        after = F.slice(z["gaps"], F.lit(2), F.size(z["found"]))
+        one = F.zip_with(z["found"], F.slice(z["gaps"], F.lit(1), F.size(z["found"])), lambda m, g: F.struct(m.alias("value"), F.char_length(g).alias("gap"), F.char_length(m).alias("size"), F.right(g, F.lit(64)).alias("before"), kept(m).alias("kept")))
+        return F.zip_with(one, after, lambda x, g: F.struct(x["value"], x["gap"], x["size"], x["before"], x["kept"], F.substring(g, 1, 64).alias("after")))
+
+    empty = F.array().cast(PLACES)
+
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + x["gap"]
+        place = F.struct(at.alias("start"), (at + x["size"]).alias("end"), x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after"))
+        full = F.size(acc["block"]) >= BLOCK
+        block = F.when(~x["kept"], acc["block"]).when(full, F.array(place)).otherwise(F.array_append(acc["block"], place))
+        return F.struct((at + x["size"]).alias("at"), F.when(x["kept"] & full, F.array_append(acc["blocks"], acc["block"])).otherwise(acc["blocks"]).alias("blocks"), block.alias("block"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{PLACES}>").alias("blocks"), empty.alias("block"))
+    walked = bound(both, lambda z: F.aggregate(rows(z), start, step, lambda acc: F.flatten(F.array_append(acc["blocks"], acc["block"]))))
+    return F.coalesce(walked, empty)
 
 
 def digits(value: Column) -> Column:
@@ -79,7 +101,7 @@ def base_spans(text: Column) -> Column:
     none = F.array().cast(SPAN)
 
     def of(rank: int, kind: str) -> Column:
-        kept = F.filter(located(text, PATTERNS[kind]), lambda x: valid(kind, x["value"]))
+        kept = located(text, PATTERNS[kind], lambda value: F.coalesce(valid(kind, value), F.lit(False)))
         spans = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")))
         return F.when(text.rlike(SIGN[kind]), spans).otherwise(none)
 
@@ -87,17 +109,17 @@ def base_spans(text: Column) -> Column:
 
 
 def shape(value: Column) -> Column:
-    """Digits as 9 (short runs as one) and letters as a."""
-    nines = F.regexp_replace(F.regexp_replace(value, "[A-Za-z]+", "a"), "[0-9]", "9")
-    return F.regexp_replace(nines, "(?<!9)9{1,3}(?!9)", "9")
+    """Digits as 9 (short runs as one); all addresses have one shape."""
+    nines = F.regexp_replace(value, "[0-9]", "9")
+    return F.when(value.rlike("[A-Za-z@]"), "a@a").otherwise(F.regexp_replace(nines, "(?<!9)9{1,3}(?!9)", "9"))
 
 
 def candidates(text: Column) -> Column:
     """array<struct<start, end, value, shape, left, right>>: runs that look like a number or an address."""
     word = lambda c, p: F.regexp_replace(F.lower(F.regexp_extract(c, p, 1)), "[0-9]", "")
-    kept = F.filter(located(text, CANDIDATE), lambda x: (F.length(digits(x["value"])) >= 7) | ~x["value"].rlike("^[0-9().+ -]*$"))
+    kept = located(text, CANDIDATE, lambda value: (F.length(digits(value)) >= 7) | ~value.rlike("^[0-9().+ -]*$"))
     rows = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), shape(x["value"]).alias("shape"), word(x["before"], r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$").alias("left"), word(x["after"], r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)").alias("right")))
-    return F.when(text.rlike("[0-9@]"), rows).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,shape:string,left:string,right:string>>"))
+    return F.when(text.rlike(r"[0-9@]|\(at\)|\x20at\x20[A-Za-z0-9-]+\.[A-Za-z0-9]"), rows).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,shape:string,left:string,right:string>>"))
 
 
 def span_text(spans: Column) -> Column:

@@ -186,15 +186,14 @@ def c14_paired_stem_mutants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "c15_crossover",
-    "WITH {S}, {G}, a AS (SELECT s.sample_idx, seq, loop_end, lead(seq) OVER (ORDER BY s.sample_idx) AS other FROM s JOIN g ON s.sample_idx = g.sample_idx WHERE s.sample_idx < 200) SELECT sample_idx, CASE WHEN loop_end > 0 AND loop_end < length(seq) AND loop_end < length(other) THEN substr(seq, 1, loop_end) || substr(other, loop_end + 1) END AS child FROM a WHERE other IS NOT NULL",
+    "WITH {S}, {G}, a AS (SELECT s.sample_idx, s.seq, loop_end, o.seq AS other FROM s JOIN g ON s.sample_idx = g.sample_idx JOIN s o ON o.sample_idx = s.sample_idx + 1) SELECT sample_idx, CASE WHEN loop_end > 0 AND loop_end < length(seq) AND loop_end < length(other) THEN substr(seq, 1, loop_end) || substr(other, loop_end + 1) END AS child FROM a",
 )
 def c15_crossover(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.mutation import crossover
 
-    rows = with_geometry(sequences(spark, sf_dir).where("sample_idx < 200")).where("geom is not null").select("sample_idx", "seq", F.col("geom.loop_end").alias("cut"))
-    from pyspark.sql.window import Window
-
-    pairs = rows.withColumn("other", F.lead("seq").over(Window.orderBy("sample_idx"))).where("other is not null")
+    rows = sequences(spark, sf_dir).select("sample_idx", "seq")
+    mates = rows.select((F.col("sample_idx") - 1).alias("sample_idx"), F.col("seq").alias("other"))
+    pairs = with_geometry(rows.join(mates, "sample_idx")).where("geom is not null").withColumn("cut", F.col("geom.loop_end"))
     return crossover(pairs, "seq", "other", "cut").select("sample_idx", "child")
 
 

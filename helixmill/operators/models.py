@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -32,8 +33,6 @@ def fit_powers(df: DataFrame, columns: list[str], powers: tuple[float, ...] = PO
     row = df.agg(*sums).first()
     out = {}
     for i, c in enumerate(columns):
-        import math
-
         like = [(-0.5 * math.log(v) + (p - 1) * row[f"j{i}"] if (v := row[f"v{i}_{k}"]) and v > 1e-12 else -math.inf, p) for k, p in enumerate(powers)]
         best = max(like)
         out[c] = best[1] if best[0] > -math.inf else 1.0
@@ -99,6 +98,10 @@ def out_of_fold(df: DataFrame, fold: str, folds: int, stack: Callable[[], Stack]
 
 def scored_once(df: DataFrame, sequence: str, score: Callable[[pd.Series], pd.Series], name: str = "score") -> DataFrame:
     """Adds a batch scorer's value; each distinct sequence is scored once. The hook for foreign models."""
-    hook = F.pandas_udf(score, "double")
+
+    @F.pandas_udf("double")
+    def hook(batch: pd.Series) -> pd.Series:
+        return score(batch)
+
     told = df.select(sequence).distinct().withColumn(name, hook(F.col(sequence)))
     return df.join(told, sequence, "left")

@@ -132,3 +132,14 @@ def write_manifest(spark: SparkSession, path: str, facts: dict) -> None:
     """A JSON file of facts about a run, through the file system that the path names."""
     row = spark.createDataFrame([(json.dumps(json_safe(facts), sort_keys=True),)], "value string")
     row.coalesce(1).write.mode("overwrite").text(path)
+
+
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder that the session names; a temporary one only where it names none."""
+    import tempfile
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="helixmill-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return root

@@ -114,13 +114,19 @@ def robust_scale(column: str) -> Column:
     return F.when(iqr > 1e-12, iqr).when(sd > 1e-12, sd).otherwise(1.0)
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Aggregate: Pearson's correlation, null where a column is constant (``corr`` raises there in ANSI mode)."""
+    spread = F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b))
+    return F.try_divide(F.covar_pop(a, b), F.when(spread > 0, spread))
+
+
 def regression_metrics(actual: str, predicted: str) -> list[Column]:
     """Aggregates: R2, Pearson, RMSE, MAE (null where an input is constant)."""
     a, p = F.col(actual), F.col(predicted)
     spread = F.var_pop(a)
     return [
         (1.0 - F.try_divide(F.avg((a - p) * (a - p)), F.when(spread > 0, spread))).alias("r2"),
-        F.when((spread > 0) & (F.var_pop(p) > 0), F.corr(a, p)).alias("pearson_r"),
+        correlation(a, p).alias("pearson_r"),
         F.sqrt(F.avg((a - p) * (a - p))).alias("rmse"),
         F.avg(F.abs(a - p)).alias("mae"),
     ]
@@ -130,7 +136,7 @@ def spearman(df: DataFrame, a: str, b: str, keys: tuple[str, ...] = (), name: st
     """Rank correlation of two columns by keys, over rows where both are there."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b)
     ranked = average_ranks(average_ranks(both, a, "_ra", keys), b, "_rb", keys)
-    some = F.when((F.var_pop("_ra") > 0) & (F.var_pop("_rb") > 0), F.corr("_ra", "_rb")).alias(name)
+    some = correlation(F.col("_ra"), F.col("_rb")).alias(name)
     return ranked.groupBy(*keys).agg(some, F.count(F.lit(1)).alias("n"))
 
 

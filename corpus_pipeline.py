@@ -30,9 +30,8 @@ def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.where(~language_id.held_out()))
-    rows = carried(docs, "text")
-    told = language_id.predict(rows, model).where(~F.col("rejected"))
-    return restored(told, docs.columns, lang=F.col("lang_pred"))
+    told = carried(docs, language_id.tell(F.col("text"), model).alias("_told")).where(~F.col("_told.rejected"))
+    return restored(told, docs.columns, lang=F.col("_told.lang_pred"))
 
 
 def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

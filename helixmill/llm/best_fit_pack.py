@@ -28,6 +28,8 @@ from .common import Scratch, gapless_rank, id_chunk, slices
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Entries of a worker's word cache before it starts anew; affects speed only.
 CACHE = 250_000
+#: Words that the library encodes at once: its results are many times larger than the ids.
+STEP = 8192
 SPECIAL = r"(?i)<\|(startoftext|endoftext)\|>"
 #: A run of ASCII signs after a letter or digit and before white space is a token group of its own.
 TAIL = r"([0-9A-Za-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~]+)([\t-\r ]|$)"
@@ -52,7 +54,7 @@ class WordEncoder:
         self.n = 0
 
     def add(self, words: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        got = [e.ids for k in range(0, len(words), STEP) for e in self.tokenizer.encode_batch_fast(words[k : k + STEP], add_special_tokens=False)]
         lens = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter((i for g in got for i in g), np.uint32, int(lens.sum()))
         end = int(self.off[self.n])

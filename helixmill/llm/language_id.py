@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,7 +29,9 @@ CENTROIDS = 4
 #: A text is rejected below this part of the cosine that all but one in a thousand fitted texts reach. Both are
 #: taken relative to what so few n-grams can reach: the square root of their share of the usual number.
 SLACK = 0.4
-ROWS = 512
+#: Rows and bytes that are counted at once.
+ROWS = 256
+BLOCK = 1 << 20
 
 
 def counts(texts: pa.Array) -> np.ndarray:
@@ -37,20 +39,23 @@ def counts(texts: pa.Array) -> np.ndarray:
     n = len(texts)
     clean = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}]+", " ")
     size = pc.binary_length(clean).to_numpy(zero_copy_only=False).astype(np.int64)
-    raw = np.frombuffer(b"".join(clean.cast(pa.binary()).to_pylist()), np.uint8).astype(np.uint32)
-    row = np.repeat(np.arange(n, dtype=np.int64), size)
+    raw = np.frombuffer(b"".join(clean.cast(pa.binary()).to_pylist()), np.uint8)
+    row = np.repeat(np.arange(n, dtype=np.int32), size)
     out = np.zeros(n * DIMS)
     for order in ORDERS:
-        if len(raw) < order:
-            break
-        m = len(raw) - order + 1
-        code = np.zeros(m, np.uint32)
-        for k in range(order):
-            code = (code << np.uint32(8)) | raw[k : k + m]
-        whole = row[:m] == row[order - 1 :]
-        code = code[whole] + np.uint32(order)
-        code = ((code ^ (code >> np.uint32(15))) * np.uint32(2654435761)) >> np.uint32(20)
-        out += np.bincount(row[:m][whole] * DIMS + code, minlength=n * DIMS)
+        for a in range(0, len(raw) - order + 1, BLOCK):
+            m = min(BLOCK, len(raw) - order + 1 - a)
+            code = np.zeros(m, np.uint32)
+            for k in range(order):
+                code = (code << np.uint32(8)) | raw[a + k : a + k + m]
+            first = row[a : a + m]
+            whole = first == row[a + order - 1 : a + order - 1 + m]
+            code = code[whole] + np.uint32(order)
+            code = ((code ^ (code >> np.uint32(15))) * np.uint32(2654435761)) >> np.uint32(20)
+            first = first[whole]
+            if len(first):  # rows are in order
+                low, high = int(first[0]), int(first[-1]) + 1
+                out[low * DIMS : high * DIMS] += np.bincount((first - low).astype(np.int64) * DIMS + code, minlength=(high - low) * DIMS)
     return out.reshape(n, DIMS).astype(np.float32)
 
 
@@ -108,7 +113,7 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CENT
     sample = rows.select("doc_id", "text", "lang").join(F.broadcast(few.distinct()), ["doc_id", "lang"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", BLOCK):
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
                 letters = has_letter(part.column("text"))
@@ -130,13 +135,13 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CENT
     return LanguageModel(idf, np.concatenate(parts).astype(np.float32), owner, limit, names, usual)
 
 
-def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """Adds ``lang_pred``, ``score`` and ``rejected`` to the columns of ``docs``; columns that had these names are replaced."""
+def tell(text: Column, model: LanguageModel | None) -> Column:
+    """struct<lang_pred, score, rejected> of a text."""
 
     @F.arrow_udf("lang_pred string, score double, rejected boolean")
     def told(v: pa.Array) -> pa.Array:
         names, scores, rejects = [], [], []
-        for part in slices(iter([pa.RecordBatch.from_arrays([v], ["t"])]), "t"):
+        for part in slices(iter([pa.RecordBatch.from_arrays([v], ["t"])]), "t", BLOCK):
             for k in range(0, part.num_rows, ROWS):
                 t = part.column("t").slice(k, ROWS)
                 ok = has_letter(t) if model else np.zeros(len(t), bool)
@@ -147,7 +152,12 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
         flat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), flat(scores, pa.float64()), flat(rejects, pa.bool_())], names=["lang_pred", "score", "rejected"])
 
-    rows = carried(docs, told(F.col("text")).alias("_told"))
+    return told(text)
+
+
+def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """Adds ``lang_pred``, ``score`` and ``rejected`` to the columns of ``docs``; columns that had these names are replaced."""
+    rows = carried(docs, tell(F.col("text"), model).alias("_told"))
     return restored(rows, docs.columns, **{c: F.col(f"_told.{c}") for c in ("lang_pred", "score", "rejected")})
 
 

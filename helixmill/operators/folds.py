@@ -2,27 +2,51 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.statistics import value_ranges
+
 
 def shuffled_order(*parts: Column | str) -> Column:
     """A reproducible random order: the digest of the parts (seed first, id last)."""
     return F.md5(F.concat_ws("|", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts)))
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column | str], name: str, part: str) -> DataFrame:
+    """Adds 1, 2, ... within keys by the column ``part``, which is dropped, and then ``order``.
+
+    Counts by key and part are summed first, so that no window holds more than one part of a key. Null keys are a key."""
+    by = [*keys, part]
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    sums = F.sum("_n").over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), F.coalesce(sums, F.lit(0)).alias("_before"))
+    within = df.withColumn("_within", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)))
+    out = within.join(before, same).withColumn(name, F.col("_before") + F.col("_within"))
+    return out.drop(part, "_within", "_before", *(f"_k{i}" for i in range(len(by))))
+
+
+def shuffled(df: DataFrame, keys: list[str], digest: Column, tie: str, name: str) -> DataFrame:
+    """Adds 1, 2, ... within keys in the order of a digest, whose first signs deal rows out evenly."""
+    dealt = df.withColumn("_digest", digest)
+    return numbered(dealt.withColumn("_part", F.substring("_digest", 1, 2)), keys, ["_digest", tie], name, "_part").drop("_digest")
+
+
 def stratified_folds(df: DataFrame, strata: str, key: str, seeds: list[int], folds: int = 5) -> DataFrame:
     """One row per seed and row: ``fold`` deals each stratum out in shuffled order."""
     many = df.withColumn("seed", F.explode(F.array(*(F.lit(s) for s in seeds))))
-    order = Window.partitionBy("seed", strata).orderBy(shuffled_order(F.col("seed"), F.col(key)), key)
-    return many.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int"))
+    out = shuffled(many, ["seed", strata], shuffled_order(F.col("seed"), F.col(key)), key, "_n")
+    return out.withColumn("fold", ((F.col("_n") - 1) % folds).cast("int")).drop("_n")
 
 
 def permuted(df: DataFrame, key: str, columns: list[str], group: list[str], salt: list[Column | str]) -> DataFrame:
-    """Columns permuted together within groups: natural and shuffled row numbers are paired."""
-    natural = df.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(key)))
-    mixed = df.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(shuffled_order(*salt, F.col(key)), key)))
+    """Columns permuted together within groups: natural (numeric key) and shuffled row numbers are paired."""
+    natural = numbered(value_ranges(df, key, "_part"), group, [key], "_n", "_part")
+    mixed = shuffled(df, group, shuffled_order(*salt, F.col(key)), key, "_n")
     other = mixed.select(*group, "_n", *(F.col(c).alias(f"{c}_permuted") for c in columns))
     return natural.join(other, [*group, "_n"]).drop("_n")
 

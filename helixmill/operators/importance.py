@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .folds import shuffled_order
+from ..functions.statistics import value_ranges
+from .folds import numbered, shuffled, shuffled_order
 
 Scorer = Callable[[dict[str, Column]], Column]
 
@@ -17,11 +17,11 @@ def permutation_deltas(df: DataFrame, key: str, fold: str, groups: dict[str, lis
     """(fold, group, permutation, baseline, delta): RMSE gained when a group's features are permuted together in a fold.
 
     Each condition pairs natural and shuffled row numbers, so all conditions are one join and two sums."""
-    natural = df.withColumn("_n", F.row_number().over(Window.partitionBy(fold).orderBy(key)))
+    natural = numbered(value_ranges(df, key, "_part"), [fold], [key], "_n", "_part")
     condition = F.explode(F.array(*(F.struct(F.lit(g).alias("group"), F.lit(p).alias("permutation")) for g in groups for p in range(1, permutations + 1))))
     many = df.select(key, fold, *features).withColumn("_c", condition).select("*", "_c.group", "_c.permutation").drop("_c")
-    order = Window.partitionBy(fold, "group", "permutation").orderBy(shuffled_order(seed, F.col("group"), F.col("permutation"), F.col(key)), key)
-    mixed = many.withColumn("_n", F.row_number().over(order)).select(fold, "group", "permutation", "_n", *(F.col(f).alias(f"_{f}") for f in features))
+    digest = shuffled_order(seed, F.col("group"), F.col("permutation"), F.col(key))
+    mixed = shuffled(many, [fold, "group", "permutation"], digest, key, "_n").select(fold, "group", "permutation", "_n", *(F.col(f).alias(f"_{f}") for f in features))
     both = natural.join(mixed, [fold, "_n"])
     own = {f: F.col(f) for f in features}
     swapped = {f: F.when(F.col("group").isin([g for g, fs in groups.items() if f in fs]), F.col(f"_{f}")).otherwise(F.col(f)) for f in features}

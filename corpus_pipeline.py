@@ -38,7 +38,7 @@ def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     groups = ngram_join.similar_groups(docs.select("doc_id", "text"))
     # rows without an id are kept as they are, but for repeated ones
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    gone = Scratch(spark, "similar").keep(gone, "gone")
+    gone = Scratch(spark, "similar").keep(gone, "gone", free=True)
     kept = carried(docs, "doc_id", F.xxhash64("text").alias("_text")).join(gone, "doc_id", "left_anti")
     own = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("_row.source", "_row.lang", "_row.n_chars"))
     return restored(kept.withColumn("_copy", own).where("_copy = 1"), docs.columns)
@@ -71,5 +71,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = scratch.keep(docs, name)
+            docs = scratch.keep(docs, name, free=True)
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,9 +38,14 @@ class Scratch:
         self.spark = spark
         self.path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, label: str) -> DataFrame:
+    def keep(self, df: DataFrame, label: str, free: bool = False) -> DataFrame:
+        """Writes a table and reads it again. With ``free``, shuffle files of the jobs so far may go at once: the table
+        stands for them, but Spark's cleaner removes them only when the driver collects its garbage."""
         where = f"{self.path}/{label}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(where)
+        if free:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, *labels: str) -> None:

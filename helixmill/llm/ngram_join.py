@@ -156,8 +156,8 @@ class Plan:
         return np.concatenate(rows), np.concatenate(sigs), np.concatenate(less)
 
 
-def set_table(rows: DataFrame, words: int, plan: Plan) -> DataFrame:
-    """(node, n_shingles, k1, k2, sigs): sizes, keys of sets, and signatures with a last bit of 1 where a shingle is left out."""
+def set_table(rows: DataFrame, words: int) -> DataFrame:
+    """(node, n_shingles, k1, k2): sizes and keys of sets."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -169,14 +169,23 @@ def set_table(rows: DataFrame, words: int, plan: Plan) -> DataFrame:
             np.add.at(one, row, mix64(flat + np.uint64(1)))
             np.add.at(two, row, mix64(flat ^ MULT))
             one, two = mix64(one + size.astype(np.uint64)), mix64(two ^ one)
-            r, s, d = plan.signatures(flat, starts)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(size.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["node", "n_shingles", "k1", "k2"])
+
+    return rows.mapInArrow(walk, "node long, n_shingles long, k1 long, k2 long")
+
+
+def signature_table(texts: DataFrame, words: int, plan: Plan) -> DataFrame:
+    """(node, sigs): signatures with a last bit of 1 where a shingle is left out. They outweigh texts, so none is stored."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            r, s, d = plan.signatures(*shingle_sets(batch.column("text"), words))
             order = np.argsort(r, kind="stable")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=n))]).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=batch.num_rows))]).astype(np.int32)
             s = ((s[order] << np.uint64(1)) | d[order].astype(np.uint64)).view(np.int64)
-            sigs = pa.ListArray.from_arrays(pa.array(ends), pa.array(s))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(size.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), sigs], ["node", "n_shingles", "k1", "k2", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(s))], ["node", "sigs"])
 
-    return rows.mapInArrow(walk, "node long, n_shingles long, k1 long, k2 long, sigs array<long>")
+    return texts.select("node", "text").mapInArrow(walk, "node long, sigs array<long>")
 
 
 def buckets(reps: DataFrame) -> DataFrame:
@@ -341,18 +350,16 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "ngram")
     rows = nodes(docs)
-    sets = scratch.keep(set_table(rows, words, Plan(percent, docs.count())), "sets")
-    full = sets.where("n_shingles > 0")
-    classes = scratch.keep(full.groupBy("k1", "k2").agg(F.min("node").alias("rep")), "classes")
-    reps = full.join(classes, ["k1", "k2"]).where("node = rep").select("node", "sigs")
-    links = scratch.keep(buckets(reps), "links")
+    sets = scratch.keep(set_table(rows, words), "sets")
+    classes = scratch.keep(sets.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("node").alias("rep")), "classes")
     member = scratch.keep(sets.select("node", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").select("node", "n_shingles", "rep"), "member")
+    reps = classes.select(F.col("rep").alias("node")).distinct()
+    texts = scratch.keep(rows.join(reps.hint("shuffle_hash"), "node", "left_semi"), "texts", free=True)
     scratch.drop("sets", "classes")
-    needed = links.select("node").unionByName(links.select(F.col("hub").alias("node"))).distinct()
-    texts = scratch.keep(rows.join(needed.hint("shuffle_hash"), "node", "left_semi"), "texts")
-    first = scratch.keep(verified(small_pairs(links), texts, words, percent), "first")
-    blocks = scratch.keep(families(links, components(first, scratch, "first_components"), scratch), "blocks")
-    second = scratch.keep(tiled(blocks, texts, words, percent), "second")
+    links = scratch.keep(buckets(signature_table(texts, words, Plan(percent, docs.count()))), "links", free=True)
+    first = scratch.keep(verified(small_pairs(links), texts, words, percent), "first", free=True)
+    blocks = scratch.keep(families(links, components(first, scratch, "first_components"), scratch), "blocks", free=True)
+    second = scratch.keep(tiled(blocks, texts, words, percent), "second", free=True)
     # an id in several classes joins them
     several = member.where("rep is not null").groupBy("node").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
     bridges = member.join(several, "node").select(F.col("rep").alias("a"), F.col("low").alias("b"))

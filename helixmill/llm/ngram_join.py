@@ -58,7 +58,8 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(m, np.uint64)
     for k in range(words):
         shifted = np.zeros(m, np.uint64)
-        shifted[: m - k] = np.where(row[k:] == row[: m - k], h[k:], np.uint64(0)) if k else h
+        left = max(0, m - k)
+        shifted[:left] = np.where(row[k:] == row[:left], h[k:], np.uint64(0)) if k else h
         total = total * MULT + shifted
     size = np.maximum(count - words + 1, np.minimum(count, 1))
     use = place < np.repeat(size, count)

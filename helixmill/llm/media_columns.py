@@ -53,12 +53,17 @@ def from_wav(media: bytes) -> bytes:
         return f.readframes(f.getnframes())
 
 
+def framed(samples: bytes) -> np.ndarray:
+    """Frames of 8-bit samples. Silence follows until the last sample lies in a frame, before the frame's end, where the window is zero."""
+    x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
+    whole = FRAME + max(0, -(-(len(x) + 1 - FRAME) // HOP)) * HOP
+    x = np.concatenate([x, np.zeros(whole - len(x), np.float32)])
+    return np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+
+
 def landmarks(samples: bytes) -> np.ndarray:
     """Time-coded peak pairs of 8-bit samples."""
-    x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.zeros(FRAME - len(x), np.float32)])
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+    frames = framed(samples)
     bins, power = [], []
     for k in range(0, len(frames), BLOCK):
         spectrum = np.abs(np.fft.rfft(frames[k : k + BLOCK] * WINDOW, axis=1))

@@ -38,12 +38,24 @@ def mismatches(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str],
     return both.where(F.col("_here").isNull() | F.col("_there").isNull() | far).select(*keys)
 
 
+#: Rows of a tile, about.
+TILE = 4096
+
+
+def tile_count(queries: DataFrame, points: DataFrame, block: str | None, least: int) -> int:
+    """Parts into which the largest block is dealt so that none holds much over TILE rows."""
+    on = [block] if block else []
+    most = max(df.groupBy(*on).count().agg(F.max("count")).first()[0] or 0 for df in (queries, points))
+    return max(least, -(-most // TILE))
+
+
 def nearest(queries: DataFrame, points: DataFrame, key: str, vector: str, exclude_self: bool = False, block: str | None = None, tiles: int = 8, name: str = "nn_distance") -> DataFrame:
     """(key, distance) of each query's nearest point, exactly: query tiles meet point tiles, as matrix products.
 
-    ``block`` compares within equal values alone. Points are dealt into ``tiles`` parts, so a task holds one part
-    of each side; raise it with the data. A least distance per query and tile is all that is shuffled."""
+    ``block`` compares within equal values alone. Rows are dealt into ``tiles`` parts, more for large tables, so a task
+    holds one part of about TILE rows of each side. A least distance per query and tile is all that is shuffled."""
     on = [block] if block else []
+    tiles = tile_count(queries, points, block, tiles)
     deal = lambda df, side: df.select(F.col(key).alias("_k"), F.col(vector).alias("_v"), *on, F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int").alias("_own"), F.lit(side).alias("_side"))
     numbers = F.array(*(F.lit(k) for k in range(tiles)))
     q = deal(queries, 0).withColumn("_other", F.explode(numbers)).withColumn("_tile", F.col("_own") * tiles + F.col("_other")).drop("_own", "_other")

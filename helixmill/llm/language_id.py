@@ -152,7 +152,8 @@ def tell(text: Column, model: LanguageModel | None) -> Column:
         flat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), flat(scores, pa.float64()), flat(rejects, pa.bool_())], names=["lang_pred", "score", "rejected"])
 
-    return told(text)
+    # so marked, a filter on the result doesn't make the planner work it out a second time
+    return told.asNondeterministic()(text)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,15 +20,20 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set."""
+    """The shared folder of the session. Only a local session that names none, as in tests, gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="helixmill-")
-        spark.sparkContext.setCheckpointDir(root)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="helixmill-"))
         root = spark.sparkContext.getCheckpointDir()
     return root
 
 
+#: Spark's setting that removes a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Written tables that cut lineage: any executor can read them again after another is lost.
 
@@ -38,14 +43,15 @@ class Scratch:
         self.spark = spark
         self.path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, label: str, free: bool = False) -> DataFrame:
-        """Writes a table and reads it again. With ``free``, shuffle files of the jobs so far may go at once: the table
-        stands for them, but Spark's cleaner removes them only when the driver collects its garbage."""
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """Writes a table and reads it again. As it stands for its shuffles, their files go at once."""
         where = f"{self.path}/{label}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(where)
-        if free:
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(where)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, *labels: str) -> None:

@@ -4,10 +4,12 @@ Equal sets form a class first; one row of each class goes on. Sizes fall into ba
 band or two neighbours. For each such group the universe of shingles is hashed into segments: if two sets differ in
 at most H shingles, and segments are worth more than H in sum, one segment differs by less than its worth. Most
 segments are worth one (equal subsets meet); where the cost model of the band says so, some are worth two (a subset
-also meets subsets with one shingle fewer: one-deletion neighbourhoods). Groups hold a few segments in reserve, so
-that a set's empty subsets, the most frequent ones, need no index.
+also meets subsets with one shingle fewer: one-deletion neighbourhoods). Groups hold a few segments in reserve: a set
+leaves out as many of its subsets, the empty ones first and then those that most sets share (a frequent line's, say).
+As all sets leave them out in one order, of equal subsets one more than the reserve, the rarest is left out by neither.
 
-What shares a subset is verified exactly on whole texts. Small buckets give all their pairs, larger ones each row's
+What shares a subset is verified exactly on whole texts. A set has hundreds of subsets, so no subset makes up a large share of
+the index, and those of a bucket stream by in order. Small buckets give all their pairs, larger ones each row's
 pair with the first; what the links so found leave apart in larger buckets is compared family by family, in
 square tiles of bounded size. Only links that join something new are kept.
 
@@ -28,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, mix64, slices
 from .graph import components
@@ -37,11 +40,18 @@ from .multiset_hash import word_hashes
 NAMELESS = 1 << 60
 #: Buckets up to this size give all their pairs.
 SMALL = 4
-#: Rows on each side of a tile.
+#: For the cost of segments: the share of shingles that many sets hold, and rows of the index that a pair to verify is worth.
+FREQUENT = 0.1
+PAIR = 30
+#: Rows on each side of a tile, and shingles of its texts, about.
 TILE = 256
+TILE_SHINGLES = 1 << 20
 #: Rows that meet one other row in a task; beyond, it is copied to more tasks.
 MEET = 2000
 MULT = np.uint64(0x9E3779B97F4A7C15)
+#: Marks of a signature: a shingle is left out; its segment is worth two; it is of the lower band. SPARE is the most that
+#: is noted of a reserve.
+LESS, TWICE, ROLE, SPARE = 1, 2, 4, 4000
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,10 +92,10 @@ class Group:
 
 
 class Plan:
-    """Bands and groups for a similarity of ``percent`` in a hundred among about ``rows`` sets."""
+    """Bands and groups for a similarity of ``percent`` in a hundred."""
 
-    def __init__(self, percent: int, rows: int):
-        self.percent, self.rows = percent, rows
+    def __init__(self, percent: int):
+        self.percent = percent
         self.lows = [1]
         self.groups: list[Group | None] = []
 
@@ -96,7 +106,7 @@ class Plan:
             self.groups.append(self.allocate(len(self.groups)))
 
     def allocate(self, band: int) -> Group | None:
-        """The cheapest worths: rows of the index, and pairs that share a frequent subset by chance."""
+        """The cheapest worths: rows of the index, and pairs to verify as all shingles of a subset are frequent ones."""
         low, top = self.lows[band], self.lows[band + 1] - 1
         total = top + top * 100 // self.percent
         differ = total * (100 - self.percent) // (100 + self.percent)
@@ -109,21 +119,23 @@ class Plan:
             single = need + (reserve if need else 0)
             m = single + double
             mean = (low + top) / 2 / m
-            chance = double * math.exp(-2 * mean) * (1 + 2 * mean) + single * math.exp(-2 * mean) * (1 if single * math.exp(-mean) > reserve / 2 else 0.01)
-            cost = single + double * (1 + mean) + self.rows * chance
+            empty, plain = math.exp(-mean), math.exp(-mean * (1 - FREQUENT))
+            by_chance = max(0.0, single * plain - reserve) + double * plain * (1 + mean)
+            cost = single * (1 - empty) + double * (1 + mean) + PAIR * by_chance
             if cost < least:
                 best, least = Group(m, double, reserve), cost
         return best
 
     def signatures(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, signature, 1 where a shingle is left out) of all sets."""
+        """(row, signature, marks) of all sets. Marks: LESS, TWICE, ROLE, and what is left of the reserve above them."""
         size = np.diff(starts)
+        none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int16)
         if not len(flat):
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
+            return none
         self.grow(int(size.max()))
         band = np.searchsorted(self.lows, size, side="right") - 1
         row_of, weight = np.repeat(np.arange(len(size)), size), mix64(flat + np.uint64(77))
-        rows, sigs, less = [], [], []
+        rows, sigs, marks = [], [], []
         for role in (0, 1):
             group = band - role
             has = np.array([g >= 0 and n > 0 and self.groups[g] is not None for g, n in zip(group, size, strict=True)])
@@ -142,19 +154,20 @@ class Plan:
             domain = mix64((group[cell_row].astype(np.uint64) << np.uint64(32)) + segment.astype(np.uint64) + np.uint64(1))
             twice = segment < double[cell_row]
             empty = (count == 0) & ~twice
-            spare = np.bincount(cell_row[empty], minlength=len(size)) <= reserve
-            keep = ~(empty & spare[cell_row])
+            # empty subsets are left out in the order of their segments, as many as the reserve allows
+            before = np.concatenate([[0], np.cumsum(empty)])
+            nth = before[:-1] - before[base[cell_row]]
+            keep = ~(empty & (nth < reserve[cell_row]))
+            left = np.clip(reserve - np.bincount(cell_row[empty], minlength=len(size)), 0, SPARE)
             rows.append(cell_row[keep])
             sigs.append(mix64(sums[keep] * MULT ^ domain[keep]))
-            less.append(np.zeros(int(keep.sum()), np.int8))
+            marks.append((TWICE * twice[keep] + ROLE * role + (left[cell_row[keep]] << 3)).astype(np.int16))
             d = twice[cell]
             if d.any():
                 rows.append(r[d])
                 sigs.append(mix64((sums[cell[d]] - w[d]) * MULT ^ domain[cell[d]]))
-                less.append(np.ones(int(d.sum()), np.int8))
-        if not rows:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
-        return np.concatenate(rows), np.concatenate(sigs), np.concatenate(less)
+                marks.append(np.full(int(d.sum()), LESS + TWICE + ROLE * role, np.int16))
+        return (np.concatenate(rows), np.concatenate(sigs), np.concatenate(marks)) if rows else none
 
 
 def set_table(rows: DataFrame, words: int) -> DataFrame:
@@ -176,47 +189,61 @@ def set_table(rows: DataFrame, words: int) -> DataFrame:
 
 
 def signature_table(texts: DataFrame, words: int, plan: Plan) -> DataFrame:
-    """(node, sigs): signatures with a last bit of 1 where a shingle is left out. They outweigh texts, so none is stored."""
+    """(sig, marks, node) of all texts. They outweigh texts, so none is stored."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1_000_000):
             r, s, d = plan.signatures(*shingle_sets(batch.column("text"), words))
-            order = np.argsort(r, kind="stable")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=batch.num_rows))]).astype(np.int32)
-            s = ((s[order] << np.uint64(1)) | d[order].astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(s))], ["node", "sigs"])
+            node = batch.column("node").to_numpy()[r]
+            for k in range(0, len(r), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 18)]) for x in (s.view(np.int64), d, node)], ["sig", "marks", "node"])
 
-    return texts.select("node", "text").mapInArrow(walk, "node long, sigs array<long>")
+    return texts.select("node", "text").mapInArrow(walk, "sig long, marks short, node long")
 
 
-def buckets(reps: DataFrame) -> DataFrame:
-    """(sig, hub, node, less, place) of rows that share a signature; the hub is the bucket's first whole subset.
+def members(signatures: DataFrame) -> DataFrame:
+    """(sig, marks, node) of the signatures that more than one row has.
 
     Rows stream by in the order of signatures, so a large bucket is never held."""
-    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = reps.select("node", F.explode("sigs").alias("s")).select(F.shiftright("s", 1).alias("sig"), (F.col("s").bitwiseAND(F.lit(1))).cast("tinyint").alias("less"), "node")
-    rows = rows.repartition(n, "sig").sortWithinPartitions("sig", "less", "node")
+    n = int(signatures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["sig", "marks", "node"]
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hub, hub_less, place = None, 0, 0, 0
+        last, joined = None, False  # the last row waits for the next one
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig, less, node = (batch.column(c).to_numpy() for c in ("sig", "less", "node"))
-            begin = np.ones(len(sig), bool)
-            begin[1:] = sig[1:] != sig[:-1]
-            begin[0] = last is None or sig[0] != last
-            at = np.flatnonzero(begin)
-            run = np.cumsum(begin) - 1
-            head = np.where(run >= 0, at[np.maximum(run, 0)] if len(at) else 0, 0)
-            hubs, hub_lesses = np.where(run >= 0, node[head], hub), np.where(run >= 0, less[head], hub_less)
-            places = np.where(run >= 0, np.arange(len(sig)) - head, place + 1 + np.arange(len(sig)))
-            last, hub, hub_less, place = sig[-1], hubs[-1], hub_lesses[-1], places[-1]
-            keep = (places > 0) & (hub_lesses == 0) & (hubs != node)
+            cols = [batch.column(c).to_numpy() for c in names]
+            if last:
+                cols = [np.concatenate([a, b]) for a, b in zip(last, cols, strict=True)]
+            same = np.zeros(len(cols[0]), bool)
+            same[1:] = cols[0][1:] == cols[0][:-1]
+            same[0] = joined
+            keep = same.copy()
+            keep[:-1] |= same[1:]
+            last, joined = [x[-1:] for x in cols], bool(same[-1])
+            keep[-1] = False
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, hubs, node, less, places)], ["sig", "hub", "node", "less", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in cols], names)
+        if joined:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names)
+
+    rows = signatures.repartition(n, "sig").sortWithinPartitions("sig", "node")
+    return rows.mapInArrow(runs, "sig long, marks short, node long")
+
+
+def buckets(rows: DataFrame) -> DataFrame:
+    """(sig, hub, node, less) of rows that share a signature; the hub is the bucket's first whole subset.
 
-    return rows.mapInArrow(runs, "sig long, hub long, node long, less byte, place long")
+    Each set leaves out those of its signatures that most rows share, as far as its reserve goes."""
+    marks = F.col("marks").cast("int")
+    rows = rows.withColumn("less", marks.bitwiseAND(F.lit(LESS))).withColumn("role", marks.bitwiseAND(F.lit(ROLE))).withColumn("spare", F.when(marks.bitwiseAND(F.lit(TWICE)) == 0, F.shiftright(marks, 3)).otherwise(0))
+    size = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    wide = rows.join(size, "sig")
+    order = Window.partitionBy("node", "role", F.col("spare") > 0).orderBy(F.desc("n"), "sig")
+    kept = wide.withColumn("_r", F.row_number().over(order)).where((F.col("n") < SMALL) | (F.col("_r") > F.col("spare"))).select("sig", "node", "less")
+    hubs = kept.groupBy("sig").agg(F.min(F.struct("less", "node")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1 and h.less = 0").select("sig", F.col("h.node").alias("hub"))
+    return kept.join(hubs, "sig").where("node <> hub").select("sig", "hub", "node", "less")
 
 
 def small_pairs(links: DataFrame) -> DataFrame:
@@ -246,18 +273,18 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     rest = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"), F.lit(1).alias("side"), "b").hint("shuffle_hash").join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "side", "b", "text")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads: list[np.ndarray] = []
-        filled = False
+        now, heads = None, []
         for batch in slices(batches, "text"):
             flat, starts = shingle_sets(batch.column("text"), words)
-            side, a, b = (batch.column(c).to_numpy() for c in ("side", "a", "b"))
+            side, salt, a, b = (batch.column(c).to_numpy() for c in ("side", "salt", "a", "b"))
             good = []
             for i in range(len(side)):
                 own = flat[starts[i] : starts[i + 1]]
+                if now != (a[i], salt[i]):
+                    now, heads = (a[i], salt[i]), []
                 if not side[i]:  # rows that share an id are heads together
-                    heads = [own] if filled else [*heads, own]
-                filled = bool(side[i])
-                if side[i] and any(similar(head, own, percent) for head in heads):
+                    heads.append(own)
+                elif any(similar(head, own, percent) for head in heads):
                     good.append(i)
             if good:
                 yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
@@ -324,9 +351,9 @@ def families(links: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame
     return one.unionByName(parts)
 
 
-def tiled(blocks: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) within blocks: each pair of tiles of a block is a group of at most twice ``TILE`` rows."""
-    count = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+def tiled(blocks: DataFrame, sizes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) within blocks: each pair of tiles of a block is a group of about twice ``TILE`` rows or ``TILE_SHINGLES``."""
+    count = blocks.join(sizes, "node").groupBy("block").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n_shingles") / TILE_SHINGLES)).cast("int").alias("tiles"))
     # dealt out by a hash: groups stay near TILE rows whatever the ids
     dealt = blocks.join(count, "block").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     keyed = dealt.select("block", "node", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("own")).alias("i"), F.greatest(t, F.col("own")).alias("j")))).alias("k"))
@@ -355,17 +382,21 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     classes = scratch.keep(sets.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("node").alias("rep")), "classes")
     member = scratch.keep(sets.select("node", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").select("node", "n_shingles", "rep"), "member")
     reps = classes.select(F.col("rep").alias("node")).distinct()
-    texts = scratch.keep(rows.join(reps.hint("shuffle_hash"), "node", "left_semi"), "texts", free=True)
+    texts = scratch.keep(rows.join(reps.hint("shuffle_hash"), "node", "left_semi"), "texts")
     scratch.drop("sets", "classes")
-    links = scratch.keep(buckets(signature_table(texts, words, Plan(percent, docs.count()))), "links", free=True)
-    first = scratch.keep(verified(small_pairs(links), texts, words, percent), "first", free=True)
-    blocks = scratch.keep(families(links, components(first, scratch, "first_components"), scratch), "blocks", free=True)
-    second = scratch.keep(tiled(blocks, texts, words, percent), "second", free=True)
+    shared = scratch.keep(members(signature_table(texts, words, Plan(percent))), "members")
+    links = scratch.keep(buckets(shared), "links")
+    scratch.drop("members")
+    first = scratch.keep(verified(small_pairs(links), texts, words, percent), "first")
+    blocks = scratch.keep(families(links, components(first, scratch, "first_components"), scratch), "blocks")
+    sizes = member.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
+    second = scratch.keep(tiled(blocks, sizes, texts, words, percent), "second")
+    scratch.drop("texts", "links", "blocks", "apart", "wide", "labelled", "family")
     # an id in several classes joins them
     several = member.where("rep is not null").groupBy("node").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
     bridges = member.join(several, "node").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     labels = components(first.unionByName(second).unionByName(bridges), scratch, "components")
-    scratch.drop("texts", "links", "blocks", "apart", "wide", "labelled")
+    scratch.drop("first", "second")
     out = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = lambda c: F.when(c < NAMELESS, c)
     return out.select(named(F.col("node")).alias("doc_id"), "n_shingles", named(F.coalesce("component", "rep", "node")).alias("component_id"))

@@ -17,5 +17,6 @@ def test_one_short_text_alone(n):
     assert not len(paragraph_dedup.anchors(text)[0])
     h = np.arange(n, dtype=np.uint64)
     for k in (5, 8, 13):
-        total, inside = paragraph_dedup.runs(h, np.zeros(n, int), k)
-        assert len(total) == n and inside.sum() == max(0, n - k + 1)
+        total = paragraph_dedup.window_hash(*paragraph_dedup.rolling(h), np.arange(max(0, n - k + 1)), k)
+        again = paragraph_dedup.window_hash(*paragraph_dedup.rolling(np.append(np.uint64(7), h)), np.arange(1, max(0, n - k + 1) + 1), k)
+        assert len(set(total.tolist())) == max(0, n - k + 1) and (total == again).all()

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, gapless_rank, id_chunk, slices
+from .common import Scratch, gapless_rank, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Entries of a worker's word cache before it starts anew; affects speed only.
@@ -195,7 +195,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
         return pd.DataFrame({"sequence_id": bin_[i] + d // each[i], "offset": used[i] + d % each[i] * n})
 
     order = [F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32")]
-    ranked = gapless_rank(pieces, ["length"], id_chunk("doc_id", "ids_crc32"), order, "_rank")
+    ranked = gapless_rank(pieces, ["length"], order, order, "_rank")
     return ranked.withColumn("_at", place("length", "_rank")).select(*pieces.columns, "_at.sequence_id", "_at.offset")
 
 

@@ -72,17 +72,17 @@ def restored(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     return df.select(*kept, *(x.alias(c) for c, x in new.items() if c not in columns))
 
 
-def id_chunk(doc_id: str = "doc_id", spread: str | None = None, width: int = 16384) -> Column:
-    """Groups of neighbouring ids: at most ``width`` distinct ids each. Null ids are spread by a hash."""
-    other = F.xxhash64(F.col(spread)) if spread else F.lit(0).cast("long")
-    return F.coalesce(F.floor(F.col(doc_id) / F.lit(width)).cast("long"), F.lit(-1).cast("long") - F.pmod(other, F.lit(256)))
+#: Chunks at least that ``gapless_rank`` deals a table's rows into.
+CHUNKS = 256
 
 
-def gapless_rank(df: DataFrame, keys: list[str], chunk: Column, order: list[Column], name: str) -> DataFrame:
+def gapless_rank(df: DataFrame, keys: list[str], dealt: list[Column], order: list[Column], name: str) -> DataFrame:
     """Adds ``name``: 0, 1, 2, ... within ``keys``, by chunk and then ``order``.
 
-    Counts by (keys, chunk) are summed first, so that no window holds more than one chunk of a key."""
-    df = df.withColumn("_chunk", chunk)
+    Chunks are dealt by a hash of ``dealt``, so ids may be sparse, clustered or null. Counts by (keys, chunk) are summed
+    first: no window holds more than one chunk of a key. Only rows that are equal in all of ``dealt`` share a chunk for sure."""
+    chunks = max(CHUNKS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    df = df.withColumn("_chunk", F.pmod(F.xxhash64(*dealt), F.lit(chunks)).cast("int"))
     part = [*keys, "_chunk"]
     before = (
         df.groupBy(*part)

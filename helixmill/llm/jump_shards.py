@@ -1,7 +1,7 @@
 """Sharding by jump consistent hashing: no ring table; an appended shard takes rows only into itself.
 
-Null keys hash like any other value (all to one shard). Repeated rows get slots of their own.
-An empty table gives an empty table. Columns of the input stay as they are."""
+Null keys hash like any other value (all to one shard). Repeated rows and ties get slots of their own.
+An empty table gives an empty table. Columns of the input stay as they are, but for those named like a new one."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, gapless_rank, id_chunk, restored
+from .common import carried, gapless_rank, restored
 
 STEP = np.uint64(2862933555777941757)
 
@@ -40,11 +40,12 @@ def jump_shard(key: Column, shards: int) -> Column:
 
 
 def shard_table(df: DataFrame, key: str, shards: int, grow_to: int | None = None) -> DataFrame:
-    """Adds ``shard``, gapless ``slot`` within it by ascending key, and ``grown_shard`` for ``grow_to`` shards.
+    """Adds ``shard``, gapless ``slot`` within it, and ``grown_shard`` for ``grow_to`` shards.
 
-    Columns that had these names are replaced. Equal keys are ordered by the other columns (but for maps)."""
+    Slots follow chunks by a hash of the row, and within a chunk the key and the other columns (but for maps), so they
+    depend on the rows alone. Columns that had these names are replaced."""
     own = F.col(f"`{key}`")
     rows = carried(df, own.alias("_key"), jump_shard(own, shards).alias("_shard"), jump_shard(own, grow_to or shards + 1).alias("_grown"))
     order = [F.col("_key"), *(F.col(f"_row.`{f.name}`") for f in df.schema if f.name != key and "map<" not in f.dataType.simpleString())]
-    ranked = gapless_rank(rows, ["_shard"], id_chunk("_key"), order, "_slot")
+    ranked = gapless_rank(rows, ["_shard"], order, order, "_slot")
     return restored(ranked, df.columns, shard=F.col("_shard"), slot=F.col("_slot"), grown_shard=F.col("_grown"))

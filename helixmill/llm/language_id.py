@@ -5,11 +5,14 @@ spherical k-means; the nearest centroid by cosine names the language. A text far
 language's limit is rejected (``rejected``), with ``lang_pred`` kept as the nearest language.
 
 Texts that are null or hold no letter get ``und``, score 0 and are rejected. The model is fitted on at most
-``PER_LANGUAGE`` labelled rows of each language, those with the smallest hash of their id; every text is predicted
-as a whole. With no labelled row, every text is ``und``."""
+``PER_LANGUAGE`` different labelled rows of each language (and ``FITTED`` in all), those with the smallest hash of id and
+text; every text is predicted as a whole. With no labelled row there is no model: every text is ``und`` with score 0, and
+those with letters are not rejected. Of centroids at equal cosine the first language by name is taken. Repeated rows get
+equal results, empty tables give empty ones, and columns that had the names of new ones are replaced."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +28,8 @@ from .common import carried, restored, slices
 DIMS = 4096
 ORDERS = (1, 2, 3, 4)
 PER_LANGUAGE = 500
+#: Rows that a model is fitted on at most; more languages than this are refused.
+FITTED = 20_000
 CENTROIDS = 4
 #: A text is rejected below this part of the cosine that all but one in a thousand fitted texts reach. Both are
 #: taken relative to what so few n-grams can reach: the square root of their share of the usual number.
@@ -107,10 +112,14 @@ def reach(c: np.ndarray, usual: float) -> np.ndarray:
 def fit(train: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CENTROIDS) -> LanguageModel | None:
     """A model from the rows (doc_id, text, lang) of ``train``; rows without text or lang don't count."""
     rows = train.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    key = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_key", "doc_id"))
-    few = rows.select("doc_id", "lang", key.alias("_key")).withColumn("_r", rank).where(F.col("_r") <= per_language).select("doc_id", "lang")
-    sample = rows.select("doc_id", "text", "lang").join(F.broadcast(few.distinct()), ["doc_id", "lang"], "left_semi")
+    rows = rows.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("_key"))
+    size = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(FITTED + 1).collect()}
+    if len(size) > FITTED:
+        raise ValueError(f"more than {FITTED} languages are labelled")
+    if not size:
+        return None
+    few = first_keys(rows, size, min(per_language, FITTED // len(size)))
+    sample = rows.join(F.broadcast(few), ["lang", "_key"], "left_semi").dropDuplicates(["lang", "_key"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BLOCK):
@@ -135,6 +144,25 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CENT
     return LanguageModel(idf, np.concatenate(parts).astype(np.float32), owner, limit, names, usual)
 
 
+def first_keys(rows: DataFrame, size: dict[str, int], most: int) -> DataFrame:
+    """(lang, _key) of the ``most`` smallest different keys of each language, of which there are FITTED at most in all.
+
+    Keys are hashes, evenly spread, so one below a language's bound is among so few that a window can hold them. Copies of a
+    row count once; a language whose bound leaves too few keys has its bound raised."""
+    room = {lang: min(1.0, 4.0 * most / n) for lang, n in size.items()}
+    while True:
+        bounds = [(lang, (1 << 63) - 1 if share >= 1 else int(share * (1 << 64)) - (1 << 63)) for lang, share in room.items()]
+        limits = F.broadcast(rows.sparkSession.createDataFrame(bounds, "lang string, _bound long"))  # one row for each language
+        keys = rows.join(limits, "lang").where("_key <= _bound").select("lang", "_key").distinct()
+        order = Window.partitionBy("lang").orderBy("_key")
+        got = [(r[0], r[1]) for r in keys.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).select("lang", "_key").collect()]
+        have = Counter(lang for lang, _ in got)
+        short = [lang for lang in room if have[lang] < most and room[lang] < 1]
+        if not short:
+            return rows.sparkSession.createDataFrame(got, "lang string, _key long")
+        room |= {lang: min(1.0, 16 * room[lang]) for lang in short}
+
+
 def tell(text: Column, model: LanguageModel | None) -> Column:
     """struct<lang_pred, score, rejected> of a text."""
 
@@ -144,9 +172,9 @@ def tell(text: Column, model: LanguageModel | None) -> Column:
         for part in slices(iter([pa.RecordBatch.from_arrays([v], ["t"])]), "t", BLOCK):
             for k in range(0, part.num_rows, ROWS):
                 t = part.column("t").slice(k, ROWS)
-                ok = has_letter(t) if model else np.zeros(len(t), bool)
-                which, cos, far = model.nearest(counts(t)) if model else (np.zeros(len(t), int), np.zeros(len(t)), ~ok)
-                names += [model.names[w] if y else "und" for w, y in zip(which, ok, strict=True)]
+                ok = has_letter(t)
+                which, cos, far = model.nearest(counts(t)) if model else (np.zeros(len(t), int), np.zeros(len(t)), np.zeros(len(t), bool))
+                names += [model.names[w] if y and model else "und" for w, y in zip(which, ok, strict=True)]
                 scores.append(np.where(ok, cos, 0.0))
                 rejects.append(~ok | far)
         flat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)

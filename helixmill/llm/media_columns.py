@@ -5,8 +5,10 @@ back and gives its digests and landmarks: short-time Fourier transform, the stro
 each frame where it exceeds its neighbours in time, and pairs of each peak with the ones that follow it,
 stored as an array of time-coded integers (frame << 24 | first bin << 15 | second bin << 6 | frames between).
 
-Null texts count as empty; the payload is padded with zero bytes to a positive multiple of 64. Equal texts
-give equal values. Long texts are transformed in blocks of frames, so memory stays bounded."""
+Null texts count as empty; the payload is padded with zero bytes to a positive multiple of 64. Equal texts and repeated
+rows give equal values; of bins with equal power the lower one is a frame's peak. Empty tables give empty tables. Columns
+that had the names of new ones are replaced. A text's bytes, its file and what is read back are held at once; the transform
+works in blocks of ``BLOCK`` frames."""
 
 from __future__ import annotations
 
@@ -30,6 +32,8 @@ BANDS = ((1, 48), (48, 257))
 FAN = 2
 SPAN = 63
 BLOCK = 2048
+#: The sample of no sound.
+SILENCE = 128
 WINDOW = np.hanning(FRAME).astype(np.float32)
 FACTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, landmarks array<long>"
 
@@ -55,9 +59,9 @@ def from_wav(media: bytes) -> bytes:
 
 def framed(samples: bytes) -> np.ndarray:
     """Frames of 8-bit samples. Silence follows until the last sample lies in a frame, before the frame's end, where the window is zero."""
-    x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
+    x = np.frombuffer(samples, np.uint8)
     whole = FRAME + max(0, -(-(len(x) + 1 - FRAME) // HOP)) * HOP
-    x = np.concatenate([x, np.zeros(whole - len(x), np.float32)])
+    x = np.concatenate([x, np.full(whole - len(x), SILENCE, np.uint8)])
     return np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
 
 
@@ -66,7 +70,7 @@ def landmarks(samples: bytes) -> np.ndarray:
     frames = framed(samples)
     bins, power = [], []
     for k in range(0, len(frames), BLOCK):
-        spectrum = np.abs(np.fft.rfft(frames[k : k + BLOCK] * WINDOW, axis=1))
+        spectrum = np.abs(np.fft.rfft((frames[k : k + BLOCK].astype(np.float32) - SILENCE) * WINDOW, axis=1))
         best = [spectrum[:, a:b].argmax(axis=1) + a for a, b in BANDS]
         bins.append(np.stack(best, axis=1))
         power.append(np.stack([spectrum[np.arange(len(spectrum)), b] for b in best], axis=1))

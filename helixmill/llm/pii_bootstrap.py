@@ -7,9 +7,9 @@ takes the best score of the patterns that hold enough seeds. After a few rounds
 patterns are added as spans of that kind, wherever they occur and overlap no base span.
 
 Null texts count as empty: no spans. Repeated rows have the same spans each. Positions are code points, end
-exclusive. A text's kept matches are gathered by a fold, which takes time with their square: 4,000 in one text take
-seconds, 16,000 half a minute. Instances and patterns are summed before they meet, so a frequent word or a text copied many times is
-one instance; the joins are on written tables without texts."""
+exclusive. Ties between kinds go to the later name. Empty tables give empty ones. Neighbouring words are looked for in
+``CONTEXT`` code points on each side. Instances and patterns are summed before they meet, so a frequent word or a text copied
+many times is one instance; the joins are on written tables without texts."""
 
 from __future__ import annotations
 
@@ -33,7 +33,7 @@ PATTERNS = {
 }
 #: A cheap sign that a text may hold the kind.
 SIGN = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-CANDIDATE = r"(?<![0-9])\+?[0-9(][0-9().\x20-]{5,30}[0-9](?![0-9])|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+|(?:\x20at\x20|\x20?\(at\)\x20?)[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)"
+CANDIDATE = r"(?<![0-9])\+?[0-9(][0-9().\x20-]{5,}[0-9](?![0-9])|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+|(?:\x20at\x20|\x20?\(at\)\x20?)[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)"
 ROUNDS = 3
 SEEDS = 3
 CONFIDENT = 0.9
@@ -43,6 +43,8 @@ SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 PLACES = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 #: Matches are gathered in blocks of so many, as an array grows by copying.
 BLOCK = 128
+#: Code points before and after a match in which its neighbouring words are looked for.
+CONTEXT = 64
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -53,25 +55,31 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 def located(text: Column, pattern: str, kept: Callable[[Column], Column]) -> Column:
     """array<struct<start, end, value, before, after>> of those leftmost non-overlapping matches whose value is ``kept``.
 
-    Places are code points: the lengths of the gaps and the matches are added up."""
+    Places are code points: the lengths of the gaps and the matches are added up, within each block of matches from what the
+    blocks before it sum to, so time grows with the matches."""
     both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    empty = F.array().cast(PLACES)
 
     def rows(z: Column) -> Column:
         after = F.slice(z["gaps"], F.lit(2), F.size(z["found"]))
-        one = F.zip_with(z["found"], F.slice(z["gaps"], F.lit(1), F.size(z["found"])), lambda m, g: F.struct(m.alias("value"), F.char_length(g).alias("gap"), F.char_length(m).alias("size"), F.right(g, F.lit(64)).alias("before"), kept(m).alias("kept")))
-        return F.zip_with(one, after, lambda x, g: F.struct(x["value"], x["gap"], x["size"], x["before"], x["kept"], F.substring(g, 1, 64).alias("after")))
+        one = F.zip_with(z["found"], F.slice(z["gaps"], F.lit(1), F.size(z["found"])), lambda m, g: F.struct(m.alias("value"), F.char_length(g).alias("gap"), F.char_length(m).alias("size"), F.right(g, F.lit(CONTEXT)).alias("before"), kept(m).alias("kept")))
+        return F.zip_with(one, after, lambda x, g: F.struct(x["value"], x["gap"], x["size"], x["before"], x["kept"], F.substring(g, 1, CONTEXT).alias("after")))
 
-    empty = F.array().cast(PLACES)
+    def blocks(all_rows: Column) -> Column:
+        count = F.ceil(F.size(all_rows) / F.lit(BLOCK)).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(all_rows, b * BLOCK + 1, F.lit(BLOCK)))
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["at"] + x["gap"]
         place = F.struct(at.alias("start"), (at + x["size"]).alias("end"), x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after"))
-        full = F.size(acc["block"]) >= BLOCK
-        block = F.when(~x["kept"], acc["block"]).when(full, F.array(place)).otherwise(F.array_append(acc["block"], place))
-        return F.struct((at + x["size"]).alias("at"), F.when(x["kept"] & full, F.array_append(acc["blocks"], acc["block"])).otherwise(acc["blocks"]).alias("blocks"), block.alias("block"))
+        return F.struct((at + x["size"]).alias("at"), F.when(x["kept"], F.array_append(acc["block"], place)).otherwise(acc["block"]).alias("block"))
+
+    def places(dealt: Column) -> Column:
+        sizes = F.transform(dealt, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + x["size"]))
+        begins = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+        return F.flatten(F.zip_with(dealt, F.slice(begins, F.lit(1), F.size(dealt)), lambda b, at: F.aggregate(b, F.struct(at.alias("at"), empty.alias("block")), step, lambda acc: acc["block"])))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{PLACES}>").alias("blocks"), empty.alias("block"))
-    walked = bound(both, lambda z: F.aggregate(rows(z), start, step, lambda acc: F.flatten(F.array_append(acc["blocks"], acc["block"]))))
+    walked = bound(both, lambda z: F.when(F.size(z["found"]) > 0, bound(rows(z), lambda r: bound(blocks(r), places))))
     return F.coalesce(walked, empty)
 
 

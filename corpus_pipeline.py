@@ -1,6 +1,7 @@
 """Corpus pipeline over ``documents``: each stage works on all that the one before kept.
 
-1. language ID: rows that the language model rejects go; ``lang`` becomes the predicted language.
+1. language ID: rows that the language model rejects go; ``lang`` becomes the predicted language. Where no row is labelled,
+   only rows without a letter go, and ``lang`` stays.
 2. n-gram Jaccard join: of each group of documents with similar word shingles (five words, 0.8) the smallest id stays.
 3. substring dedup: passages that an earlier document holds are cut out; documents that lose all their words go.
 4. PII: identifiers are replaced by their kind.
@@ -31,7 +32,8 @@ def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.where(~language_id.held_out()))
     told = carried(docs, language_id.tell(F.col("text"), model).alias("_told")).where(~F.col("_told.rejected"))
-    return restored(told, docs.columns, lang=F.col("_told.lang_pred"))
+    # without a labelled row there is no model: what has letters stays, with the language that it had
+    return restored(told, docs.columns, lang=F.col("_told.lang_pred") if model else F.col("_row.lang"))
 
 
 def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     # rows without an id are kept as they are, but for repeated ones
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     gone = Scratch(spark, "similar").keep(gone, "gone")
-    kept = carried(docs, "doc_id", F.xxhash64("text").alias("_text")).join(gone, "doc_id", "left_anti")
+    kept = carried(docs, "doc_id", F.md5("text").alias("_text")).join(gone, "doc_id", "left_anti")
     own = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("_row.source", "_row.lang", "_row.n_chars"))
     return restored(kept.withColumn("_copy", own).where("_copy = 1"), docs.columns)
 

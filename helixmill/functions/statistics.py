@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Ranges of values at least; a session with more shuffle partitions has as many ranges.
 RANGES = 64
 
 
-def value_ranges(df: DataFrame, column: str, name: str = "_range", ranges: int = RANGES) -> DataFrame:
+def value_ranges(df: DataFrame, column: str, name: str = "_range", ranges: int | None = None) -> DataFrame:
     """Adds the range (0, 1, ...) of a numeric column; equal values share one, and higher values have higher ranges."""
+    ranges = ranges or max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted(set(df.approxQuantile(column, [k / ranges for k in range(1, ranges)], 0.25 / ranges)))
     splits = [-math.inf, *cuts, math.inf]
     if len(splits) < 3:
@@ -26,7 +28,7 @@ def value_ranges(df: DataFrame, column: str, name: str = "_range", ranges: int =
     return Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep").transform(df)
 
 
-def running_total(df: DataFrame, order: str, amount: str, name: str, keys: tuple[str, ...] = (), ranges: int = RANGES) -> DataFrame:
+def running_total(df: DataFrame, order: str, amount: str, name: str, keys: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
     """Adds the sum of ``amount`` over all rows of the keys with a smaller or equal ``order`` (unique within keys)."""
     dealt = value_ranges(df, order, ranges=ranges)
     by = [*keys, "_range"]
@@ -66,14 +68,22 @@ def bin_of(value: Column, edges: Column) -> Column:
     return F.when(value.isNotNull(), F.greatest(F.size(F.filter(edges, lambda e: e < value)) - 1, F.lit(0)))
 
 
-def quantile_edges(column: str, q: int) -> Column:
-    """Aggregate: the distinct exact quantiles that bound q bins."""
-    return F.array_distinct(F.percentile(column, F.array(*(F.lit(k / q) for k in range(q + 1)))))
+def quantiles(df: DataFrame, column: str, probabilities: dict[str, float], keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key: exact interpolated quantiles by name, without nulls. Values are counted, so no task holds all of them."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
+    size = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    run = running_total(counts, column, "_n", "_upto", keys)
+    both = run.join(size, list(keys)) if keys else run.crossJoin(F.broadcast(size))
+    at = {name: F.lit(p) * (F.col("_all") - 1) for name, p in probabilities.items()}
+    first = lambda place: F.min(F.when(F.col("_upto") > place, F.col(column)))
+    ends = both.groupBy(*keys).agg(F.max("_all").alias("_all"), *(first(f(x)).alias(f"{name}{end}") for name, x in at.items() for end, f in (("_low", F.floor), ("_high", F.ceil))))
+    return ends.select(*keys, *((F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * (x - F.floor(x))).alias(n) for n, x in at.items()))
 
 
 def quantile_bins(df: DataFrame, column: str, q: int, name: str = "bin") -> DataFrame:
     """Adds quantile bins, with equal edges dropped."""
-    edges = df.agg(quantile_edges(column, q).alias("_edges"))
+    names = [f"_q{k}" for k in range(q + 1)]
+    edges = quantiles(df, column, {n: k / q for k, n in enumerate(names)}).select(F.array_distinct(F.array(*names)).alias("_edges"))
     return df.crossJoin(F.broadcast(edges)).withColumn(name, bin_of(F.col(column), F.col("_edges"))).drop("_edges")
 
 
@@ -100,6 +110,13 @@ def weighted_median(df: DataFrame, value: str, weight: str, keys: tuple[str, ...
     return total.join(reached, list(keys), "left").select(*keys, F.when(F.col("_all") > 0, F.col("_low")).otherwise(F.col("_median")).alias(name))
 
 
+def weighted_mad(df: DataFrame, value: str, weight: str, keys: tuple[str, ...], name: str = "weighted_mad") -> DataFrame:
+    """One row per key: the weighted median of the distances from the weighted median."""
+    centre = weighted_median(df, value, weight, keys, "_centre")
+    away = df.join(centre, list(keys)).withColumn("_away", F.abs(F.col(value) - F.col("_centre")))
+    return weighted_median(away, "_away", weight, keys, name)
+
+
 def silverman(column: str) -> Column:
     """Aggregate: 0.9 times the smaller positive scale of SD and IQR / 1.349, times n to the power -1/5."""
     positive = lambda x: F.when(x > 0, x)
@@ -140,7 +157,7 @@ def spearman(df: DataFrame, a: str, b: str, keys: tuple[str, ...] = (), name: st
     return ranked.groupBy(*keys).agg(some, F.count(F.lit(1)).alias("n"))
 
 
-def _beta_fraction(a: np.ndarray, b: float, x: np.ndarray, steps: int = 200) -> np.ndarray:
+def _beta_fraction(a: np.ndarray | float, b: np.ndarray | float, x: np.ndarray, steps: int = 200) -> np.ndarray:
     """Continued fraction of the incomplete beta function, after Lentz."""
     tiny = 1e-300
     c, d = np.ones_like(x), 1.0 - (a + b) * x / (a + 1.0)
@@ -171,8 +188,7 @@ def correlation_p_values(r: np.ndarray, n: np.ndarray) -> np.ndarray:
     front = np.exp(logs + a * np.log(x) + 0.5 * np.log1p(-np.minimum(x, 1 - 1e-16)))
     direct = x < (a + 1) / (a + 2.5)
     left = front * _beta_fraction(a, 0.5, np.where(direct, x, 0.5)) / a
-    mirrored = np.array([_beta_fraction(np.array([0.5]), float(p), np.array([1 - y]))[0] for p, y in zip(a, x, strict=True)]) if len(a) else a
-    right = 1.0 - front * mirrored / 0.5
+    right = 1.0 - front * _beta_fraction(0.5, a, np.where(direct, 0.5, 1 - x)) / 0.5
     out[ok] = np.clip(np.where(direct, left, right), 0, 1)
     return out
 
@@ -184,5 +200,4 @@ def p_value(r: Column, n: Column) -> Column:
     def value(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(correlation_p_values(a.to_numpy(float), b.to_numpy(float)))
 
-    x = value(r.cast("double"), n.cast("double"))
-    return F.when(~F.isnan(x), x)
+    return F.nanvl(value.asNondeterministic()(r.cast("double"), n.cast("double")), F.lit(None).cast("double"))

@@ -33,7 +33,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column | str], name: st
 def shuffled(df: DataFrame, keys: list[str], digest: Column, tie: str, name: str) -> DataFrame:
     """Adds 1, 2, ... within keys in the order of a digest, whose first signs deal rows out evenly."""
     dealt = df.withColumn("_digest", digest)
-    return numbered(dealt.withColumn("_part", F.substring("_digest", 1, 2)), keys, ["_digest", tie], name, "_part").drop("_digest")
+    return numbered(dealt.withColumn("_part", F.substring("_digest", 1, 3)), keys, ["_digest", tie], name, "_part").drop("_digest")
 
 
 def stratified_folds(df: DataFrame, strata: str, key: str, seeds: list[int], folds: int = 5) -> DataFrame:
@@ -81,9 +81,9 @@ def weighted_draws(df: DataFrame, weight: str, draws: int, group: list[str], key
 
 
 def evenly_spaced(df: DataFrame, order: str, count: int) -> DataFrame:
-    """First, last and evenly spaced rows of a small table."""
+    """First, last and evenly spaced rows by a unique numeric order; an empty table gives an empty one."""
+    from ..sources.tables import with_row_number
+
     n = df.count()
-    if not n:
-        return df
-    places = sorted({round(k * (n - 1) / max(count - 1, 1)) for k in range(count)})
-    return df.withColumn("_p", F.row_number().over(Window.orderBy(order)) - 1).where(F.col("_p").isin(places)).drop("_p")
+    places = sorted({round(k * (n - 1) / max(count - 1, 1)) for k in range(count)}) if n else []
+    return with_row_number(df, order, "_p").where(F.col("_p").isin(places)).drop("_p")

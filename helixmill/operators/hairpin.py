@@ -7,7 +7,7 @@ longer stem, loop nearer to four; then the shorter loop and the earlier place.""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,17 +67,39 @@ def best_hairpins(sequences: list[str], upstream: int = 0, downstream: int = 0)
     return got
 
 
+#: Bases of a slice, padding included; one longer sequence makes a slice of its own.
+CELLS = 1 << 21
+
+
+def length_slices(sizes: np.ndarray, cells: int = CELLS) -> list[np.ndarray]:
+    """Rows by ascending length in slices whose padded arrays hold at most ``cells`` bases."""
+    order = np.argsort(sizes, kind="stable")
+    out, a = [], 0
+    while a < len(order):
+        b = a + 1
+        while b < len(order) and (b + 1 - a) * max(int(sizes[order[b]]), 1) <= cells:
+            b += 1
+        out.append(order[a:b])
+        a = b
+    return out
+
+
 def hairpin(sequence: Column, upstream: int = 0, downstream: int = 0) -> Column:
-    """Geometry struct of the best hairpin with so many bases on either side, null where there is none."""
+    """Geometry struct of the best hairpin with so many bases on either side, null where there is none.
+
+    Null and empty sequences have none. A filter on the result is not pushed below the search, which would run it twice."""
+    names = ("stem_start", "stem_length", "loop_length", "loop_start", "loop_end", "hairpin_end", "score", "pair_fraction", "gu_count", "proximal_gc")
 
-    @F.pandas_udf(GEOMETRY)
-    def search(s: pd.Series) -> pd.DataFrame:
-        g = best_hairpins([x or "" for x in s], upstream, downstream)
+    @F.arrow_udf(GEOMETRY)
+    def search(s: pa.Array) -> pa.Array:
+        texts = [x or "" for x in s.to_pylist()]
+        g = {c: np.zeros(len(texts), np.int64) for c in ("start", "stem", "loop", "twice", "pairs", "gu", "gc2")}
+        for rows in length_slices(np.array([len(x) for x in texts], np.int64)):
+            for c, x in best_hairpins([texts[i] for i in rows], upstream, downstream).items():
+                g[c][rows] = x
         start, stem, loop = g["start"], g["stem"], g["loop"]
-        out = pd.DataFrame({"stem_start": start, "stem_length": stem, "loop_length": loop, "loop_start": start + stem, "loop_end": start + stem + loop, "hairpin_end": start + 2 * stem + loop, "score": g["twice"] / 2.0, "pair_fraction": g["pairs"] / np.maximum(stem, 1), "gu_count": g["gu"], "proximal_gc": g["gc2"] / 2.0})
-        for c in ("stem_start", "stem_length", "loop_length", "loop_start", "loop_end", "hairpin_end", "gu_count"):
-            out[c] = out[c].astype("int32")
-        return out
+        whole = (start, stem, loop, start + stem, start + stem + loop, start + 2 * stem + loop)
+        cols = [*(pa.array(x, pa.int32()) for x in whole), pa.array(g["twice"] / 2.0), pa.array(g["pairs"] / np.maximum(stem, 1)), pa.array(g["gu"], pa.int32()), pa.array(g["gc2"] / 2.0)]
+        return pa.StructArray.from_arrays(cols, names=list(names), mask=pa.array(stem == 0))
 
-    found = search(sequence)
-    return F.when(found["stem_length"] > 0, found)
+    return search.asNondeterministic()(sequence)

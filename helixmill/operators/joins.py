@@ -90,9 +90,29 @@ def within_band(left: DataFrame, right: DataFrame, a: str, b: str, width: float)
     return l.join(right.withColumn("_cell", cell(F.col(b))), "_cell").where(F.abs(F.col(a) - F.col(b)) <= width).drop("_cell")
 
 
+def band_or_nearest(left: DataFrame, grid: DataFrame, a: str, b: str, width: float, least: int, key: str) -> DataFrame:
+    """Pairs within a band of each grid value; a grid value with fewer than ``least`` of them gets its nearest rows instead.
+
+    The grid is small (a list of targets) and is checked to be; nearest rows are the ``least`` first of each grid value by
+    distance and key, and each task drops what can't be among them. ``fallback`` tells the two apart."""
+    if grid.count() > GRID:
+        raise ValueError(f"a grid of at most {GRID} values is needed")
+    near = within_band(left, grid, a, b, width)
+    full = near.groupBy(b).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(b)
+    rest = left.crossJoin(F.broadcast(grid.join(full, b, "left_anti"))).withColumn("_d", F.abs(F.col(a) - F.col(b)))
+    rest = rest.withColumn("_r", F.row_number().over(Window.partitionBy(b).orderBy("_d", key))).where(F.col("_r") <= least).drop("_r", "_d")
+    return near.join(full, b, "left_semi").withColumn("fallback", F.lit(False)).unionByName(rest.withColumn("fallback", F.lit(True)))
+
+
+#: Values of a grid, and rows of a summary whose pairs are all compared.
+GRID = 1000
+SUMMARY = 10_000
+
+
 def concordance(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """Share of pairs (i < j), without ties in a, that both columns put in one order. For small summaries."""
+    """Share of pairs (i < j), without ties in a, that both columns put in one order. For summaries of at most SUMMARY rows."""
+    if df.count() > SUMMARY:
+        raise ValueError(f"a summary of at most {SUMMARY} rows is needed")
     x, y = df.select(key, a, b), df.select(F.col(key).alias("_key"), F.col(a).alias("_a"), F.col(b).alias("_b"))
     pairs = x.join(F.broadcast(y), F.col(key) < F.col("_key")).where(F.col(a) != F.col("_a"))
     return pairs.agg(F.avg((F.signum(F.col(a) - F.col("_a")) == F.signum(F.col(b) - F.col("_b"))).cast("int")).alias("concordance"), F.count(F.lit(1)).alias("n_pairs"))
-

@@ -1,8 +1,8 @@
 """Non-dominated fronts, crowding and greedy selections.
 
-Fronts are worked out per block (a target's candidates): a block is one search's population, whose size is a
-parameter of the search, and goes to one task. Larger sets are first thinned without loss of the first front by
-``skyline``, which compares within salted parts before it compares what they leave."""
+Fronts are worked out per block (a target's candidates), which goes to one task: blocks of more than ``BLOCK`` rows are
+refused. The first front alone of blocks of any size is found by ``skyline``, which compares within salted parts before it
+compares what they leave."""
 
 from __future__ import annotations
 
@@ -13,21 +13,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Rows of a block at most.
+BLOCK = 100_000
+
+
+def bounded(df: DataFrame, block: str) -> DataFrame:
+    """``df``, if no block is larger than a task may hold."""
+    most = df.groupBy(block).count().agg(F.max("count")).first()[0] or 0
+    if most > BLOCK:
+        raise ValueError(f"a block holds {most} rows, {BLOCK} are allowed: thin it with skyline, or part it")
+    return df
+
+
 def front_numbers(x: np.ndarray) -> np.ndarray:
-    """Front (0 is best) of each row of objectives, all of which are minimised."""
-    n = len(x)
-    front = np.full(n, -1)
-    below = np.ones((n, n), bool)
-    strictly = np.zeros((n, n), bool)
-    for c in x.T:
-        below &= c[:, None] <= c[None, :]
-        strictly |= c[:, None] < c[None, :]
-    beats = below & strictly
-    left, k = np.arange(n), 0
-    while len(left):
-        free = ~beats[np.ix_(left, left)].any(axis=0)
-        front[left[free]] = k
-        left, k = left[~free], k + 1
+    """Front (0 is best) of each row of objectives, all of which are minimised.
+
+    In lexical order a row is beaten only by rows before it, and its front is the first one no row of which beats it; as each
+    front's rows are beaten by rows of all fronts before, that one is found by bisection."""
+    front = np.zeros(len(x), np.int64)
+    if not len(x):
+        return front
+    rows, which = np.unique(x, axis=0, return_inverse=True)  # equal rows share a front
+    members: list[list[int]] = []
+    number = np.zeros(len(rows), np.int64)
+    for i, row in enumerate(rows):
+        low, high = 0, len(members)
+        while low < high:
+            k = (low + high) // 2
+            if (rows[members[k]] <= row).all(axis=1).any():
+                low = k + 1
+            else:
+                high = k
+        if low == len(members):
+            members.append([])
+        members[low].append(i)
+        number[i] = low
+    front[:] = number[which.reshape(-1)]
     return front
 
 
@@ -41,7 +62,7 @@ def fronts(df: DataFrame, block: str, objectives: list[str], name: str = "pareto
         out[ok.to_numpy()] = front_numbers(pdf.loc[ok, objectives].to_numpy(float)).astype("int32")
         return pdf.assign(**{name: out})
 
-    return df.groupBy(block).applyInPandas(run, f"{fields}, `{name}` int")
+    return bounded(df, block).groupBy(block).applyInPandas(run, f"{fields}, `{name}` int")
 
 
 def skyline(df: DataFrame, block: str, key: str, objectives: list[str], parts: int = 16) -> DataFrame:
@@ -98,7 +119,7 @@ def diverse(df: DataFrame, block: str, key: str, vector: str, order: list[str],
         return pdf.iloc[kept][[block, key]].assign(pick=np.arange(1, len(kept) + 1, dtype="int32"))
 
     fields = f"`{block}` {df.schema[block].dataType.simpleString()}, `{key}` {df.schema[key].dataType.simpleString()}, pick int"
-    return df.groupBy(block).applyInPandas(run, fields)
+    return bounded(df, block).groupBy(block).applyInPandas(run, fields)
 
 
 def cover(df: DataFrame, block: str, key: str, vector: str, weight: str, radius: str) -> DataFrame:
@@ -115,4 +136,4 @@ def cover(df: DataFrame, block: str, key: str, vector: str, weight: str, radius:
         return pdf.iloc[chosen][[block, key, weight]].assign(anchor_rank=np.arange(1, len(chosen) + 1, dtype="int32"))
 
     fields = f"`{block}` {df.schema[block].dataType.simpleString()}, `{key}` {df.schema[key].dataType.simpleString()}, `{weight}` double, anchor_rank int"
-    return df.groupBy(block).applyInPandas(run, fields)
+    return bounded(df, block).groupBy(block).applyInPandas(run, fields)

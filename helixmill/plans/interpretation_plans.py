@@ -137,10 +137,3 @@ def l10_m13_rules_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rho = associations(spark, sf_dir).select("feature", F.when(F.col("rho_actual") > 0, "higher").otherwise("lower").alias("direction"))
     ranges = l10_design_rules(spark, sf_dir).select("feature", F.col("q25").alias("low"), F.col("q75").alias("high"))
     return I.rules_json(rho.join(ranges, "feature"))
-
-
-@query("a37_geometry_match", "WITH {S}, {G}, {D}, x AS (SELECT lang, (stem_length % 2 = 0) = (stem_length::INT % 2 = 0) AS same, has FROM d) SELECT lang, count(*) AS n, count(*) FILTER (has) AS n_hairpin, round(avg(same::INT), 6) AS match_rate FROM x GROUP BY lang")
-def a37_geometry_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = describe(sequences(spark, sf_dir))
-    again = F.coalesce(F.col("geom.stem_length"), F.lit(0))
-    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("geom").isNotNull()).alias("n_hairpin"), F.round(F.avg((F.col("stem_length") == again).cast("int")), 6).alias("match_rate"))

@@ -53,13 +53,14 @@ def j10_remaining_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remaining(load(spark, sf_dir, "orders").select("o_orderkey"), load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
 
 
-@query("j12_correlated_pairs", f"WITH {VECTORS}, l AS (SELECT vec_id, unnest(range(1, 9)) AS i, e FROM v) SELECT a.i::INT AS i, b.i::INT AS j, round(corr(a.e[a.i], b.e[b.i]), 6) AS r FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY 1, 2 HAVING abs(corr(a.e[a.i], b.e[b.i])) >= 0.02")
+@query("j12_correlated_pairs", f"WITH {VECTORS}, l AS (SELECT vec_id, unnest(range(1, 65)) AS i, e FROM v) SELECT a.i::INT AS i, b.i::INT AS j, round(corr(a.e[a.i], b.e[b.i]), 6) AS r FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY 1, 2 HAVING abs(corr(a.e[a.i], b.e[b.i])) >= 0.02")
 def j12_correlated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # pairs of columns within a row: one partial aggregate, no join of rows
-    rows = vectors(spark, sf_dir)
-    pairs = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.get("e", i - 1).alias("x"), F.get("e", j - 1).alias("y")) for i in range(1, 9) for j in range(i + 1, 9)))
-    long = rows.select(F.inline(pairs))
-    return long.groupBy("i", "j").agg(F.corr("x", "y").alias("r")).where(F.abs("r") >= 0.02).select("i", "j", F.round("r", 6).alias("r"))
+    # all components' sums of products in one aggregate of one row: no join of rows
+    rows, n = vectors(spark, sf_dir), 64
+    pairs = [(i, j) for i in range(1, n + 1) for j in range(i + 1, n + 1)]
+    told = rows.select(*(F.get("e", i - 1).alias(f"e{i}") for i in range(1, n + 1))).agg(*(F.corr(f"e{i}", f"e{j}").alias(f"c{i}_{j}") for i, j in pairs))
+    long = told.select(F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("r")) for i, j in pairs))))
+    return long.where(F.abs("r") >= 0.02).select("i", "j", F.round("r", 6).alias("r"))
 
 
 @query("j15_nearest_other", f"WITH {VECTORS} SELECT a.vec_id, round(sqrt(min({SQUARE})), 6) AS nn_distance FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY 1")
@@ -102,9 +103,10 @@ def u1_u2_union_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.union_first(frames, ["digest"], ["id"]).select("digest", "source_rank", "id")
 
 
-@query("u4_set_difference", "(SELECT c_nationkey AS k, 'left' AS side FROM customer EXCEPT SELECT s_nationkey, 'left' FROM supplier) UNION ALL (SELECT s_nationkey, 'right' FROM supplier EXCEPT SELECT c_nationkey, 'right' FROM customer)")
+@query("u4_set_difference", "(SELECT l_partkey AS k, 'left' AS side FROM lineitem WHERE l_quantity > 49 EXCEPT SELECT l_partkey, 'left' FROM lineitem WHERE l_discount > 0.09) UNION ALL (SELECT l_partkey, 'right' FROM lineitem WHERE l_discount > 0.09 EXCEPT SELECT l_partkey, 'right' FROM lineitem WHERE l_quantity > 49)")
 def u4_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
+    rows = load(spark, sf_dir, "lineitem")
+    a, b = rows.where("l_quantity > 49").select(F.col("l_partkey").alias("k")), rows.where("l_discount > 0.09").select(F.col("l_partkey").alias("k"))
     return a.subtract(b).withColumn("side", F.lit("left")).unionByName(b.subtract(a).withColumn("side", F.lit("right")))
 
 

@@ -196,7 +196,7 @@ def a32_kernel_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("t6_quantile_threshold", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice >= (SELECT quantile_cont(p_retailprice, 0.8) FROM part)")
 def t6_quantile_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = load(spark, sf_dir, "part")
-    cut = part.agg(F.percentile("p_retailprice", F.lit(0.8)).alias("cut"))
+    cut = T.quantiles(part, "p_retailprice", {"cut": 0.8})
     return part.crossJoin(F.broadcast(cut)).where(F.col("p_retailprice") >= F.col("cut")).select("p_partkey", "p_retailprice")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,15 +61,32 @@ def find_files(spark: SparkSession, root: str, pattern: str, without: tuple[str,
     return files
 
 
+def resolve_file(files: DataFrame, name: str) -> tuple[str | None, list[str]]:
+    """The path of the file of just this name, the first by path, and the paths of its duplicates, if any."""
+    same = [r[0] for r in files.where(F.element_at(F.split("path", "/"), -1) == name).select("path").orderBy("path").limit(100).collect()]
+    return (same[0] if same else None), same[1:]
+
+
 def best_source(spark: SparkSession, paths: list[str], needed: list[str], words: list[str]) -> str | None:
-    """The CSV whose header holds most of the needed columns, whose name holds most of the words, with most rows."""
+    """The CSV whose header holds most of the needed columns, whose name holds most of the words, with most rows.
+
+    Rows are counted only where header and name leave several, in one job."""
     scored = []
     for p in paths:
         columns = {plain(c) for c in header(spark, p)}
-        hit = sum(plain(c) in columns for c in needed)
-        scored.append((hit, sum(w in p.lower() for w in words), spark.read.csv(p, header=True).count() if hit else 0, p))
-    best = max(scored, default=None)
-    return best[3] if best and best[0] else None
+        scored.append((sum(plain(c) in columns for c in needed), sum(w in p.lower() for w in words), p))
+    top = max((x[:2] for x in scored), default=(0, 0))
+    left = sorted(p for *x, p in scored if tuple(x) == top)
+    if not top[0]:
+        return None
+    if len(left) == 1:
+        return left[0]
+    counts = {p: spark.read.csv(p, header=True).groupBy(F.lit(p).alias("path")).count() for p in left}
+    every = None
+    for c in counts.values():
+        every = c if every is None else every.unionByName(c)
+    rows = {r[0]: r[1] for r in every.collect()}
+    return max(left, key=lambda p: (rows.get(p, 0), p))
 
 
 def read_folders(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
@@ -102,14 +120,37 @@ def remaining(plan: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return plan.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def append_new(rows: DataFrame, path: str, keys: list[str]) -> int:
-    """Appends the rows whose keys a table doesn't hold; a rerun after a failure adds what is missing. Returns the count."""
+def append_new(rows: DataFrame, path: str, keys: list[str], batch: int | None = None) -> int:
+    """Writes the rows whose keys earlier batches of a table don't hold as its next batch, and returns their count.
+
+    A batch is a folder ``batch=N`` of the table, written once and as a whole: a rerun after a failure takes the place of what
+    the failed run left. Of rows with equal keys within a batch one stays. The table has the column ``batch``."""
     spark = rows.sparkSession
-    new = remaining(rows, spark.read.parquet(path), keys) if exists(spark, path) else rows
-    n = new.count()
-    if n:
-        new.write.mode("append").parquet(path)
-    return n
+    numbers = batches(spark, path)
+    number = batch if batch is not None else max(numbers, default=-1) + 1
+    earlier = [n for n in numbers if n != number]
+    new = rows.dropDuplicates(keys)
+    if earlier:
+        new = remaining(new, spark.read.option("basePath", path).parquet(*(f"{path}/batch={n}" for n in earlier)), keys)
+    new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    return spark.read.parquet(f"{path}/batch={number}").count()
+
+
+def batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches of a table that were written as a whole."""
+    p, fs = hadoop_path(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [x.getPath() for x in fs.listStatus(p)]
+    done = [x for x in names if x.getName().startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    return sorted(int(x.getName().split("=")[1]) for x in done)
+
+
+def with_offsets(rows: DataFrame, done: DataFrame, job: str, order: str, name: str = "sample_number") -> DataFrame:
+    """Numbers rows of each job on from the highest number that is done: done + 0, done + 1, ..."""
+    last = done.groupBy(job).agg((F.max(name) + 1).alias("_done"))
+    local = F.row_number().over(Window.partitionBy(job).orderBy(order)) - 1
+    return rows.withColumn("_local", local).join(last, job, "left").withColumn(name, (F.coalesce("_done", F.lit(0)) + F.col("_local")).cast("long")).drop("_local", "_done")
 
 
 def complete(cache: DataFrame, keys: list[str], expected: int) -> DataFrame:
@@ -135,11 +176,20 @@ def write_manifest(spark: SparkSession, path: str, facts: dict) -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one only where it names none."""
+    """The shared folder that the session names. Only a local session that names none, as in tests, gets a temporary one."""
     import tempfile
 
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="helixmill-"))
         root = spark.sparkContext.getCheckpointDir()
     return root
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The table written under the session's shared folder and read again, so that what reads it twice works it out once."""
+    where = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)

@@ -43,13 +43,20 @@ def powered(df: DataFrame, powers: dict[str, float]) -> DataFrame:
     return df.withColumns({c: yeo_johnson(F.col(c).cast("double"), p) for c, p in powers.items()})
 
 
+def important_features(df: DataFrame, features: list[str], label: str, trees: int = 20, seed: int = 42) -> list[str]:
+    """The features whose importance in a forest reaches the mean; all of them if none stands out."""
+    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(df).select("_x", label)
+    told = RandomForestRegressor(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=5, seed=seed).fit(rows).featureImportances.toArray()
+    return [f for f, v in zip(features, told, strict=True) if v >= told.mean()] or features
+
+
 class Stack:
     """Base learners whose out-of-fold predictions feed a ridge regression.
 
     The power transform and the scaler are fitted on the rows of ``fit`` alone, so no held-out row is ever seen."""
 
-    def __init__(self, features: list[str], label: str, key: str, inner: int = 3, seed: int = 42, trees: int = 20):
-        self.features, self.label, self.key, self.inner, self.seed, self.trees = features, label, key, inner, seed, trees
+    def __init__(self, features: list[str], label: str, key: str, inner: int = 3, seed: int = 42, trees: int = 20, select: bool = False):
+        self.features, self.label, self.key, self.inner, self.seed, self.trees, self.select = features, label, key, inner, seed, trees, select
 
     def learners(self) -> list:
         own = {"featuresCol": "_x", "labelCol": self.label}
@@ -63,6 +70,8 @@ class Stack:
         return self.scaler.transform(self.assembler.transform(powered(df, self.powers))).drop("_raw")
 
     def fit(self, train: DataFrame) -> Stack:
+        if self.select:
+            self.features = important_features(train, self.features, self.label, self.trees, self.seed)
         self.powers = fit_powers(train, self.features)
         self.assembler = VectorAssembler(inputCols=self.features, outputCol="_raw")
         self.scaler = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(self.assembler.transform(powered(train, self.powers)))

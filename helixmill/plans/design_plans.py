@@ -18,15 +18,15 @@ from ..operators import joins as J
 from ..operators import pareto as P
 from ..operators.descriptors import describe
 from ..operators.models import Stack, out_of_fold, scored_once
-from ..operators.search import evolve
-from ..sources.tables import checkpoint_root
+from ..operators.search import evolve, generation_history
+from ..sources.tables import checkpoint_root, kept
 from .base import load, query, sequences
 from .join_plans import vectors
 
 #: Rows of a search's population, and designs that are kept of a target.
 POPULATION = 96
 FINAL = 30
-POOL = f"c AS (SELECT p_brand, p_partkey, p_size::DOUBLE AS a, p_retailprice AS b FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY abs(p_retailprice - 1500), p_partkey) <= {POPULATION})"
+POOL = "c AS (SELECT p_brand, p_partkey, p_size::DOUBLE AS a, p_retailprice AS b FROM part)"
 FRONT_SQL = f"WITH RECURSIVE {POOL}, dom AS MATERIALIZED (SELECT x.p_partkey AS u, y.p_partkey AS v FROM c x JOIN c y ON x.p_brand = y.p_brand AND x.a <= y.a AND x.b <= y.b AND (x.a < y.a OR x.b < y.b)), r AS (SELECT p_partkey AS k, 0 AS d FROM c UNION SELECT v, d + 1 FROM r JOIN dom ON u = k), f AS (SELECT c.*, pareto_rank FROM c JOIN (SELECT k, max(d)::INT AS pareto_rank FROM r GROUP BY k) ON k = p_partkey)"
 CROWD_SQL = (
     FRONT_SQL
@@ -36,9 +36,8 @@ CROWD_SQL = (
 
 
 def population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"))
-    near = rows.withColumn("_d", F.abs(F.col("b") - 1500))
-    return ranked(near, "p_brand", ["_d", "p_partkey"], POPULATION).drop("_d")
+    """All candidates of each brand; a search cuts its population after they are sorted."""
+    return load(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"))
 
 
 def ranked(df: DataFrame, block: str, order: list, most: int) -> DataFrame:
@@ -71,18 +70,32 @@ def j14_skyline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.skyline(rows, "p_brand", "p_partkey", ["a", "b"]).select("p_partkey")
 
 
-@query("t15_diverse_selection")
+UNIT_SQL = "u AS (SELECT vec_id, label, embedding[1]::DOUBLE AS w, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda z: z::DOUBLE * z::DOUBLE)))) AS e FROM embeddings)"
+APART_SQL = "sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+
+
+@query(
+    "t15_diverse_selection",
+    f"WITH RECURSIVE {UNIT_SQL}, v AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY w DESC, vec_id) AS k FROM u), r AS (SELECT DISTINCT label, 0::BIGINT AS k, []::DOUBLE[][] AS kept, []::BIGINT[] AS ids FROM v UNION ALL"
+    f" SELECT r.label, v.k, CASE WHEN ok THEN list_append(kept, e) ELSE kept END, CASE WHEN ok THEN list_append(ids, vec_id) ELSE ids END FROM r JOIN v ON v.label = r.label AND v.k = r.k + 1, LATERAL (SELECT len(kept) < {FINAL} AND coalesce(list_min(list_transform(kept, lambda f: {APART_SQL.format(a='f', b='e')})) >= 1.2, true) AS ok)),"
+    " l AS (SELECT label, ids FROM r QUALIFY row_number() OVER (PARTITION BY label ORDER BY k DESC) = 1) SELECT label, unnest(ids) AS vec_id, unnest(range(1, len(ids) + 1))::INT AS pick FROM l",
+)
 def t15_diverse_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most 30 vectors of each target, from its 96 largest first values, at least 1.2 apart."""
+    """At most 30 vectors of each target, from the largest first values on, at least 1.2 apart."""
     rows = vectors(spark, sf_dir).select("vec_id", "label", V.unit_vector(F.col("e")).alias("e"), (-F.get("e", 0)).alias("o"))
-    return P.diverse(ranked(rows, "label", ["o", "vec_id"], POPULATION), "label", "vec_id", "e", ["o", "vec_id"], 1.2, FINAL)
+    return P.diverse(rows, "label", "vec_id", "e", ["o", "vec_id"], 1.2, FINAL)
 
 
-@query("t14_anchor_cover")
+@query(
+    "t14_anchor_cover",
+    f"WITH RECURSIVE {UNIT_SQL}, v AS (SELECT vec_id, label, e, round(w, 9) AS w, row_number() OVER (PARTITION BY label ORDER BY round(w, 9) DESC, vec_id) AS k FROM u), pairs AS MATERIALIZED (SELECT a.label, a.k AS a, b.k AS b, {APART_SQL.format(a='a.e', b='b.e')} AS d FROM v a JOIN v b ON a.label = b.label),"
+    " r AS (SELECT DISTINCT label, 1::BIGINT AS n, [1]::BIGINT[] AS chosen FROM v UNION ALL SELECT label, n + 1, list_append(chosen, far) FROM (SELECT r.label, r.n, r.chosen, arg_max(q.b, q.near * 1e6 - q.b * 1e-7) AS far, max(q.near) AS most FROM r, LATERAL (SELECT b, min(d) AS near FROM pairs WHERE pairs.label = r.label AND list_contains(r.chosen, a) GROUP BY b) q GROUP BY r.label, r.n, r.chosen) WHERE most > 1.3 AND NOT list_contains(chosen, far)),"
+    " l AS (SELECT label, chosen FROM r QUALIFY row_number() OVER (PARTITION BY label ORDER BY n DESC) = 1), c AS (SELECT label, unnest(chosen) AS k, unnest(range(1, len(chosen) + 1))::INT AS anchor_rank FROM l) SELECT c.label, vec_id, w, anchor_rank FROM c JOIN v ON v.label = c.label AND v.k = c.k",
+)
 def t14_anchor_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anchors of each target's population within 1.3 of every member."""
+    """Anchors of each target within 1.3 of every one of its vectors."""
     rows = vectors(spark, sf_dir).select("vec_id", "label", V.unit_vector(F.col("e")).alias("e"), F.round(F.get("e", 0), 9).alias("w"), F.lit(1.3).alias("radius"))
-    return P.cover(ranked(rows, "label", [F.desc("w"), "vec_id"], POPULATION), "label", "vec_id", "e", "w", "radius")
+    return P.cover(rows, "label", "vec_id", "e", "w", "radius")
 
 
 @query(
@@ -93,7 +106,9 @@ def t14_anchor_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l12_candidate_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = describe(sequences(spark, sf_dir))
     own = Q.composition(F.col("seq"))
-    seen = sequences(spark, sf_dir).select(own["gc_content"].alias("gc_content"), own["seq_len"].alias("seq_len")).agg(F.percentile("gc_content", F.lit(0.5)).alias("c"), T.robust_scale("gc_content").alias("sc"), F.min("seq_len").alias("lo"), F.max("seq_len").alias("hi"))
+    natural = sequences(spark, sf_dir).select(own["gc_content"].alias("gc_content"), own["seq_len"].alias("seq_len"))
+    ends = T.quantiles(natural, "gc_content", {"c": 0.5, "low": 0.25, "high": 0.75}).select("c", (F.col("high") - F.col("low")).alias("sc"))
+    seen = natural.agg(F.min("seq_len").alias("lo"), F.max("seq_len").alias("hi")).crossJoin(F.broadcast(ends))  # rows of one
     te = X.y_to_te(F.least("y", F.lit(3.0)))
     supported = F.col("seq_len").between(F.col("lo"), F.col("hi")) & (F.col("stem_length") > 0) & (F.col("spacer_length") != Q.NO_SPACER)
     distance = V.weighted_l1(F.col("gc_content"), F.col("c"), F.col("sc"), F.lit(0.5))
@@ -140,25 +155,36 @@ def stand_in_distance(names: list[str]) -> np.ndarray:
     return np.array([abs(s.count("A") / len(s) - 0.25) for s in names])
 
 
-@query("l18_evolution")
-def l18_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Searches for three targets with two seeds, from the 96 sequences nearest to each in measured value."""
+def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(target, seed, sequence): the 96 sequences nearest to each target in measured value, natural ones as they are."""
     rows = sequences(spark, sf_dir).where("seq is not null and y is not null").select(F.col("seq").alias("sequence"), "y").groupBy("sequence").agg(F.min("y").alias("y"))
     grid = F.explode(F.array(*(F.struct(F.lit(t).alias("target"), F.lit(s).alias("seed")) for t in (0.8, 1.2, 1.6) for s in (1, 2))))
     many = rows.withColumn("_g", grid).select("sequence", "_g.target", "_g.seed", F.abs(F.col("y") - F.col("_g.target")).alias("off"))
-    starts = ranked(many.withColumn("_b", F.struct("target", "seed")), "_b", ["off", "sequence"], POPULATION).drop("_b", "off")
-    return evolve(starts, stand_in_score, stand_in_distance)
+    return ranked(many.withColumn("_b", F.struct("target", "seed")), "_b", ["off", "sequence"], POPULATION).drop("_b", "off")
 
 
-STACKED = ["gc_content", "freq_A", "freq_T", "count_poly_t_4", "max_poly_t_run", "kmer_TTT"]
+@query("l18_evolution")
+def l18_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches for three targets with two seeds each: offspring with a hairpin and of natural length alone are taken up."""
+    return evolve(starts(spark, sf_dir), stand_in_score, stand_in_distance)
+
+
+@query("a29_generation_history")
+def a29_generation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each generation of the searches tried and took up, the size of its first front and its best error."""
+    return generation_history(starts(spark, sf_dir), stand_in_score, stand_in_distance)
+
+
+STACKED = list(Q.FEATURES)
 
 
 @query("l3_l5_stacked_predictions")
 def l3_l5_stacked_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold predictions of the stack on two folds, with all fitting inside the other fold."""
-    own = Q.composition(F.col("seq"))
-    rows = sequences(spark, sf_dir).where("seq is not null and y is not null").select("sample_idx", "y", *(own[c].alias(c) for c in STACKED), F.pmod(F.xxhash64("sample_idx"), F.lit(2)).alias("fold"))
-    told = out_of_fold(rows, "fold", 2, lambda: Stack(STACKED, "y", "sample_idx", inner=2, trees=10))
+    """Out-of-fold predictions of the stack on two stratified folds, with all fitting, selection included, inside the other fold."""
+    rows = describe(sequences(spark, sf_dir).where("seq is not null and y is not null")).select("sample_idx", "y", "lang", *STACKED)
+    dealt = D.stratified_folds(rows.withColumn("stratum", F.coalesce("lang", F.lit("none"))), "stratum", "sample_idx", [42], 2)
+    dealt = kept(dealt.drop("stratum", "lang", "seed"), "folds")
+    told = out_of_fold(dealt, "fold", 2, lambda: Stack(STACKED, "y", "sample_idx", inner=2, trees=10, select=True))
     return told.select("sample_idx", F.round("y", 6).alias("y"), F.round("prediction", 6).alias("prediction"))
 
 

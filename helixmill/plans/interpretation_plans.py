@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,66 +12,89 @@ from ..functions import statistics as T
 from ..operators import importance as I  # noqa: E741
 from ..operators.descriptors import describe
 from ..operators.mutation import guided_choice, point_mutants
+from ..sources.tables import kept
 from .base import load, query, sequences
 
-FEATURES = ["gc_content", "freq_A", "count_poly_t_4", "kmer_TTT"]
-GROUPS = {"composition": ["gc_content", "freq_A"], "tail": ["count_poly_t_4", "kmer_TTT"], **{f: [f] for f in FEATURES}}
+FEATURES = list(Q.FEATURES)
+GROUPS = {**{g: list(fs) for g, fs in Q.FEATURE_GROUPS.items()}, **{f: [f] for f in FEATURES}}
+PERMUTATIONS = 10
+#: Weights of the stand-in scorer: fixed, of either sign, smaller for features of larger values.
+WEIGHTS = {f: ((7 * i) % 11 - 5) / (100.0 if f in ("seq_len", "stem_pairing_score", "stem_polyT_interaction", "stem_polyT_coupling") else 10.0) for i, f in enumerate(FEATURES)}
 
 
 def stand_in(c: dict[str, Column]) -> Column:
-    """A fixed linear scorer, in place of a trained model."""
-    return 2.0 * c["gc_content"] - c["freq_A"] + 0.3 * c["count_poly_t_4"] + 4.0 * c["kmer_TTT"]
+    """A fixed linear scorer over all descriptors, in place of a trained model."""
+    total = F.lit(0.0)
+    for f, w in WEIGHTS.items():
+        total = total + w * c[f]
+    return total
 
 
 def described(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sequences(spark, sf_dir)
-    own = Q.composition(F.col("seq"))
-    return rows.select("*", *(own[f].alias(f) for f in FEATURES))
+    """Sequences with their descriptors, at nine digits, so that ties don't hang on the last bit."""
+    rows = describe(sequences(spark, sf_dir).where("seq is not null"))
+    return rows.select("sample_idx", "y", "pred", *(F.round(f, 9).alias(f) for f in FEATURES))
+
+
+NAMES = ", ".join(f'"{f}"' for f in FEATURES)
+DESCRIBED_SQL = "WITH {S}, {G}, {D}, f AS MATERIALIZED (SELECT sample_idx, y, pred, " + ", ".join(f'round("{f}", 9) AS "{f}"' for f in FEATURES) + " FROM d WHERE seq IS NOT NULL)"
+
+
+def score_sql(value: Callable[[str], str]) -> str:
+    return " + ".join(f"({w}) * {value(f)}" for f, w in WEIGHTS.items())
+
+
+def swapped_sql(f: str) -> str:
+    names = ", ".join(f"'{g}'" for g, fs in GROUPS.items() if f in fs)
+    return f'CASE WHEN g IN ({names}) THEN x."{f}" ELSE n."{f}" END'
 
 
-SHORT = "(length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) / length(seq)::DOUBLE AS gc_content, (length(seq) - length(replace(seq, 'A', ''))) / length(seq)::DOUBLE AS \"freq_A\", list_sum(list_transform(range(1, length(seq) - 2), lambda j: CASE WHEN substr(seq, j, 4) = 'TTTT' THEN 1 ELSE 0 END))::DOUBLE AS count_poly_t_4, list_sum(list_transform(range(1, length(seq) - 1), lambda j: CASE WHEN substr(seq, j, 3) = 'TTT' THEN 1 ELSE 0 END)) / (length(seq) - 2)::DOUBLE AS \"kmer_TTT\""
-SCORE = '2 * {a}gc_content - {b}"freq_A" + 0.3 * {c}count_poly_t_4 + 4 * {d}"kmer_TTT"'
 DELTAS_SQL = (
-    f"WITH {{S}}, f AS (SELECT sample_idx, sample_idx % 5 AS fold, y, {SHORT} FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY sample_idx) AS n FROM f),"
-    " c AS (SELECT * FROM (SELECT unnest(['composition', 'tail', 'gc_content', 'freq_A', 'count_poly_t_4', 'kmer_TTT']) AS g), (SELECT unnest([1, 2, 3]) AS p)),"
-    " x AS (SELECT f.*, g, p, row_number() OVER (PARTITION BY fold, g, p ORDER BY md5('42|' || g || '|' || p || '|' || sample_idx), sample_idx) AS n FROM f, c),"
-    " b AS (SELECT n.fold, x.g, x.p, n.y, "
-    + SCORE.replace("{a}", "n.").replace("{b}", "n.").replace("{c}", "n.").replace("{d}", "n.")
-    + " AS base, 2 * CASE WHEN g IN ('composition', 'gc_content') THEN x.gc_content ELSE n.gc_content END - CASE WHEN g IN ('composition', 'freq_A') THEN x.\"freq_A\" ELSE n.\"freq_A\" END + 0.3 * CASE WHEN g IN ('tail', 'count_poly_t_4') THEN x.count_poly_t_4 ELSE n.count_poly_t_4 END + 4 * CASE WHEN g IN ('tail', 'kmer_TTT') THEN x.\"kmer_TTT\" ELSE n.\"kmer_TTT\" END AS perm FROM n JOIN x ON n.fold = x.fold AND n.n = x.n),"
-    " d AS (SELECT fold, g, p, sqrt(avg((y - perm) ** 2)) - sqrt(avg((y - base) ** 2)) AS delta FROM b GROUP BY 1, 2, 3), e AS (SELECT fold, g, avg(delta) AS d FROM d GROUP BY 1, 2)"
+    f"{DESCRIBED_SQL}, n AS (SELECT *, sample_idx % 5 AS fold, row_number() OVER (PARTITION BY sample_idx % 5 ORDER BY sample_idx) AS n FROM f),"
+    f" c AS (SELECT * FROM (SELECT unnest([{', '.join(repr(g) for g in GROUPS)}]) AS g), (SELECT unnest(range(1, {PERMUTATIONS + 1})) AS p)),"
+    " x AS (SELECT n.* EXCLUDE (n), g, p, row_number() OVER (PARTITION BY fold, g, p ORDER BY md5('42|' || g || '|' || p || '|' || sample_idx), sample_idx) AS n FROM n, c),"
+    f" b2 AS (SELECT n.fold, x.g, x.p, n.y, {score_sql(lambda f: chr(110) + '.' + chr(34) + f + chr(34))} AS base, {score_sql(swapped_sql)} AS perm FROM n JOIN x ON n.fold = x.fold AND n.n = x.n),"
+    " d2 AS (SELECT fold, g, p, sqrt(avg((y - perm) ** 2)) - sqrt(avg((y - base) ** 2)) AS delta FROM b2 GROUP BY 1, 2, 3), e AS (SELECT fold, g, avg(delta) AS d FROM d2 GROUP BY 1, 2)"
 )
 
 
 @query("l6_l7_permutation_importance", DELTAS_SQL + ' SELECT g AS "group", round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS sd, round(median(d), 6) AS median FROM e GROUP BY g')
 def l6_l7_permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = described(spark, sf_dir).select("sample_idx", (F.col("sample_idx") % 5).alias("fold"), "y", *FEATURES)
-    deltas = I.permutation_deltas(rows, "sample_idx", "fold", GROUPS, stand_in, FEATURES, "y", 3, 42)
+    """Importance of each of the 29 descriptors and of their five groups: five held-out folds, ten permutations each."""
+    rows = kept(described(spark, sf_dir).select("sample_idx", (F.col("sample_idx") % 5).alias("fold"), "y", *FEATURES), "described")
+    deltas = I.permutation_deltas(rows, "sample_idx", "fold", GROUPS, stand_in, FEATURES, "y", PERMUTATIONS, 42)
     return I.importance(deltas, "fold").select("group", *(F.round(c, 6).alias(c) for c in ("mean", "sd", "median")))
 
 
 RANKS = "rank() OVER (PARTITION BY feature ORDER BY {c}) + (count(*) OVER (PARTITION BY feature, {c}) - 1) / 2.0"
+RHO = "CASE WHEN var_pop({0}) > 0 AND var_pop({1}) > 0 THEN corr({0}, {1}) END"
+ASSOCIATIONS_SQL = f"{DESCRIBED_SQL}, l AS (SELECT * FROM f UNPIVOT (value FOR feature IN ({NAMES})) WHERE y IS NOT NULL AND pred IS NOT NULL), r AS (SELECT feature, {RANKS.format(c='value')} AS a, {RANKS.format(c='y')} AS b, {RANKS.format(c='pred')} AS c FROM l), h AS (SELECT feature, {RHO.format('a', 'b')} AS rho_actual, {RHO.format('a', 'c')} AS rho_oof, count(*) AS n FROM r GROUP BY feature)"
 
 
-@query(
-    "l8_feature_associations",
-    f"WITH {{S}}, f AS (SELECT sample_idx, y, pred, {SHORT} FROM s), l AS (UNPIVOT f ON gc_content, \"freq_A\", count_poly_t_4, \"kmer_TTT\" INTO NAME feature VALUE value), r AS (SELECT feature, {RANKS.format(c='value')} AS a, {RANKS.format(c='y')} AS b, {RANKS.format(c='pred')} AS c FROM l) SELECT feature, round(corr(a, b), 6) AS rho_actual, round(corr(a, c), 6) AS rho_oof, count(*) AS n FROM r GROUP BY feature",
-)
+@query("l8_feature_associations", ASSOCIATIONS_SQL + " SELECT feature, round(rho_actual, 6) AS rho_actual, round(rho_oof, 6) AS rho_oof, n FROM h")
 def l8_feature_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return associations(spark, sf_dir).select("feature", F.round("rho_actual", 6).alias("rho_actual"), F.round("rho_oof", 6).alias("rho_oof"), "n")
 
 
 def associations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = I.unpivoted(described(spark, sf_dir), ["sample_idx", "y", "pred"], FEATURES)
+    long = I.unpivoted(kept(described(spark, sf_dir), "described"), ["sample_idx", "y", "pred"], FEATURES)
     a = T.spearman(long, "value", "y", ("feature",), "rho_actual")
     b = T.spearman(long, "value", "pred", ("feature",), "rho_oof").drop("n")
     return a.join(b, "feature")
 
 
-@query("l8_adjusted_associations")
+#: Student's distribution by Simpson's rule.
+STUDENT_SQL = (
+    ", t AS (SELECT *, n - 2 AS v, abs(rho_actual) * sqrt((n - 2) / (1 - rho_actual * rho_actual)) AS t FROM h WHERE rho_actual IS NOT NULL), s2 AS (SELECT feature, sum(CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(t * k / 4000.0, 2) / v, -(v + 1) / 2.0)) * t / 12000.0 * exp(lgamma((v + 1) / 2.0) - lgamma(v / 2.0)) / sqrt(v * pi()) AS half FROM t, (SELECT unnest(range(0, 4001)) AS k) GROUP BY feature, t, v),"
+    " p AS (SELECT feature, 1 - 2 * half AS p FROM s2), u AS (SELECT p, p * (SELECT count(*) FROM p) / count(*) OVER (ORDER BY p) AS raw FROM p), q AS (SELECT p, least(min(raw) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS q FROM (SELECT p, min(raw) AS raw FROM u GROUP BY p))"
+)
+
+
+@query("l8_adjusted_associations", ASSOCIATIONS_SQL + STUDENT_SQL + " SELECT h.feature, round(rho_actual, 6) AS rho_actual, round(rho_oof, 6) AS rho_oof, n, round(p.p, 6) AS p, round(q.q, 6) AS q FROM h LEFT JOIN p ON p.feature = h.feature LEFT JOIN q ON q.p = p.p")
 def l8_adjusted_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P-values by Student's t and their false-discovery adjustment."""
-    rows = associations(spark, sf_dir).withColumn("p", T.p_value(F.col("rho_actual"), F.col("n")))
-    return T.benjamini_hochberg(rows, "p")
+    rows = kept(associations(spark, sf_dir).withColumn("p", T.p_value(F.col("rho_actual"), F.col("n"))), "associations")
+    return T.benjamini_hochberg(rows, "p").select("feature", "n", *(F.round(c, 6).alias(c) for c in ("rho_actual", "rho_oof", "p", "q")))
 
 
 MUTANT_SQL = (
@@ -120,18 +145,21 @@ def a14_a18_evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("label", *(F.round(c, 6).alias(c) for c in ("stability", "strength_rank", "effect_share", "evidence", "weight")))
 
 
-@query(
-    "l10_design_rules",
-    f"WITH {{S}}, f AS (SELECT sample_idx, y, {SHORT} FROM s), t AS (SELECT quantile_cont(y, 0.75) AS cut FROM f), l AS (UNPIVOT f ON gc_content, \"freq_A\", count_poly_t_4, \"kmer_TTT\" INTO NAME feature VALUE value) SELECT feature, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75, round(quantile_cont(value, 0.1), 6) AS q10, round(quantile_cont(value, 0.9), 6) AS q90, count(*) AS n FROM l, t WHERE y >= cut GROUP BY feature",
-)
+RULES_SQL = f"t AS (SELECT quantile_cont(y, 0.75) AS cut FROM f), w AS (SELECT feature, value FROM (SELECT f.* FROM f, t WHERE y >= cut) UNPIVOT (value FOR feature IN ({NAMES}))), k AS (SELECT feature, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75, round(quantile_cont(value, 0.1), 6) AS q10, round(quantile_cont(value, 0.9), 6) AS q90, count(*) AS n FROM w GROUP BY feature)"
+
+
+@query("l10_design_rules", f"{DESCRIBED_SQL}, {RULES_SQL} SELECT * FROM k")
 def l10_design_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = described(spark, sf_dir)
-    cut = rows.agg(F.percentile("y", F.lit(0.75)).alias("cut"))
+    """Quantiles of every descriptor among the rows of the highest quarter."""
+    rows = kept(described(spark, sf_dir).where("y is not null"), "described")
+    cut = T.quantiles(rows, "y", {"cut": 0.75})
     strong = I.unpivoted(rows.crossJoin(F.broadcast(cut)).where("y >= cut"), ["sample_idx"], FEATURES)
-    return strong.groupBy("feature").agg(*(F.round(F.percentile("value", F.lit(q / 100)), 6).alias(f"q{q}") for q in (25, 75, 10, 90)), F.count(F.lit(1)).alias("n"))
+    ends = T.quantiles(strong, "value", {f"q{q}": q / 100 for q in (25, 75, 10, 90)}, ("feature",))
+    count = strong.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    return ends.join(count, "feature").select("feature", "n", *(F.round(f"q{q}", 6).alias(f"q{q}") for q in (25, 75, 10, 90)))
 
 
-@query("l10_m13_rules_json")
+@query("l10_m13_rules_json", ASSOCIATIONS_SQL + f""", {RULES_SQL} SELECT '{{' || string_agg('"' || k.feature || '":{{"direction":"' || CASE WHEN rho_actual > 0 THEN 'higher' ELSE 'lower' END || '","range":[' || q25 || ',' || q75 || ']}}', ',' ORDER BY k.feature) || '}}' AS rules FROM k JOIN h ON h.feature = k.feature""")
 def l10_m13_rules_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules as one JSON text."""
     rho = associations(spark, sf_dir).select("feature", F.when(F.col("rho_actual") > 0, "higher").otherwise("lower").alias("direction"))

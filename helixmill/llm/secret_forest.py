@@ -1,14 +1,15 @@
 """Secret scans with a random forest that removes false positives.
 
-A candidate is a run of 16 or more key-like signs with a digit in it. Its features are its length, how often its
+A candidate is a run of ``LEAST`` or more key-like signs, letters alone too. Its features are its length, how often its
 characters change class, entropy and shares of classes, how much of it the corpus' frequent words cover, whether it
 stands in a path or address, and the words beside it (credential names, names of digests and ids, assignment, quotes).
 A forest trained on labelled findings gives each candidate a probability; those below the threshold are removed as
 false positives by ``findings(..., keep=True)`` or marked by default.
 
-Labelled findings are a table (text, label) of one finding each, at most ``FITTED`` rows; ``labelled_findings`` makes
-such a table by rule. Frequent words are counted over all texts. Null texts have no candidates; repeated rows have
-theirs each; an empty table gives an empty table."""
+Labelled findings are a table (doc_id, text, label) of one finding each, at most ``FITTED`` rows; ``labelled_findings``
+makes such a table by rule. Words are counted over all texts, and the ``FREQUENT`` most frequent ones, ties by the word, are
+the dictionary. Null texts have no candidates; repeated rows have theirs each; an empty table gives an empty table. A long
+run is one candidate, whose features take time with its length. Other columns of the texts are not carried along."""
 
 from __future__ import annotations
 
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.-]{16,}")
+#: Signs of a candidate at least.
+LEAST = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.-]{%d,}" % LEAST)
 #: Words that name credentials, and words that name what only looks like one (fixed values).
 CREDENTIAL = ("token", "secret", "key", "password", "passwd", "pwd", "auth", "bearer", "credential", "apikey")
 HARMLESS = ("commit", "sha", "md5", "checksum", "digest", "etag", "uuid", "id", "revision", "build", "phone", "card", "serial", "version")
@@ -102,7 +105,7 @@ def candidates(docs: DataFrame, words: list[str]) -> DataFrame:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for m in CANDIDATE.finditer(text or ""):
                     value = m[0].strip(".=-") if not m[0].endswith("=") else m[0].lstrip(".=-")
-                    if len(value) >= 16 and any(c.isdigit() for c in value):
+                    if len(value) >= LEAST:
                         a = m.start() + m[0].index(value)
                         b = a + len(value)
                         out.append((doc, a, b, value, features(value, text[max(0, a - SIDE) : a], text[b : b + SIDE], own)))
@@ -125,13 +128,11 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 7) -> Data
     for i in range(n):
         secret = i % 2 == 0
         if secret:
-            value = r.choice((hexes, lambda: hexes().upper(), lambda: pick(lower + upper + number, r.randint(20, 64)), lambda: pick(lower + upper + number + "+/", r.choice((40, 44, 64))), lambda: pick(upper + number, r.choice((16, 20))), lambda: pick(lower, 4) + "_" + pick(lower + upper + number, 36)))()
-            if not any(c.isdigit() for c in value):
-                value = value[:-1] + r.choice(number)
+            value = r.choice((hexes, lambda: hexes().upper(), lambda: pick(lower + upper + number, r.randint(20, 64)), lambda: pick(lower + upper + number + "+/", r.choice((40, 44, 64))), lambda: pick(upper + number, r.choice((16, 20))), lambda: pick(lower, 4) + "_" + pick(lower + upper + number, 36), lambda: pick(lower + upper, r.randint(18, 48)), lambda: pick(lower, r.randint(20, 40))))()
             name = r.choice(CREDENTIAL)
             name = r.choice((name, name.upper(), f"api_{name}", f"{word()}_{name}"))
             quote = r.choice(('"', '"', "'", ""))
-            text = r.choice((f"{name} = {quote}{value}{quote}", f"{name}: {quote}{value}{quote}", f"export {name.upper()}={value}", f"authorization: bearer {value}"))
+            text = r.choice((f"{name} = {quote}{value}{quote}", f"{name}: {quote}{value}{quote}", f'"{name}": "{value}"', f"export {name.upper()}={value}", f"authorization: bearer {value}"))
         else:
             made = r.choice(
                 (
@@ -144,6 +145,10 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 7) -> Data
                     lambda: "_".join([*(word() for _ in range(r.randint(3, 6))), str(r.randint(1, 999))]),
                     lambda: "".join(word().title() for _ in range(r.randint(4, 7))) + str(r.randint(1, 99)),
                     lambda: f"{r.choice(CREDENTIAL)} = \"{r.choice(('xxxxxxxxxxxxxxxx1', 'your-api-key-here-1', '0123456789abcdef', '00000000000000000000', 'changeme-changeme-1', 'example-key-example-1'))}\"",
+                    lambda: "".join(word() for _ in range(r.randint(5, 9))),
+                    lambda: "-".join(word() for _ in range(r.randint(4, 7))),
+                    lambda: "".join(word().title() for _ in range(r.randint(4, 7))),
+                    lambda: f'"{r.choice(HARMLESS)}": "{hexes()}"',
                     lambda: f"{word()}.{r.randint(1, 99)}@mail{r.randint(1, 9)}.example.com",
                     lambda: f"{r.randint(2000, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}-{r.randint(10, 59)}-{r.randint(10, 59)}",
                 )

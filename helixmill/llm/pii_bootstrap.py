@@ -118,9 +118,10 @@ def base_spans(text: Column) -> Column:
 
 
 def shape(value: Column) -> Column:
-    """Digits as 9 (short runs as one); all addresses have one shape."""
-    nines = F.regexp_replace(value, "[0-9]", "9")
-    return F.when(value.rlike("[A-Za-z@]"), "a@a").otherwise(F.regexp_replace(nines, "(?<!9)9{1,3}(?!9)", "9"))
+    """Digits as 9 (short runs as one), without a leading plus, spaces, dashes and brackets alike; all addresses have one
+    shape. So a number in national form has the patterns of those with a country's code."""
+    nines = F.regexp_replace(F.regexp_replace(F.ltrim(value, F.lit("+")), "[0-9]", "9"), r"[\x20()-]+", " ")
+    return F.when(value.rlike("[A-Za-z@]"), "a@a").otherwise(F.regexp_replace(F.trim(nines), "(?<!9)9{1,3}(?!9)", "9"))
 
 
 def candidates(text: Column) -> Column:

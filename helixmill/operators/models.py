@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .folds import shuffled_order
@@ -114,3 +114,37 @@ def scored_once(df: DataFrame, sequence: str, score: Callable[[pd.Series], pd.Se
 
     told = df.select(sequence).distinct().withColumn(name, hook(F.col(sequence)))
     return df.join(told, sequence, "left")
+
+
+def ensemble_scored(df: DataFrame, sequence: str, scorers: list[Callable[[pd.Series], pd.Series]], name: str = "ensemble") -> DataFrame:
+    """Adds struct<mean, sd, n> of the scores of several batch scorers; each distinct sequence is scored once by each.
+
+    Null sequences have none. ``sd`` is the sample's, 0 for one scorer."""
+
+    @F.pandas_udf("mean double, sd double, n int")
+    def hook(batch: pd.Series) -> pd.DataFrame:
+        told = pd.concat([s(batch).reset_index(drop=True) for s in scorers], axis=1).to_numpy(float)
+        sd = told.std(axis=1, ddof=1) if len(scorers) > 1 else told[:, 0] * 0.0
+        return pd.DataFrame({"mean": told.mean(axis=1), "sd": sd, "n": len(scorers)}).astype({"n": "int32"})
+
+    told = df.where(F.col(sequence).isNotNull()).select(sequence).distinct().withColumn(name, hook.asNondeterministic()(F.col(sequence)))
+    return df.join(told, sequence, "left")
+
+
+def saved_models(spark: SparkSession, root: str) -> list[LinearRegressionModel]:
+    """The linear models saved in the folders under a root, by name of folder."""
+    from ..sources.tables import hadoop_path
+
+    path, fs = hadoop_path(spark, root)
+    return [LinearRegressionModel.load(p) for p in sorted(str(x.getPath()) for x in fs.listStatus(path) if x.isDirectory())]
+
+
+def mean_prediction(df: DataFrame, models: list[LinearRegressionModel], features: str, name: str = "prediction") -> DataFrame:
+    """Adds the mean of several models' predictions; no rows move."""
+    out = df
+    for i, m in enumerate(models):
+        out = m.copy().setPredictionCol(f"_p{i}").transform(out)
+    total = F.lit(0.0)
+    for i in range(len(models)):
+        total = total + F.col(f"_p{i}")
+    return out.withColumn(name, total / max(len(models), 1)).drop(*(f"_p{i}" for i in range(len(models))))

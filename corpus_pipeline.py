@@ -7,7 +7,8 @@
 4. PII: identifiers are replaced by their kind.
 5. best-fit packing: the token pieces of all documents with their places in sequences of 4096 tokens.
 
-Stages 1 to 4 return the columns of ``documents``; rows with null or wordless texts are rejected by stage 1.
+The stages set the size of the session's Arrow batches. Stages 1 to 4 return the columns of ``documents``; rows with null or
+wordless texts are rejected by stage 1.
 Repeated rows are copies of each other and leave one row."""
 
 from __future__ import annotations
@@ -24,12 +25,22 @@ from helixmill.llm.queries import CAPACITY, tokenizer_path
 ORACLE_SQL = None
 
 
+#: Rows of a batch that goes to Python at most: texts are long, and both sides hold a whole batch.
+BATCH = 4000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's batches for the stages: they are written, and so run, after a stage's function has returned."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``docs`` with n_chars of its text as it is now."""
     return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     model = language_id.fit(docs.where(~language_id.held_out()))
     told = carried(docs, language_id.tell(F.col("text"), model).alias("_told")).where(~F.col("_told.rejected"))
     # without a labelled row there is no model: what has letters stays, with the language that it had
@@ -37,6 +48,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     groups = ngram_join.similar_groups(docs.select("doc_id", "text"))
     # rows without an id are kept as they are, but for repeated ones
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
@@ -47,14 +59,17 @@ def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return counted(paragraph_dedup.without_passages(docs), docs.columns)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return counted(pii_bootstrap.redact(docs), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return best_fit_pack.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), CAPACITY)
 
 

@@ -11,6 +11,8 @@ from .common import load
 
 SHARDS = 16
 CAPACITY = 4096
+#: Rounds of clustering that move centroids.
+ROUNDS = 5
 
 
 def tokenizer_path(name: str) -> str:
@@ -87,6 +89,12 @@ def op8_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(load(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), CAPACITY)
 
 
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ball_tree import cluster
+
+    return cluster(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", dims=64, k=40, rounds=ROUNDS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pii_bootstrap": op2_pii_bootstrap,
@@ -98,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_pack": op8_best_fit_pack,
     "op9_wav_landmarks": op9_wav_landmarks,
     "op10_piece_fst": op10_piece_fst,
+    "op11_ball_tree": op11_ball_tree,
 }
 
 #: Links of documents and the smallest id that they reach, step by step.
@@ -111,4 +120,22 @@ e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS node, doc_id AS low FROM documents UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node WHERE r.low < e.b)
 SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.low)::BIGINT AS component_id FROM documents d JOIN r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
 
-ORACLES: dict[str, str] = {"op4_ngram_join": OP4_SQL}
+
+def clusters_sql(rounds: int) -> str:
+    """Rounds of integer k-means over (vector, dimension) rows."""
+    steps = [
+        "v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "u AS MATERIALIZED (SELECT vec_id, i::INT AS i, v[i::INT] AS x FROM (SELECT vec_id, v, unnest(range(1, 65)) AS i FROM v))",
+        "f AS MATERIALIZED (SELECT vec_id, (row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1)::INT AS c FROM v QUALIFY c < 40)",
+        "c0 AS MATERIALIZED (SELECT c, i, x FROM f JOIN u USING (vec_id))",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT vec_id, arg_min(c, d * 64 + c)::INT AS c, min(d)::BIGINT AS d FROM (SELECT u.vec_id, z.c, sum((u.x - z.x) * (u.x - z.x)) AS d FROM u JOIN c{k} z USING (i) GROUP BY 1, 2) GROUP BY 1)")
+        if k < rounds:
+            steps.append(f"m{k} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM a{k} JOIN u USING (vec_id) GROUP BY 1, 2)")
+            steps.append(f"c{k + 1} AS MATERIALIZED (SELECT z.c, z.i, CASE WHEN n IS NULL THEN z.x ELSE ((s - ((s % n) + n) % n) // n)::BIGINT END AS x FROM c{k} z LEFT JOIN m{k} USING (c, i))")
+    steps.append(f"h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)")
+    return "WITH " + ", ".join(steps) + f" SELECT vec_id, a.c AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, centroid_sha256 FROM a{rounds} a JOIN h ON h.c = a.c"
+
+
+ORACLES: dict[str, str] = {"op4_ngram_join": OP4_SQL, "op11_ball_tree": clusters_sql(ROUNDS)}

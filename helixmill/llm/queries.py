@@ -95,6 +95,15 @@ def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", dims=64, k=40, rounds=ROUNDS)
 
 
+def op12_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import held_out
+    from .quality_network import fit, predict
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, load(spark, sf_dir, "labels").where(~held_out()))
+    return predict(docs.select("doc_id", "text", held_out().alias("held_out")), model).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pii_bootstrap": op2_pii_bootstrap,
@@ -107,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_wav_landmarks": op9_wav_landmarks,
     "op10_piece_fst": op10_piece_fst,
     "op11_ball_tree": op11_ball_tree,
+    "op12_quality_network": op12_quality_network,
 }
 
 #: Links of documents and the smallest id that they reach, step by step.

@@ -115,3 +115,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def powers(n: int) -> np.ndarray:
+    """uint64[n]: the powers of an odd number, for hashes of words by place."""
+    out = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)

@@ -104,6 +104,12 @@ def op12_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text", held_out().alias("held_out")), model).drop("text")
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrase_mining import mine
+
+    return mine(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pii_bootstrap": op2_pii_bootstrap,
@@ -117,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_piece_fst": op10_piece_fst,
     "op11_ball_tree": op11_ball_tree,
     "op12_quality_network": op12_quality_network,
+    "op13_phrase_mining": op13_phrase_mining,
 }
 
 #: Links of documents and the smallest id that they reach, step by step.
@@ -148,4 +155,23 @@ def clusters_sql(rounds: int) -> str:
     return "WITH " + ", ".join(steps) + f" SELECT vec_id, a.c AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, centroid_sha256 FROM a{rounds} a JOIN h ON h.c = a.c"
 
 
-ORACLES: dict[str, str] = {"op4_ngram_join": OP4_SQL, "op11_ball_tree": clusters_sql(ROUNDS)}
+#: Every run of words counted, cut and compared; {least} and {most} are the thresholds.
+PHRASES_SQL = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+n AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i : i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest(range(1, 6))::INT AS k) WHERE len(words) >= k),
+f AS MATERIALIZED (SELECT lang, k AS words, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= {least}),
+c AS MATERIALIZED (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1),
+t AS (SELECT c.*, k::INT AS k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:words], ' ') AS y FROM (SELECT *, unnest(range(1, words)) AS k FROM c) c),
+s AS (SELECT t.lang, t.phrase, t.words, t.w, t.a, x.f AS l, y.f AS r, n.n, k, (1000::HUGEINT * t.a * n.n) // (x.f::HUGEINT * y.f) AS score FROM t JOIN f x ON x.lang = t.lang AND x.phrase = t.x JOIN f y ON y.lang = t.lang AND y.phrase = t.y JOIN n ON n.lang = t.lang
+  QUALIFY row_number() OVER (PARTITION BY t.lang, t.phrase ORDER BY score, k) = 1),
+i AS (SELECT DISTINCT lang, a, array_to_string(w[j : j + m - 1], ' ') AS phrase FROM (SELECT lang, a, w, words, m, unnest(range(1, words - m + 2)) AS j FROM (SELECT lang, a, w, words, unnest(range(2, words)) AS m FROM c))),
+o AS (SELECT * FROM s ANTI JOIN i ON i.lang = s.lang AND i.phrase = s.phrase AND i.a >= s.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM o QUALIFY rank <= {most}"""
+
+
+def phrases_sql(least: int = 100, most: int = 2000) -> str:
+    return PHRASES_SQL.replace("{least}", str(least)).replace("{most}", str(most))
+
+
+ORACLES: dict[str, str] = {"op4_ngram_join": OP4_SQL, "op11_ball_tree": clusters_sql(ROUNDS), "op13_phrase_mining": phrases_sql()}

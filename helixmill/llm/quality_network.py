@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, mix64, restored, slices
+from .common import carried, mix64, powers, restored, slices
 
 #: Slots of hashed words, components of a vector, entries of an index vector, neighbours on each side.
 SLOTS = 1 << 14
@@ -67,7 +67,7 @@ def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             inside = np.flatnonzero(kind != 0)
             word = np.cumsum(start)[inside] - 1
             place = inside - first[word]
-            power = np.cumprod(np.concatenate([[1], np.full(int(place.max()), 0x9E3779B97F4A7C15, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+            power = powers(int(place.max()) + 1)
             cuts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             h = np.add.reduceat((LOWER[own[inside]].astype(np.uint64) + np.uint64(1)) * power[place], cuts)
             upper = np.minimum.reduceat(((own[inside] >= 65) & (own[inside] <= 90)).astype(np.uint8), cuts)

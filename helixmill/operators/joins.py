@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import kept
+
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """One row per key: the first in a stated order (``dropDuplicates`` keeps any)."""
@@ -38,36 +40,56 @@ def mismatches(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str],
     return both.where(F.col("_here").isNull() | F.col("_there").isNull() | far).select(*keys)
 
 
-#: Rows of a tile, about.
+#: Rows of a tile, and pivots at most; a table gets a pivot for each tile that it would fill.
 TILE = 4096
+PIVOTS = 256
+#: Relative room for rounding in bounds of distances.
+ROOM = 1e-6
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of two matrices."""
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0))
+
+
+def stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(float)
+
 
+def pivot_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``points`` (_k, _v, _b) with _cell, their nearest pivot, and _away, their distance from it."""
 
-def tile_count(queries: DataFrame, points: DataFrame, block: str | None, least: int) -> int:
-    """Parts into which the largest block is dealt so that none holds much over TILE rows."""
-    on = [block] if block else []
-    most = max(df.groupBy(*on).count().agg(F.max("count")).first()[0] or 0 for df in (queries, points))
-    return max(least, -(-most // TILE))
+    @F.pandas_udf("cell int, away double")
+    def home(v: pd.Series) -> pd.DataFrame:
+        d = np.concatenate([apart(stacked(v[i : i + TILE]), pivots) for i in range(0, len(v), TILE)]) if len(v) else np.zeros((0, 1))
+        return pd.DataFrame({"cell": d.argmin(axis=1).astype("int32") if len(d) else [], "away": d.min(axis=1) if len(d) else []})
 
+    at = points.withColumn("_at", home.asNondeterministic()("_v"))
+    return at.select("_k", "_v", "_b", F.col("_at.cell").alias("_cell"), F.col("_at.away").alias("_away"))
 
-def nearest(queries: DataFrame, points: DataFrame, key: str, vector: str, exclude_self: bool = False, block: str | None = None, tiles: int = 8, name: str = "nn_distance") -> DataFrame:
-    """(key, distance) of each query's nearest point, exactly: query tiles meet point tiles, as matrix products.
 
-    ``block`` compares within equal values alone. Rows are dealt into ``tiles`` parts, more for large tables, so a task
-    holds one part of about TILE rows of each side. A least distance per query and tile is all that is shuffled."""
-    on = [block] if block else []
-    tiles = tile_count(queries, points, block, tiles)
-    deal = lambda df, side: df.select(F.col(key).alias("_k"), F.col(vector).alias("_v"), *on, F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int").alias("_own"), F.lit(side).alias("_side"))
-    numbers = F.array(*(F.lit(k) for k in range(tiles)))
-    q = deal(queries, 0).withColumn("_other", F.explode(numbers)).withColumn("_tile", F.col("_own") * tiles + F.col("_other")).drop("_own", "_other")
-    p = deal(points, 1).withColumn("_other", F.explode(numbers)).withColumn("_tile", F.col("_other") * tiles + F.col("_own")).drop("_own", "_other")
+def bounds(v: pd.Series, cells: pd.Series, pivots: np.ndarray):
+    """For each query: its distances from the pivots of its block's cells, and the cells' numbers, least and greatest distances and sizes."""
+    for row, own in zip(stacked(v), cells, strict=True):
+        number, low, high, n = (np.array([c[f] for c in own], float) for f in ("cell", "low", "high", "n"))
+        yield apart(row[None], pivots[number.astype(int)])[0], number.astype(int), low, high, n, ROOM * (1 + np.abs(row).max() + np.abs(pivots).max())
+
+
+def compared(q: DataFrame, p: DataFrame, exclude_self: bool, kind: str) -> DataFrame:
+    """(_k, _d): the least distance of each query (_k, _v, _b, _cell) from points of its cell, in tiles of TILE rows of each side."""
+    tiles = lambda df, n: df.groupBy("_b", "_cell").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias(n))
+    size = tiles(q, "_tq").join(tiles(p, "_tp"), ["_b", "_cell"])
+    dealt = lambda df, own, other, side: (
+        df.select("_k", "_v", "_b", "_cell").join(size, ["_b", "_cell"]).withColumn("_own", F.pmod(F.xxhash64("_k"), F.col(own)).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        .select("_k", "_v", "_b", "_cell", F.lit(side).alias("_side"), F.concat_ws("|", *(("_own", "_other") if side == 0 else ("_other", "_own"))).alias("_tile"))
+    )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
         if not len(a) or not len(b):
-            return pd.DataFrame({"_k": pd.Series([], dtype="int64"), "_d": pd.Series([], dtype="float64")})
-        x, y = np.stack(a["_v"].to_numpy()).astype(float), np.stack(b["_v"].to_numpy()).astype(float)
-        least = np.full(len(x), np.inf)
-        other = b["_k"].to_numpy()
+            return pd.DataFrame({"_k": pdf["_k"][:0], "_d": pd.Series([], dtype="float64")})
+        x, y = stacked(a["_v"]), stacked(b["_v"])
+        least, other = np.full(len(x), np.inf), b["_k"].to_numpy()
         for i in range(0, len(x), 256):
             square = (x[i : i + 256] ** 2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x[i : i + 256] @ y.T
             if exclude_self:
@@ -78,8 +100,55 @@ def nearest(queries: DataFrame, points: DataFrame, key: str, vector: str, exclud
         ok = np.isfinite(least)
         return pd.DataFrame({"_k": a["_k"].to_numpy()[ok], "_d": least[ok]})
 
+    both = dealt(q, "_tq", "_tp", 0).unionByName(dealt(p, "_tp", "_tq", 1))
+    return both.groupBy("_b", "_cell", "_tile").applyInPandas(compare, f"_k {kind}, _d double")
+
+
+def nearest(queries: DataFrame, points: DataFrame, key: str, vector: str, exclude_self: bool = False, block: str | None = None, pivots: int | None = None, name: str = "nn_distance") -> DataFrame:
+    """(key, distance) of each query's nearest point, exactly, by cells around pivots.
+
+    Points are dealt to the nearest of some pivots among them; a cell knows the least and the greatest distance of its points from
+    its pivot. A query first meets the cell of its nearest pivot. The distance found there, or what the triangle inequality grants
+    it in any cell, is a bound, and it meets the other cells alone in which, by that inequality again, a point can lie as near.
+    Cells and their queries are compared in tiles, so a cell of most rows is no one's task; a row is copied for each tile of the
+    cells that it meets. ``block`` compares within equal values alone (null is one of them). Rows without a vector are left out;
+    a query without another point has no row."""
+    of = F.coalesce(F.concat(F.lit("="), F.col(block).cast("string")), F.lit("")) if block else F.lit("")
+    shaped = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(key).alias("_k"), F.col(vector).cast("array<double>").alias("_v"), of.alias("_b"))
     kind = queries.schema[key].dataType.simpleString()
-    found = q.unionByName(p).groupBy(*on, "_tile").applyInPandas(compare, f"_k {kind}, _d double")
+    few = pivots or max(1, min(PIVOTS, points.count() // TILE))
+    chosen = shaped(points).orderBy(F.xxhash64("_k")).limit(few).collect() if few > 1 else []
+    if len(chosen) < 2:
+        found = compared(shaped(queries).withColumn("_cell", F.lit(0)), shaped(points).withColumn("_cell", F.lit(0)), exclude_self, kind)
+        return found.groupBy(F.col("_k").alias(key)).agg(F.min("_d").alias(name))
+    centre = np.array([r["_v"] for r in chosen], float)
+    p = kept(pivot_cells(shaped(points), centre), "cells")
+    cells = p.groupBy("_b", "_cell").agg(F.min("_away").alias("low"), F.max("_away").alias("high"), F.count(F.lit(1)).alias("n"))
+    cells = kept(cells.groupBy("_b").agg(F.collect_list(F.struct(F.col("_cell").alias("cell"), "low", "high", "n")).alias("_cells")), "blocks")  # ``few`` entries at most
+
+    @F.pandas_udf("cell int, bound double")
+    def first(v: pd.Series, own: pd.Series) -> pd.DataFrame:
+        out = []
+        for d, number, _, high, n, room in bounds(v, own, centre):
+            some = n > int(exclude_self)
+            out.append((int(number[d.argmin()]), float((d + high + room)[some].min()) if some.any() else np.inf))
+        return pd.DataFrame(out, columns=["cell", "bound"]).astype({"cell": "int32", "bound": "float64"})
+
+    q = shaped(queries).join(cells, "_b").withColumn("_at", first.asNondeterministic()("_v", "_cells"))
+    q = kept(q.select("_k", "_v", "_b", F.col("_at.cell").alias("_cell"), F.col("_at.bound").alias("_bound")), "queries")
+    near = kept(compared(q, p, exclude_self, kind).groupBy("_k").agg(F.min("_d").alias("_d")), "near")
+
+    @F.pandas_udf("array<int>")
+    def others(v: pd.Series, own: pd.Series, home: pd.Series, bound: pd.Series) -> pd.Series:
+        out = []
+        for (d, number, low, high, _, room), h, most in zip(bounds(v, own, centre), home, bound, strict=True):
+            out.append(number[(np.maximum(d - high, low - d) <= most + room) & (number != h)].astype("int32"))
+        return pd.Series(out)
+
+    bound = F.least("_bound", F.coalesce("_d", F.lit(float("inf"))))
+    more = q.join(near, "_k", "left").join(cells, "_b").withColumn("_to", others.asNondeterministic()("_v", "_cells", "_cell", bound))
+    more = kept(more.select("_k", "_v", "_b", F.explode("_to").alias("_cell")), "met")
+    found = near.unionByName(compared(more, p, exclude_self, kind))
     return found.groupBy(F.col("_k").alias(key)).agg(F.min("_d").alias(name))
 
 

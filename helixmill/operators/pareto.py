@@ -1,18 +1,23 @@
-"""Non-dominated fronts, crowding and greedy selections.
+"""Non-dominated fronts, crowding and greedy selections, per block (a target's candidates) of any size.
 
-Fronts are worked out per block (a target's candidates), which goes to one task: blocks of more than ``BLOCK`` rows are
-refused. The first front alone of blocks of any size is found by ``skyline``, which compares within salted parts before it
-compares what they leave."""
+Fronts go through ranges of a block in lexical order. The first front alone is found by ``skyline``, which compares within
+salted parts before it compares what they leave."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import kept
+from .folds import numbered
 
+#: Different rows of a range of fronts, about.
+STEP = 50_000
 #: Rows of a block at most.
 BLOCK = 100_000
 
@@ -26,43 +31,93 @@ def bounded(df: DataFrame, block: str) -> DataFrame:
 
 
 def front_numbers(x: np.ndarray) -> np.ndarray:
-    """Front (0 is best) of each row of objectives, all of which are minimised.
-
-    In lexical order a row is beaten only by rows before it, and its front is the first one no row of which beats it; as each
-    front's rows are beaten by rows of all fronts before, that one is found by bisection."""
-    front = np.zeros(len(x), np.int64)
+    """Front (0 is best) of each row of objectives, all of which are minimised; equal rows share one."""
     if not len(x):
-        return front
-    rows, which = np.unique(x, axis=0, return_inverse=True)  # equal rows share a front
-    members: list[list[int]] = []
-    number = np.zeros(len(rows), np.int64)
-    for i, row in enumerate(rows):
-        low, high = 0, len(members)
+        return np.zeros(0, np.int64)
+    rows, which = np.unique(x, axis=0, return_inverse=True)
+    return range_fronts(rows)[0][which.reshape(-1)]
+
+
+def range_fronts(x: np.ndarray, before: list[np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Front (0 is best) of each row of objectives, all minimised, of different rows in lexical order; and what later rows need.
+
+    In lexical order a row is beaten only by rows before it, by those that are as small in all objectives but the first. Of each
+    front only its rows that are smallest in those matter, so ``before`` and the second result hold these alone, by front.
+    Fronts of two objectives have one such value, and it ascends; with more, a row of a front is beaten by rows of all fronts
+    before, so the first front that doesn't beat it is found by bisection, too."""
+    rest = x[:, 1:]
+    number = np.zeros(len(x), np.int64)
+    if x.shape[1] == 2:
+        least = [float(m[0, 0]) for m in before or []]
+        for i, y in enumerate(rest[:, 0].tolist()):
+            k = bisect_right(least, y)
+            if k == len(least):
+                least.append(y)
+            least[k] = y
+            number[i] = k
+        return number, [np.array([[y]]) for y in least]
+    stacked = list(before or [])
+    for i, row in enumerate(rest):
+        low, high = 0, len(stacked)
         while low < high:
             k = (low + high) // 2
-            if (rows[members[k]] <= row).all(axis=1).any():
-                low = k + 1
-            else:
-                high = k
-        if low == len(members):
-            members.append([])
-        members[low].append(i)
+            low, high = (k + 1, high) if (stacked[k] <= row).all(axis=1).any() else (low, k)
+        if low == len(stacked):
+            stacked.append(np.zeros((0, rest.shape[1])))
+        kept = stacked[low][~(row <= stacked[low]).all(axis=1)]
+        stacked[low] = np.concatenate([kept, row[None]])
         number[i] = low
-    front[:] = number[which.reshape(-1)]
-    return front
-
-
-def fronts(df: DataFrame, block: str, objectives: list[str], name: str = "pareto_rank") -> DataFrame:
-    """Adds the front of each row within its block; rows with a missing objective have none."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ok = pdf[objectives].notna().all(axis=1)
-        out = pd.array([None] * len(pdf), dtype="Int32")
-        out[ok.to_numpy()] = front_numbers(pdf.loc[ok, objectives].to_numpy(float)).astype("int32")
-        return pdf.assign(**{name: out})
-
-    return bounded(df, block).groupBy(block).applyInPandas(run, f"{fields}, `{name}` int")
+    return number, stacked
+
+
+def fronts(df: DataFrame, block: str, objectives: list[str], name: str = "pareto_rank", step: int = STEP) -> DataFrame:
+    """Adds the front of each row within its block; rows with a missing objective have none. Blocks may be of any size.
+
+    Different rows are dealt into ranges of about ``step`` by block and lexical order of their objectives. A round works out one
+    range of every block, given the fronts' smallest values of the ranges before, which is all that a later range needs; tasks
+    hold a range and those values. Blocks of fewer rows take one round or two; a large block as many as it has ranges."""
+    if not 1 < len(objectives):
+        raise ValueError("fronts need two objectives or more")
+    points = df.dropna(subset=objectives).select(F.col(block).alias("_block"), *(F.col(o).cast("double").alias(f"_o{i}") for i, o in enumerate(objectives))).distinct()
+    own = [f"_o{i}" for i in range(len(objectives))]
+    points = kept(points, "points")
+    ranges = max(1, -(-points.count() // step))
+    laid = kept(points.repartitionByRange(ranges, "_block", *own).withColumn("_part", F.spark_partition_id()), "ranges")
+    order = laid.select("_block", "_part").distinct().select(F.col("_block").alias("_b"), F.col("_part").alias("_p"), F.row_number().over(Window.partitionBy("_block").orderBy("_part")).alias("_round"))
+    laid = laid.join(order, F.col("_block").eqNullSafe(F.col("_b")) & (F.col("_part") == F.col("_p"))).select("_block", *own, "_round")
+    laid = kept(laid, "rounds", by=["_round"])
+    rounds = laid.agg(F.max("_round")).first()[0] or 0
+    kind = laid.schema["_block"].dataType.simpleString()
+    fields = f"_block {kind}, {', '.join(f'{o} double' for o in own)}, _rank int, _later boolean"
+
+    def run(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        x = rows[own].to_numpy(float)
+        x = x[np.lexsort(x.T[::-1])]
+        told = state.sort_values("_rank", kind="stable")
+        before = [m.to_numpy(float) for _, m in told[own[1:]].groupby(told["_rank"].to_numpy())]
+        number, after = range_fronts(x, before)
+        if not len(x):
+            x, number, after = np.zeros((0, len(own))), number, before
+        late = np.concatenate([np.zeros((0, len(own) - 1)), *after])
+        out = pd.DataFrame(np.concatenate([x, np.concatenate([np.zeros((len(late), 1)), late], axis=1)]), columns=own)
+        ranks = np.concatenate([number, np.repeat(np.arange(len(after)), [len(m) for m in after])]).astype("int32")
+        first = (rows if len(rows) else state)["_block"].iloc[0]
+        return out.assign(_block=first, _rank=ranks, _later=np.arange(len(out)) >= len(x))[["_block", *own, "_rank", "_later"]]
+
+    state = df.sparkSession.createDataFrame([], fields)
+    done = None
+    for r in range(1, rounds + 1):
+        rows = laid.where(F.col("_round") == r).select("_block", *own)
+        both = rows.groupBy("_block").cogroup(state.where("_later").groupBy("_block")).applyInPandas(run, fields)
+        state = kept(both, "fronts")
+        ranked = state.where("not _later").drop("_later")
+        done = ranked if done is None else done.unionByName(ranked)
+    same = F.col(block).eqNullSafe(F.col("_block"))
+    for o, c in zip(objectives, own, strict=True):
+        same = same & (F.col(o).cast("double") == F.col(c))
+    if done is None:
+        return df.withColumn(name, F.lit(None).cast("int"))
+    return df.join(done, same, "left").drop("_block", *own).withColumnRenamed("_rank", name)
 
 
 def skyline(df: DataFrame, block: str, key: str, objectives: list[str], parts: int = 16) -> DataFrame:
@@ -100,8 +155,9 @@ def crowding(df: DataFrame, keys: list[str], objectives: list[str], key: str, na
 
 
 def pareto_order(df: DataFrame, block: str, error: str, key: str, name: str = "pareto_position") -> DataFrame:
-    w = Window.partitionBy(block).orderBy("pareto_rank", F.desc("crowding_distance"), error, key)
-    return df.withColumn(name, F.row_number().over(w))
+    """Adds 1, 2, ... within the block by front, crowding (the widest first), error and key; no window holds more than a front."""
+    parted = df.withColumn("_front", F.col("pareto_rank"))
+    return numbered(parted, [block], [F.desc("crowding_distance"), error, key], name, "_front").withColumn(name, F.col(name).cast("int"))
 
 
 def diverse(df: DataFrame, block: str, key: str, vector: str, order: list[str], least: float, most: int) -> DataFrame:

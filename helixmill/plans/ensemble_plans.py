@@ -97,7 +97,7 @@ def l12_full_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = rows.withColumn("members", members).withColumn("pred_y", mean).withColumn("pred_sd", sd)
     near = J.nearest(rows, rows, "sample_idx", "x", exclude_self=True)
     own = rows.where("lang is not null")
-    own = J.nearest(own, own, "sample_idx", "x", exclude_self=True, block="lang", tiles=4, name="target_nn_distance")
+    own = J.nearest(own, own, "sample_idx", "x", exclude_self=True, block="lang", name="target_nn_distance")
     copies = rows.groupBy("seq").agg((F.count(F.lit(1)) == 1).alias("is_novel"))
     every = told.join(near, "sample_idx").join(own, "sample_idx", "left").join(copies, "seq").crossJoin(F.broadcast(natural.crossJoin(F.broadcast(rule))))
     te = X.y_to_te(F.col("pred_y"))

@@ -72,7 +72,7 @@ def j15_nearest_other(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("j16_nearest_in_target", f"WITH {VECTORS} SELECT a.vec_id, round(sqrt(min({SQUARE})), 6) AS nn_distance FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1")
 def j16_nearest_in_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    return J.nearest(rows, rows, "vec_id", "e", exclude_self=True, block="label", tiles=4).withColumn("nn_distance", F.round("nn_distance", 6))
+    return J.nearest(rows, rows, "vec_id", "e", exclude_self=True, block="label").withColumn("nn_distance", F.round("nn_distance", 6))
 
 
 @query("j17_band_join", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON abs(s_acctbal - c_acctbal) <= 2.5")

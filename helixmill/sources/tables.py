@@ -188,8 +188,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """The table written under the session's shared folder and read again, so that what reads it twice works it out once."""
+def kept(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """The table written under the session's shared folder and read again, so that what reads it twice works it out once.
+
+    ``by`` parts its files by the values of columns, which then come last."""
     where = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(where)
+    df.write.partitionBy(*by or []).parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)

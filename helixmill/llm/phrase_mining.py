@@ -4,8 +4,8 @@
    ``CELLS`` hashed cells. A cell's total bounds what falls into it from above, so a run whose cell is below the threshold is no
    candidate. Cells that reach it become a bitmap of fixed size (CELLS / 8 bytes), which tasks get. More text than cells makes
    the bound looser and the candidates more, never the result other.
-2. Candidates. Runs that pass, and all runs inside which do, are collected as different (lang, phrase) in a written table; a
-   batch tells its runs apart by hashes of 64 bits.
+2. Candidates. Runs that pass, and all runs inside which do, are collected as different (lang, phrase) in a written table;
+   tasks tell runs apart by hashes of 64 bits.
 3. Counts. Candidates are dealt by hash into groups of about ``PATTERNS``; each group compiles into an automaton for each
    language whose patterns begin and end with a delimiter, so only whole words match. Tasks scan their texts, pieces apart,
    count all matches, overlaps included, and Spark sums them.
@@ -36,8 +36,13 @@ CELLS = 1 << 27
 #: Phrases of an automaton group, about.
 PATTERNS = 250_000
 LONGEST = 5
+#: One text in so many is looked through first for candidates, of which so many are told to all tasks.
+SAMPLED = 16
+KNOWN = 1 << 20
+#: Counts that a row holds.
+WIDE = 64
 #: Cells that a task holds before it counts and sends them, and bytes of text that are hashed at once.
-HELD = 1 << 21
+HELD = 1 << 20
 BLOCK = 1 << 20
 #: Parts that a language's phrases are dealt into for their order.
 PARTS = 32
@@ -172,8 +177,8 @@ def bits_of(packed: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed), np.uint8)
 
 
-def candidates(docs: DataFrame, short: bytes, long: bytes, cells: int) -> DataFrame:
-    """(lang, phrase, words): different runs of one to five words that the sketches let pass, with all runs inside."""
+def passing_runs(docs: DataFrame, short: bytes, long: bytes, cells: int, known: np.ndarray) -> DataFrame:
+    """(lang, phrase, key): runs of one to five words that the sketches let pass, with all runs inside, but for ``known`` keys."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         few, many = bits_of(short), bits_of(long)
@@ -182,7 +187,7 @@ def candidates(docs: DataFrame, short: bytes, long: bytes, cells: int) -> DataFr
             runs = Runs(batch.column("text"), batch.column("lang"), cells)
             langs = batch.column("lang").to_pylist()
             low = LOWER[runs.raw].tobytes()
-            own, phrases, sizes = [], [], []
+            own, phrases, keys = [], [], []
             places = runs.pairs(few)
             for n in range(1, LONGEST + 1):
                 if n > 2:
@@ -190,17 +195,31 @@ def candidates(docs: DataFrame, short: bytes, long: bytes, cells: int) -> DataFr
                     inner[places[n - 1]] = True
                     places[n] = runs.passing(n, places[n][inner[places[n]] & inner[places[n] + 1]], many)
                 key, at = np.unique(runs.keys(n, places[n]), return_index=True)
-                for k, i in zip(key.tolist(), places[n][at].tolist(), strict=True):
+                new = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] != key if len(known) else np.ones(len(key), bool)
+                for k, i in zip(key[new].tolist(), places[n][at[new]].tolist(), strict=True):
                     if k not in seen:
                         seen.add(k)
                         own.append(langs[runs.row[i]])
                         phrases.append(b" ".join([low[runs.first[j] : runs.last[j]] for j in range(i, i + n)]).decode())
-                        sizes.append(n)
+                        keys.append(k)
             if len(seen) > HELD:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(phrases, pa.string()), pa.array(sizes, pa.int32())], ["lang", "phrase", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(phrases, pa.string()), pa.array(np.array(keys, np.uint64).view(np.int64))], ["lang", "phrase", "key"])
 
-    return docs.mapInArrow(find, "lang string, phrase string, words int").distinct()
+    return docs.mapInArrow(find, "lang string, phrase string, key long")
+
+
+def candidates(docs: DataFrame, short: bytes, long: bytes, cells: int, scratch: Scratch) -> DataFrame:
+    """(lang, phrase): different runs that the sketches let pass.
+
+    Most of them stand in any part of the texts, so a few tasks first gather those of one text in ``SAMPLED``; what they found, up
+    to ``KNOWN`` keys, every task then leaves out when it gathers the runs of all texts."""
+    few = max(1, docs.rdd.getNumPartitions() // SAMPLED)
+    some = docs.where(F.rand(7) < 1.0 / SAMPLED).coalesce(few)
+    first = scratch.keep(passing_runs(some, short, long, cells, np.zeros(0, np.uint64)).distinct(), "sampled")
+    told = first.select("key").distinct().limit(KNOWN).toArrow().column("key").to_numpy()
+    known = np.sort(told.view(np.uint64))
+    return first.unionByName(passing_runs(docs, short, long, cells, known)).select("lang", "phrase").distinct()
 
 
 def compiled(phrases: list[str]) -> ahocorasick.Automaton:
@@ -219,7 +238,7 @@ def scanned(texts: list[str | None]) -> str:
 
 
 def matches(docs: DataFrame, patterns: dict[str, list[str]]) -> DataFrame:
-    """(lang, phrase, f): how often each phrase of a language stands in its texts."""
+    """(lang, block, c0, c1, ...): how often phrase WIDE * block + i of a language's list stands in its texts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata: dict[str, ahocorasick.Automaton] = {}
@@ -228,15 +247,18 @@ def matches(docs: DataFrame, patterns: dict[str, list[str]]) -> DataFrame:
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
             for lang in {*langs} & patterns.keys():
                 if lang not in automata:
-                    automata[lang], count[lang] = compiled(patterns[lang]), np.zeros(len(patterns[lang]), np.int64)
+                    automata[lang], count[lang] = compiled(patterns[lang]), np.zeros(-(-len(patterns[lang]) // WIDE) * WIDE, np.int64)
                 text = scanned([t for t, own in zip(texts, langs, strict=True) if own == lang])
                 met = np.fromiter(map(itemgetter(1), automata[lang].iter(text)), np.int64)
                 count[lang] += np.bincount(met, minlength=len(count[lang]))
         for lang, n in count.items():
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([patterns[lang][k] for k in some], pa.string()), pa.array(n[some])], ["lang", "phrase", "f"])
+            rows = n.reshape(-1, WIDE)
+            some = np.flatnonzero(rows.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), *(pa.array(rows[some, i]) for i in range(WIDE))], ["lang", "block", *names])
 
-    return docs.mapInArrow(scan, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    names = [f"c{i}" for i in range(WIDE)]
+    told = docs.mapInArrow(scan, "lang string, block int, " + ", ".join(f"{c} long" for c in names))
+    return told.groupBy("lang", "block").agg(*(F.sum(c).alias(c) for c in names))
 
 
 def counted(docs: DataFrame, found: DataFrame, scratch: Scratch, patterns: int = PATTERNS) -> DataFrame:
@@ -247,7 +269,10 @@ def counted(docs: DataFrame, found: DataFrame, scratch: Scratch, patterns: int =
         own: dict[str, list[str]] = {}
         for lang, phrase in found.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(groups)) == g).select("lang", "phrase").toLocalIterator():
             own.setdefault(lang, []).append(phrase)
-        part = scratch.keep(matches(docs, own), f"counts{g}")
+        blocks = [(lang, k // WIDE, phrases[k : k + WIDE]) for lang, phrases in own.items() for k in range(0, len(phrases), WIDE)]
+        names = docs.sparkSession.createDataFrame(blocks, "lang string, block int, phrases array<string>")
+        each = matches(docs, own).join(names, ["lang", "block"]).select("lang", F.explode(F.arrays_zip("phrases", F.array(*(f"c{i}" for i in range(WIDE))).alias("f"))).alias("x"))
+        part = scratch.keep(each.select("lang", "x.phrases", "x.f").toDF("lang", "phrase", "f").where("phrase is not null and f > 0"), f"counts{g}")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -303,7 +328,7 @@ def mine(docs: DataFrame, least: int = 100, most: int = 2000, cells: int = CELLS
         return [runs.cells(n, places[n]) for n in range(3, LONGEST + 1)]
 
     second = scratch.keep(passing_cells(own, least, cells, long_runs).where("cell is not null"), "long")
-    found = scratch.keep(candidates(own, short, bitmap(second, cells), cells), "candidates")
+    found = scratch.keep(candidates(own, short, bitmap(second, cells), cells, scratch), "candidates")
     totals = first.where("cell is null").select("lang", "n")
     counts = counted(own, found, scratch, patterns)
     some = scratch.keep(scored(counts, totals, least), "scored")

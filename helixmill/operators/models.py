@@ -6,12 +6,13 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressor
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor, LinearRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .folds import shuffled_order
+from .learners import extra_trees, ridge_by_penalty, support_vectors
 
 
 def yeo_johnson(x: Column, power: float) -> Column:
@@ -51,49 +52,53 @@ def important_features(df: DataFrame, features: list[str], label: str, trees: in
 
 
 class Stack:
-    """Base learners whose out-of-fold predictions feed a ridge regression.
+    """Base learners, whose out-of-fold predictions feed a ridge regression with the penalty of the least left-out error.
 
-    The power transform and the scaler are fitted on the rows of ``fit`` alone, so no held-out row is ever seen."""
+    The base learners are support vectors on Fourier features, extremely randomised trees and boosted trees. Selection, power
+    transform and scaling are fitted on the rows of ``fit`` alone, so no held-out row is ever seen."""
 
-    def __init__(self, features: list[str], label: str, key: str, inner: int = 3, seed: int = 42, trees: int = 20, select: bool = False):
-        self.features, self.label, self.key, self.inner, self.seed, self.trees, self.select = features, label, key, inner, seed, trees, select
-
-    def learners(self) -> list:
-        own = {"featuresCol": "_x", "labelCol": self.label}
-        return [
-            RandomForestRegressor(**own, predictionCol="_p0", numTrees=self.trees, maxDepth=5, seed=self.seed),
-            GBTRegressor(**own, predictionCol="_p1", maxIter=self.trees // 2, maxDepth=3, seed=self.seed),
-            LinearRegression(**own, predictionCol="_p2", regParam=0.1),
-        ]
+    def __init__(self, features: list[str], label: str, key: str, inner: int = 5, seed: int = 42, trees: int = 200, depth: int = 12, boosts: int = 150, size: int = 256, rounds: int = 25, select: bool = False):
+        self.features, self.label, self.key, self.inner, self.seed = features, label, key, inner, seed
+        self.trees, self.depth, self.boosts, self.size, self.rounds, self.select = trees, depth, boosts, size, rounds, select
 
     def prepared(self, df: DataFrame) -> DataFrame:
-        return self.scaler.transform(self.assembler.transform(powered(df, self.powers))).drop("_raw")
+        """``df`` with the transformed and scaled features _z0, _z1, ..."""
+        return df.withColumns({z: (yeo_johnson(F.col(c).cast("double"), self.powers[c]) - m) / s for z, (c, m, s) in self.scales.items()})
+
+    def base(self, rows: DataFrame) -> list[Callable[[DataFrame], DataFrame]]:
+        """Functions that add the columns _p0, _p1, _p2: the predictions of the learners fitted on ``rows``."""
+        z = list(self.scales)
+        vectors = support_vectors(rows, z, self.label, size=self.size, rounds=self.rounds, seed=self.seed)
+        forest = extra_trees(rows, z, self.label, trees=self.trees, depth=self.depth, seed=self.seed)
+        joined = VectorAssembler(inputCols=z, outputCol="_x", handleInvalid="skip")
+        boosted = GBTRegressor(featuresCol="_x", labelCol=self.label, predictionCol="_p2", maxIter=self.boosts, stepSize=0.1, maxDepth=3, seed=self.seed).fit(joined.transform(rows))
+        return [lambda df: df.withColumn("_p0", vectors.column()), lambda df: df.withColumn("_p1", forest.column()), lambda df: boosted.transform(joined.transform(df)).drop("_x")]
 
     def fit(self, train: DataFrame) -> Stack:
         if self.select:
-            self.features = important_features(train, self.features, self.label, self.trees, self.seed)
+            self.features = important_features(train, self.features, self.label, min(self.trees, 20), self.seed)
         self.powers = fit_powers(train, self.features)
-        self.assembler = VectorAssembler(inputCols=self.features, outputCol="_raw")
-        self.scaler = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(self.assembler.transform(powered(train, self.powers)))
-        rows = self.prepared(train).select(self.key, self.label, "_x", F.pmod(F.conv(F.substring(shuffled_order(self.seed, F.col(self.key)), 1, 8), 16, 10).cast("long"), F.lit(self.inner)).alias("_fold")).persist()
+        told = powered(train, self.powers).agg(*(f(c).alias(f"{k}{i}") for i, c in enumerate(self.features) for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+        self.scales = {f"_z{i}": (c, told[f"m{i}"], told[f"s{i}"] if told[f"s{i}"] and told[f"s{i}"] > 1e-12 else 1.0) for i, c in enumerate(self.features)}
+        inner = F.pmod(F.conv(F.substring(shuffled_order(self.seed, F.col(self.key)), 1, 8), 16, 10).cast("long"), F.lit(self.inner))
+        rows = self.prepared(train).select(self.key, self.label, *self.scales, inner.alias("_fold")).persist()
         meta = None
         for k in range(self.inner):
             held = rows.where(F.col("_fold") == k)
-            for learner in self.learners():
-                held = learner.fit(rows.where(F.col("_fold") != k)).transform(held)
+            for learner in self.base(rows.where(F.col("_fold") != k)):
+                held = learner(held)
             meta = held if meta is None else meta.unionByName(held)
-        self.join = VectorAssembler(inputCols=["_p0", "_p1", "_p2"], outputCol="_meta")
-        self.meta = LinearRegression(featuresCol="_meta", labelCol=self.label, predictionCol="prediction", regParam=0.01).fit(self.join.transform(meta))
-        self.models = [learner.fit(rows) for learner in self.learners()]
+        self.meta, self.errors = ridge_by_penalty(meta, ["_p0", "_p1", "_p2"], self.label)
+        self.models = self.base(rows)
         rows.unpersist()
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds ``prediction``."""
         out = self.prepared(df)
-        for m in self.models:
-            out = m.transform(out)
-        return self.meta.transform(self.join.transform(out)).select(*df.columns, "prediction")
+        for learner in self.models:
+            out = learner(out)
+        return out.withColumn("prediction", self.meta.column()).select(*df.columns, "prediction")
 
 
 def out_of_fold(df: DataFrame, fold: str, folds: int, stack: Callable[[], Stack]) -> DataFrame:

@@ -184,7 +184,7 @@ def l3_l5_stacked_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = describe(sequences(spark, sf_dir).where("seq is not null and y is not null")).select("sample_idx", "y", "lang", *STACKED)
     dealt = D.stratified_folds(rows.withColumn("stratum", F.coalesce("lang", F.lit("none"))), "stratum", "sample_idx", [42], 2)
     dealt = kept(dealt.drop("stratum", "lang", "seed"), "folds")
-    told = out_of_fold(dealt, "fold", 2, lambda: Stack(STACKED, "y", "sample_idx", inner=2, trees=10, select=True))
+    told = out_of_fold(dealt, "fold", 2, lambda: Stack(STACKED, "y", "sample_idx", inner=2, trees=10, depth=3, boosts=4, size=64, rounds=4, select=True))
     return told.select("sample_idx", F.round("y", 6).alias("y"), F.round("prediction", 6).alias("prediction"))
 
 

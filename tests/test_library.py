@@ -198,7 +198,7 @@ def test_stack_sees_no_held_out_row(spark):
     r = random.Random(8)
     rows = [(k, x := r.uniform(0, 4), r.random(), math.sin(x) * 3 + r.gauss(0, 0.1), k % 2) for k in range(200)]
     df = spark.createDataFrame(rows, "k long, a double, b double, y double, fold int")
-    stack = lambda: models.Stack(["a", "b"], "y", "k", inner=2, trees=10)
+    stack = lambda: models.Stack(["a", "b"], "y", "k", inner=2, trees=10, depth=3, boosts=3, size=32, rounds=4)
     told = models.out_of_fold(df, "fold", 2, stack)
     error = told.agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("prediction"), F.lit(2))))).first()[0]
     assert error < 0.8 and told.count() == 200

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,16 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 class Scratch:
     """Written tables that cut lineage: any executor can read them again after another is lost.
 
-    A table is dropped with ``drop`` once later tables no longer need it."""
+    A table is dropped with ``drop`` once later tables no longer need it, and all that are left by ``swept``."""
+
+    #: Folders that are open within the innermost ``swept``.
+    within: list[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+        if Scratch.within:
+            Scratch.within[-1].append(self)
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         """Writes a table and reads it again. As it stands for its shuffles, their files go at once."""
@@ -61,6 +67,17 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def swept() -> Iterator[None]:
+    """Drops the folders of all scratch tables that are begun within, at its end: nothing may read them later."""
+    Scratch.within.append([])
+    try:
+        yield
+    finally:
+        for scratch in Scratch.within.pop():
+            scratch.drop("")
+
+
 def carried(df: DataFrame, *others: Column | str) -> DataFrame:
     """All columns as one struct ``_row``, so that no name of theirs can clash, and ``others`` beside it."""
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *others)

@@ -7,7 +7,8 @@
 4. PII: identifiers are replaced by their kind.
 5. best-fit packing: the token pieces of all documents with their places in sequences of 4096 tokens.
 
-The stages set the size of the session's Arrow batches. Stages 1 to 4 return the columns of ``documents``; rows with null or
+The stages set the size of the session's Arrow batches, which must hold while their results are written; ``run`` sets back what
+the session had. It drops what a stage wrote for itself once the stage's rows are written, and those once the next stage's are. Stages 1 to 4 return the columns of ``documents``; rows with null or
 wordless texts are rejected by stage 1.
 Repeated rows are copies of each other and leave one row."""
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from helixmill.llm import best_fit_pack, language_id, ngram_join, paragraph_dedup, pii_bootstrap
-from helixmill.llm.common import Scratch, carried, restored
+from helixmill.llm.common import Scratch, carried, restored, swept
 from helixmill.llm.queries import CAPACITY, tokenizer_path
 
 #: SQL can't express the stages; tests/llm holds them against brute-force versions.
@@ -27,11 +28,12 @@ ORACLE_SQL = None
 
 #: Rows of a batch that goes to Python at most: texts are long, and both sides hold a whole batch.
 BATCH = 4000
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def bounded_batches(spark: SparkSession) -> None:
     """Sets the session's batches for the stages: they are written, and so run, after a stage's function has returned."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    spark.conf.set(BATCHES, str(BATCH))
 
 
 def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -85,8 +87,13 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = scratch.keep(docs, name)
-    return docs
+    before = spark.conf.get(BATCHES, None)
+    try:
+        for k, (name, stage) in enumerate(STAGES[:-1]):
+            with swept():
+                docs = scratch.keep(stage(spark, docs, sf_dir), name)
+            if k:
+                scratch.drop(STAGES[k - 1][0])
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        spark.conf.unset(BATCHES) if before is None else spark.conf.set(BATCHES, before)

@@ -154,7 +154,7 @@ def test_stages_and_results(spark):
     assert {x.doc_id for x in packed} == {x.doc_id for x in rows}
     spark.conf.unset(corpus_pipeline.BATCHES)
     assert sorted(map(str, corpus_pipeline.run(spark, SF_DIR).drop("sequence_id", "offset").collect())) == sorted(str(x) for x in spark.createDataFrame(packed, best_fit_pack.pack(now.limit(0).selectExpr("doc_id", "0 piece", "0L start", "0L length", "0L ids_crc32")).schema).drop("sequence_id", "offset").collect())
-    assert spark.conf.get(corpus_pipeline.BATCHES, "unset") in ("unset", "10000")  # the session has its setting again
+    assert spark.conf.get(corpus_pipeline.BATCHES, None) in (None, "10000")  # the session has its setting again
 
 
 def test_stages_take_odd_rows(spark, odd, clashing, nothing):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.statistics import value_ranges
 from ..sources.tables import kept
 
 
@@ -173,15 +174,63 @@ def band_or_nearest(left: DataFrame, grid: DataFrame, a: str, b: str, width: flo
     return near.join(full, b, "left_semi").withColumn("fallback", F.lit(False)).unionByName(rest.withColumn("fallback", F.lit(True)))
 
 
-#: Values of a grid, and rows of a summary whose pairs are all compared.
+#: Values of a grid at most.
 GRID = 1000
-SUMMARY = 10_000
+
+
+def rising_pairs(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> int:
+    """Sum of the products of weights of pairs with x and y both smaller in the one row than in the other, by halves of x."""
+    order = np.lexsort((y, x))
+    x, y, w = x[order], y[order], w[order]
+    total, parts = 0, [(0, len(x))]
+    while parts:
+        a, b = parts.pop()
+        if b - a < 2 or x[a] == x[b - 1]:
+            continue
+        if b - a <= 256:
+            both = (x[a:b, None] < x[None, a:b]) & (y[a:b, None] < y[None, a:b])
+            total += int((both * w[a:b, None] * w[None, a:b]).sum())
+            continue
+        cut = int(np.searchsorted(x[a:b], x[(a + b) // 2])) + a  # equal values stay together
+        cut = cut if cut > a else int(np.searchsorted(x[a:b], x[a], side="right")) + a
+        low = np.argsort(y[a:cut], kind="stable")
+        upto = np.concatenate([[0], np.cumsum(w[a:cut][low])])
+        total += int((w[cut:b] * upto[np.searchsorted(y[a:cut][low], y[cut:b])]).sum())
+        parts += [(a, cut), (cut, b)]
+    return total
 
 
 def concordance(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """Share of pairs (i < j), without ties in a, that both columns put in one order. For summaries of at most SUMMARY rows."""
-    if df.count() > SUMMARY:
-        raise ValueError(f"a summary of at most {SUMMARY} rows is needed")
-    x, y = df.select(key, a, b), df.select(F.col(key).alias("_key"), F.col(a).alias("_a"), F.col(b).alias("_b"))
-    pairs = x.join(F.broadcast(y), F.col(key) < F.col("_key")).where(F.col(a) != F.col("_a"))
-    return pairs.agg(F.avg((F.signum(F.col(a) - F.col("_a")) == F.signum(F.col(b) - F.col("_b"))).cast("int")).alias("concordance"), F.count(F.lit(1)).alias("n_pairs"))
+    """Share of pairs of rows, without ties in a, that both columns put in one order, and the number of such pairs; of tables of any size.
+
+    Equal rows are counted first. Rows are dealt into ranges of a and into ranges of b; pairs that lie apart in both are products of
+    the counts of a small grid, those in one range of either are counted within it by merging, so no two rows meet.
+    Rows with a null ``a`` make no pair, pairs with a null ``b`` count in the number alone; without a pair the share is null."""
+    counts = kept(df.where(F.col(a).isNotNull()).groupBy(F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    square = lambda c: F.sum(c.cast("decimal(38,0)") * c.cast("decimal(38,0)"))
+
+    def apart(rows: DataFrame) -> int:
+        """Pairs of rows that differ in a."""
+        one = rows.groupBy("_a").agg(F.sum("_n").alias("_n")).agg(F.sum("_n").alias("n"), square(F.col("_n")).alias("s")).first()
+        return (int(one["n"] or 0) ** 2 - int(one["s"] or 0)) // 2
+
+    both = counts.where("_b is not null")
+    every, known = apart(counts), apart(both)
+    dealt = kept(value_ranges(value_ranges(both, "_a", "_ra"), "_b", "_rb").select("_a", "_b", "_n", F.col("_ra").cast("int").alias("_ra"), F.col("_rb").cast("int").alias("_rb")), "dealt")
+    cells = dealt.groupBy("_ra", "_rb").agg(F.sum("_n").alias("n")).collect()  # ranges squared at most
+    rising = 0
+    if cells:
+        grid = np.zeros((max(r["_ra"] for r in cells) + 2, max(r["_rb"] for r in cells) + 2), object)
+        for r in cells:
+            grid[r["_ra"] + 1, r["_rb"] + 1] = int(r["n"])
+        before = np.cumsum(np.cumsum(grid, axis=0), axis=1)
+        rising = sum(int(r["n"]) * int(before[r["_ra"], r["_rb"]]) for r in cells)
+
+    def count(x: str) -> DataFrame:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"n": [rising_pairs(pdf[x].to_numpy(float), pdf["_b"].to_numpy(float), pdf["_n"].to_numpy("int64"))]})
+
+        return dealt.groupBy("_ra" if x == "_a" else "_rb").applyInPandas(run, "n long")
+
+    rising += int(count("_a").unionByName(count("_ra")).agg(F.sum(F.col("n").cast("decimal(38,0)"))).first()[0] or 0)
+    return df.sparkSession.createDataFrame([(rising / known if known else None, every)], "concordance double, n_pairs long")

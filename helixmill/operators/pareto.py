@@ -6,6 +6,7 @@ salted parts before it compares what they leave."""
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,17 +19,6 @@ from .folds import numbered
 
 #: Different rows of a range of fronts, about.
 STEP = 50_000
-#: Rows of a block at most.
-BLOCK = 100_000
-
-
-def bounded(df: DataFrame, block: str) -> DataFrame:
-    """``df``, if no block is larger than a task may hold."""
-    most = df.groupBy(block).count().agg(F.max("count")).first()[0] or 0
-    if most > BLOCK:
-        raise ValueError(f"a block holds {most} rows, {BLOCK} are allowed: thin it with skyline, or part it")
-    return df
-
 
 def front_numbers(x: np.ndarray) -> np.ndarray:
     """Front (0 is best) of each row of objectives, all of which are minimised; equal rows share one."""
@@ -160,36 +150,119 @@ def pareto_order(df: DataFrame, block: str, error: str, key: str, name: str = "p
     return numbered(parted, [block], [F.desc("crowding_distance"), error, key], name, "_front").withColumn(name, F.col(name).cast("int"))
 
 
-def diverse(df: DataFrame, block: str, key: str, vector: str, order: list[str], least: float, most: int) -> DataFrame:
-    """Greedy choice per block in a stated order: a row stays if it is at least so far from all that stay; ``pick`` from 1."""
+#: Blocks of a selection at most: the driver holds what is chosen of each.
+BLOCKS = 10_000
+#: Rows of a block that a round of a diverse choice looks at, and rounds of a cover after which distances are written.
+AHEAD = 64
+REFRESH = 32
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        x = np.stack(pdf[vector].to_numpy()).astype(float) if len(pdf) else np.zeros((0, 1))
-        kept: list[int] = []
-        for i in range(len(x)):
-            if len(kept) >= most:
-                break
-            if not kept or np.sqrt(((x[kept] - x[i]) ** 2).sum(axis=1)).min() >= least:
-                kept.append(i)
-        return pdf.iloc[kept][[block, key]].assign(pick=np.arange(1, len(kept) + 1, dtype="int32"))
 
-    fields = f"`{block}` {df.schema[block].dataType.simpleString()}, `{key}` {df.schema[key].dataType.simpleString()}, pick int"
-    return bounded(df, block).groupBy(block).applyInPandas(run, fields)
+def selectable(df: DataFrame, block: str) -> None:
+    if df.select(block).distinct().limit(BLOCKS + 1).count() > BLOCKS:
+        raise ValueError(f"a selection is made of at most {BLOCKS} blocks")
 
 
-def cover(df: DataFrame, block: str, key: str, vector: str, weight: str, radius: str) -> DataFrame:
-    """Farthest-point anchors per block from the heaviest row on, until each row lies within the block's radius."""
+def least_distance(x: np.ndarray, chosen: list) -> np.ndarray:
+    """Distance of each row from the nearest chosen vector; infinite where none is."""
+    out = np.full(len(x), np.inf)
+    for c in chosen:
+        out = np.minimum(out, np.sqrt(((x - np.asarray(c, float)) ** 2).sum(axis=1)))
+    return out
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([weight, key], ascending=[False, True], kind="stable").reset_index(drop=True)
-        x, chosen = np.stack(pdf[vector].to_numpy()).astype(float), [0]
-        limit = max(float(pdf[radius].iloc[0]), 1e-12)
-        near = np.sqrt(((x - x[0]) ** 2).sum(axis=1))
-        while near.max() > limit and int(near.argmax()) not in chosen:
-            chosen.append(int(near.argmax()))
-            near = np.minimum(near, np.sqrt(((x - x[chosen[-1]]) ** 2).sum(axis=1)))
-        return pdf.iloc[chosen][[block, key, weight]].assign(anchor_rank=np.arange(1, len(chosen) + 1, dtype="int32"))
-
-    fields = f"`{block}` {df.schema[block].dataType.simpleString()}, `{key}` {df.schema[key].dataType.simpleString()}, `{weight}` double, anchor_rank int"
-    return bounded(df, block).groupBy(block).applyInPandas(run, fields)
+
+def near_chosen(pdf: pd.DataFrame, chosen: dict) -> np.ndarray:
+    """Distance of each row (_b, _v) from the nearest chosen vector of its block."""
+    out = np.full(len(pdf), np.inf)
+    for b, places in pdf.groupby("_b", dropna=False).indices.items():
+        some = chosen.get(None if pd.isna(b) else b, [])
+        if some:
+            out[places] = least_distance(np.stack(pdf["_v"].iloc[places].to_numpy()).astype(float), some)
+    return out
+
+
+def diverse(df: DataFrame, block: str, key: str, vector: str, order: list[str], least: float, most: int) -> DataFrame:
+    """Greedy choice per block in a stated order (ties by key): a row stays if it is at least so far from all that stay; ``pick`` from 1.
+
+    A round gathers, of each block, the first ``AHEAD`` rows that are far enough from all that is chosen; tasks send their own
+    first ones. The choice goes through them in order: rows that it passes over are too near to a chosen one, so nothing is
+    missed, and the next round begins after them. A block of any size is done in ``most`` rounds at the latest, mostly in one."""
+    selectable(df, block)
+    names = [f"_o{i}" for i in range(len(order))]
+    rows = kept(df.where(F.col(vector).isNotNull()).select(F.col(block).alias("_b"), F.col(key).alias("_k"), F.col(vector).cast("array<double>").alias("_v"), *(F.col(o).alias(n) for o, n in zip(order, names, strict=True))), "choice")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    by = [F.col(c).asc_nulls_last() for c in (*names, "_k")]
+    chosen: dict = {}
+    picks: list[tuple] = []
+    open_ = None
+
+    def far(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            good = pdf[near_chosen(pdf, chosen) >= least]
+            if open_ is not None:
+                good = good[np.array([(None if pd.isna(b) else b) in open_ for b in good["_b"]], bool)]
+            yield good.sort_values([*names, "_k"], kind="stable").groupby("_b", dropna=False, sort=False).head(AHEAD)
+
+    while open_ is None or open_:
+        head = rows.mapInPandas(far, fields).withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(*by))).where(F.col("_r") <= AHEAD)
+        got: dict = {}
+        for r in head.orderBy("_r").collect():
+            got.setdefault(r["_b"], []).append(r)
+        open_ = set()
+        for b, some in got.items():
+            own = chosen.setdefault(b, [])
+            for r in some:
+                if len(own) < most and (not own or least_distance(np.array([r["_v"]], float), own)[0] >= least):
+                    own.append(r["_v"])
+                    picks.append((b, r["_k"], len(own)))
+            if len(own) < most and len(some) == AHEAD:
+                open_.add(b)
+    kinds = f"`{block}` {df.schema[block].dataType.simpleString()}, `{key}` {df.schema[key].dataType.simpleString()}, pick int"
+    return df.sparkSession.createDataFrame(picks, kinds)
+
+
+def cover(df: DataFrame, block: str, key: str, vector: str, weight: str, radius: str) -> DataFrame:
+    """Farthest-point anchors per block from the heaviest row on (ties by key), until each row lies within the heaviest row's radius.
+
+    A round is one aggregate for all blocks at once: the row farthest from the anchors so far (ties: the heaviest, then by key), of
+    which tasks send their own one. Only anchors are sent out; distances are written every ``REFRESH`` rounds, so a round looks at
+    the anchors since. Blocks may be of any size."""
+    selectable(df, block)
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(block).alias("_b"), F.col(key).alias("_k"), F.col(vector).cast("array<double>").alias("_v"), F.col(weight).cast("double").alias("_w"), F.col(radius).cast("double").alias("_radius"))
+    rows = kept(rows.withColumn("_near", F.lit(float("inf"))), "cover")
+    first = rows.groupBy("_b").agg(F.min_by(F.struct("_k", "_v", "_w", "_radius"), F.struct(-F.col("_w"), F.col("_k"))).alias("x")).collect()
+    recent = {r["_b"]: [r["x"]["_v"]] for r in first}
+    limit = {r["_b"]: max(float(r["x"]["_radius"]), 1e-12) for r in first}
+    picks = [(r["_b"], r["x"]["_k"], r["x"]["_w"], 1) for r in first]
+    count = {r["_b"]: 1 for r in first}
+    taken = {(r["_b"], r["x"]["_k"]) for r in first}
+    open_ = set(limit)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def nearer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(_near=np.minimum(pdf["_near"].to_numpy(float), near_chosen(pdf, recent)))
+
+    def farthest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in nearer(batches):
+            yield pdf.sort_values(["_near", "_w", "_k"], ascending=[False, False, True], kind="stable").groupby("_b", dropna=False, sort=False).head(1)
+
+    rounds = 0
+    while open_:
+        rounds += 1
+        best = rows.mapInPandas(farthest, fields).groupBy("_b").agg(F.min_by(F.struct("_k", "_v", "_w", "_near"), F.struct(-F.col("_near"), -F.col("_w"), F.col("_k"))).alias("x")).collect()
+        if rounds % REFRESH == 0:
+            rows = kept(rows.mapInPandas(nearer, fields), "cover")
+            recent = {}
+        for r in best:
+            b, x = r["_b"], r["x"]
+            if b not in open_:
+                continue
+            if x["_near"] <= limit[b] or (b, x["_k"]) in taken:
+                open_.discard(b)
+                continue
+            taken.add((b, x["_k"]))
+            recent.setdefault(b, []).append(x["_v"])
+            count[b] += 1
+            picks.append((b, x["_k"], x["_w"], count[b]))
+    kinds = f"`{block}` {df.schema[block].dataType.simpleString()}, `{key}` {df.schema[key].dataType.simpleString()}, `{weight}` double, anchor_rank int"
+    return df.sparkSession.createDataFrame(picks, kinds)

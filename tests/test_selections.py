@@ -51,3 +51,65 @@ def test_fronts_of_one_large_block(spark):
             least = np.minimum.accumulate(before[:, 1])
             at = np.searchsorted(before[:, 0], u[:, 0], side="right") - 1
             assert (at >= 0).all() and (least[at] <= u[:, 1]).all()
+
+
+def plain_choice(rows, least, most):
+    kept = []
+    for i, v, o in sorted(rows, key=lambda r: (r[2], r[0])):
+        if len(kept) < most and all(np.linalg.norm(np.array(v) - np.array(u)) >= least for _, u in kept):
+            kept.append((i, v))
+    return [i for i, _ in kept]
+
+
+@pytest.mark.parametrize(("least", "most"), [(0.5, 40), (0.05, 200), (3.0, 5)])
+def test_diverse_choice(spark, monkeypatch, least, most):
+    monkeypatch.setattr(pareto, "AHEAD", 7)
+    r = np.random.default_rng(5)
+    rows = [(i, [None, "a", "b"][i % 3], r.normal(size=2).tolist(), float(r.integers(0, 30))) for i in range(150)]
+    df = spark.createDataFrame([*rows, (999, "a", None, 0.0)], "id long, g string, v array<double>, o double").repartition(3)
+    got = pareto.diverse(df, "g", "id", "v", ["o"], least, most).collect()
+    for g in (None, "a", "b"):
+        assert [x.id for x in sorted((x for x in got if x.g == g), key=lambda x: x.pick)] == plain_choice([(i, v, o) for i, b, v, o in rows if b == g], least, most)
+
+
+def test_cover(spark, monkeypatch):
+    monkeypatch.setattr(pareto, "REFRESH", 3)
+    r = np.random.default_rng(6)
+    rows = [(i, [None, "a", "b"][i % 3], r.normal(size=2).tolist(), float(r.integers(0, 9)), 0.6 + (i % 3)) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, g string, v array<double>, w double, radius double").repartition(3)
+    got = pareto.cover(df, "g", "id", "v", "w", "radius").collect()
+    for g in (None, "a", "b"):
+        own = sorted((x for x in rows if x[1] == g), key=lambda x: (-x[3], x[0]))
+        x, chosen = np.array([y[2] for y in own]), [0]
+        near = np.linalg.norm(x - x[0], axis=1)
+        while near.max() > own[0][4]:
+            chosen.append(int(near.argmax()))
+            near = np.minimum(near, np.linalg.norm(x - x[chosen[-1]], axis=1))
+        assert [y.id for y in sorted((y for y in got if y.g == g), key=lambda y: y.anchor_rank)] == [own[i][0] for i in chosen]
+
+
+def test_selections_of_empty_tables_and_large_blocks(spark):
+    none = spark.createDataFrame([], "id long, g string, v array<double>, w double, radius double")
+    assert pareto.cover(none, "g", "id", "v", "w", "radius").count() == pareto.diverse(none, "g", "id", "v", ["w"], 1.0, 3).count() == 0
+    many = spark.range(200_000).select("id", F.lit("one").alias("g"), F.array((F.col("id") % 1000) / 1000.0, (F.xxhash64("id") % 1000) / 1000.0).alias("v"), F.lit(1.0).alias("w"), F.lit(1.0).alias("radius"))
+    assert pareto.cover(many, "g", "id", "v", "w", "radius").first().id == 0
+    assert [x.pick for x in pareto.diverse(many, "g", "id", "v", ["w"], 0.4, 4).collect()] == [1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 700])
+def test_concordance_by_all_pairs(spark, n):
+    r = np.random.default_rng(n)
+    rows = [(i, None if i % 17 == 5 else float(r.integers(0, 40)), None if i % 13 == 4 else float(r.integers(0, 25))) for i in range(n)]
+    from helixmill.operators import joins
+
+    got = joins.concordance(spark.createDataFrame(rows, "k long, a double, b double"), "k", "a", "b").first()
+    pairs = [(x, y) for i, x in enumerate(rows) for y in rows[i + 1 :] if x[1] is not None and y[1] is not None and x[1] != y[1]]
+    told = [np.sign(x[1] - y[1]) == np.sign(x[2] - y[2]) for x, y in pairs if x[2] is not None and y[2] is not None]
+    assert got.n_pairs == len(pairs) and got.concordance == (pytest.approx(np.mean(told)) if told else None)
+
+
+def test_concordance_of_a_large_table(spark):
+    from helixmill.operators import joins
+
+    df = spark.range(60_000).select("id", (F.col("id") * 7919 % 60_000).cast("double").alias("a"), (-F.col("id") * 7919 % 60_000).cast("double").alias("b"))
+    assert joins.concordance(df, "id", "a", "a").first() == (1.0, 60_000 * 59_999 // 2)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as Q
 from ..functions import statistics as T
 from ..operators import folds as D
+from ..operators import generator as G
 from ..operators import learners as L
 from ..operators.descriptors import describe
 from ..sources.tables import kept
@@ -82,3 +83,21 @@ def l4_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled = rows.withColumns({c: (F.col(c) - told[f"m{i}"]) / (told[f"s{i}"] or 1.0) for i, c in enumerate(Q.FEATURES)})
     model = L.support_vectors(scaled, list(Q.FEATURES), "y", size=128)
     return scaled.select("sample_idx", F.round("y", 6).alias("y"), F.round(model.column(), 4).alias("prediction"))
+
+
+CONTEXT_SQL = "WITH {S}, p AS (SELECT seq, unnest(range(1, length(seq) + 1)) AS p FROM s WHERE seq IS NOT NULL), k AS (SELECT seq, p, unnest(range(0, least(p - 1, 3) + 1)) AS k FROM p) SELECT substr(seq, (p - k)::INT, k::INT) AS context, substr(seq, p::INT, 1) AS letter, count(*) AS n FROM k GROUP BY 1, 2"
+
+
+@query("l19_transition_counts", CONTEXT_SQL)
+def l19_transition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which letter follows each context of up to three letters, and how often."""
+    return G.transition_counts(sequences(spark, sf_dir), "seq", 3)
+
+
+@query("l19_generated_samples")
+def l19_generated_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve samples of the prompt of every twentieth sequence, its first ten letters, by the letters that follow each context."""
+    rows = sequences(spark, sf_dir).where("seq is not null")
+    model = G.letter_model(G.transition_counts(rows, "seq", 3), 3, temperature=0.8)
+    prompts = rows.where("sample_idx % 20 = 0").select(F.col("sample_idx").alias("job_id"), F.substring("seq", 1, 10).alias("prompt"), F.lit(12).alias("n_samples"), (F.length("seq") - 10).alias("n_tokens"))
+    return G.samples(prompts, model.generate).select("job_id", "sample_in_job", "generation_seed", "sequence", F.round("score", 6).alias("score"))

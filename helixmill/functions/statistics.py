@@ -28,9 +28,17 @@ def value_ranges(df: DataFrame, column: str, name: str = "_range", ranges: int |
     return Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep").transform(df)
 
 
+def key_ranges(df: DataFrame, column: str, keys: tuple[str, ...], name: str = "_range", ranges: int = RANGES) -> DataFrame:
+    """Adds the range (0, 1, ...) of a numeric column among its own key's values; rows with a null key go.
+
+    Cuts are approximate quantiles of each key, so a key whose values lie close together is dealt out as well as any other."""
+    cuts = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(column, F.array(*(F.lit(k / ranges) for k in range(1, ranges))), F.lit(16 * ranges))).alias("_cuts"))
+    return df.join(cuts, list(keys)).withColumn(name, F.size(F.filter("_cuts", lambda c: c <= F.col(column)))).drop("_cuts")
+
+
 def running_total(df: DataFrame, order: str, amount: str, name: str, keys: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
     """Adds the sum of ``amount`` over all rows of the keys with a smaller or equal ``order`` (unique within keys)."""
-    dealt = value_ranges(df, order, ranges=ranges)
+    dealt = key_ranges(df, order, keys) if keys else value_ranges(df, order, ranges=ranges)
     by = [*keys, "_range"]
     totals = dealt.groupBy(*by).agg(F.sum(amount).alias("_sum"))
     before = totals.withColumn("_before", F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).drop("_sum")
@@ -105,7 +113,9 @@ def weighted_median(df: DataFrame, value: str, weight: str, keys: tuple[str, ...
     good = df.where(F.col(value).isNotNull() & (F.col(weight) >= 0))
     summed = good.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
     running = running_total(summed, value, "_w", "_upto", keys)
-    total = good.groupBy(*keys).agg(F.sum(weight).alias("_all"), F.median(value).alias("_median"))
+    total = good.groupBy(*keys).agg(F.sum(weight).alias("_all"))
+    middle = quantiles(good.join(total.where("_all <= 0").select(*keys), list(keys), "left_semi"), value, {"_median": 0.5}, keys)
+    total = total.join(middle, list(keys), "left")
     reached = running.join(total.select(*keys, "_all"), list(keys)).where((F.col("_upto") >= 0.5 * F.col("_all")) & (F.col("_all") > 0)).groupBy(*keys).agg(F.min(value).alias("_low"))
     return total.join(reached, list(keys), "left").select(*keys, F.when(F.col("_all") > 0, F.col("_low")).otherwise(F.col("_median")).alias(name))
 
@@ -117,18 +127,19 @@ def weighted_mad(df: DataFrame, value: str, weight: str, keys: tuple[str, ...],
     return weighted_median(away, "_away", weight, keys, name)
 
 
-def silverman(column: str) -> Column:
-    """Aggregate: 0.9 times the smaller positive scale of SD and IQR / 1.349, times n to the power -1/5."""
-    positive = lambda x: F.when(x > 0, x)
-    iqr = (F.percentile(column, F.lit(0.75)) - F.percentile(column, F.lit(0.25))) / 1.349
-    return 0.9 * F.least(positive(F.stddev_samp(column)), positive(iqr)) * F.pow(F.count(column).cast("double"), F.lit(-0.2))
-
+def scales(df: DataFrame, column: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key (or for all rows): ``scale`` and ``bandwidth`` of a column, from quantiles by counts.
 
-def robust_scale(column: str) -> Column:
-    """Aggregate: the IQR, else the population SD, else 1."""
-    iqr = F.percentile(column, F.lit(0.75)) - F.percentile(column, F.lit(0.25))
-    sd = F.stddev_pop(column)
-    return F.when(iqr > 1e-12, iqr).when(sd > 1e-12, sd).otherwise(1.0)
+    The scale is the IQR, else the population SD, else 1. The bandwidth is 0.9 times the smaller positive one of the sample's SD and
+    the IQR / 1.349, times n to the power -1/5; null where neither is positive."""
+    quarters = quantiles(df, column, {"_low": 0.25, "_high": 0.75}, keys)
+    spread = df.where(F.col(column).isNotNull()).groupBy(*keys).agg(F.stddev_samp(column).alias("_sd"), F.stddev_pop(column).alias("_pop"), F.count(F.lit(1)).alias("_n"))
+    both = spread.join(quarters, list(keys)) if keys else spread.crossJoin(F.broadcast(quarters))
+    positive = lambda x: F.when(x > 0, x)
+    iqr = F.col("_high") - F.col("_low")
+    scale = F.when(iqr > 1e-12, iqr).when(F.col("_pop") > 1e-12, F.col("_pop")).otherwise(1.0)
+    bandwidth = 0.9 * F.least(positive(F.col("_sd")), positive(iqr / 1.349)) * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
+    return both.select(*keys, scale.alias("scale"), bandwidth.alias("bandwidth"), F.col("_n").alias("n"))
 
 
 def correlation(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.statistics import value_ranges
+from ..functions.statistics import running_total, value_ranges
 
 
 def shuffled_order(*parts: Column | str) -> Column:
@@ -61,19 +61,29 @@ def largest_remainder(df: DataFrame, weight: str, total: int, group: list[str],
 
     Weights below 0 count 0; where all are 0, all count alike."""
     w = F.greatest(F.col(weight).cast("double"), F.lit(0.0))
-    own = Window.partitionBy(*group)
-    some = df.withColumn("_w", w).withColumn("_s", F.sum("_w").over(own))
-    some = some.withColumn("_e", total * F.when(F.col("_s") > 0, F.col("_w") / F.col("_s")).otherwise(1.0 / F.count(F.lit(1)).over(own)))
-    some = some.withColumn("_f", F.floor("_e").cast("long"))
-    rank = F.row_number().over(own.orderBy(F.desc(F.round(F.col("_e") - F.col("_f"), 9)), key))
-    return some.withColumn(name, F.col("_f") + (rank <= total - F.sum("_f").over(own)).cast("long")).drop("_w", "_s", "_e", "_f")
+    some = with_totals(df.withColumn("_w", w), group, F.sum("_w").alias("_s"), F.count(F.lit(1)).alias("_c"))
+    some = some.withColumn("_e", total * F.when(F.col("_s") > 0, F.col("_w") / F.col("_s")).otherwise(1.0 / F.col("_c")))
+    some = some.withColumn("_f", F.floor("_e").cast("long")).withColumn("_rest", F.round(F.col("_e") - F.col("_f"), 9))
+    some = with_totals(some, group, F.sum("_f").alias("_given"))
+    # remainders from the largest down, in parts, so that no window holds a group
+    ranked = numbered(some.withColumn("_part", F.floor((1 - F.col("_rest")) * 256)), group, [F.desc("_rest"), key], "_rank", "_part")
+    return ranked.withColumn(name, F.col("_f") + (F.col("_rank") <= total - F.col("_given")).cast("long")).drop("_w", "_s", "_c", "_e", "_f", "_rest", "_given", "_rank")
+
+
+def with_totals(df: DataFrame, group: list[str], *totals: Column) -> DataFrame:
+    """``df`` with aggregates over its groups (null is a group, too) beside its rows."""
+    sums = df.groupBy(*group).agg(*totals)
+    if not group:
+        return df.crossJoin(F.broadcast(sums))  # of one row
+    sums = sums.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), *sums.columns[len(group) :])
+    same = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)))
+    return df.join(sums, same).drop(*(f"_g{i}" for i in range(len(group))))
 
 
 def weighted_draws(df: DataFrame, weight: str, draws: int, group: list[str], key: str, seed: int) -> DataFrame:
-    """``draws`` rows per group with replacement: digest uniforms meet the intervals of running shares."""
-    order = Window.partitionBy(*group).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    share = F.col(weight) / F.sum(weight).over(Window.partitionBy(*group))
-    upto = df.withColumn("_share", share).withColumn("_hi", F.sum("_share").over(order)).withColumn("_lo", F.col("_hi") - F.col("_share"))
+    """``draws`` rows per group with replacement: digest uniforms meet the intervals of running shares, by a unique numeric key."""
+    share = with_totals(df, group, F.sum(weight).alias("_total")).withColumn("_share", F.col(weight) / F.col("_total")).drop("_total")
+    upto = running_total(share, key, "_share", "_hi", tuple(group)).withColumn("_lo", F.col("_hi") - F.col("_share"))
     number = df.select(*group).distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     uniform = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(g).cast("string") for g in group), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     number = number.withColumn("_u", uniform)

@@ -16,15 +16,24 @@ Scorer = Callable[[dict[str, Column]], Column]
 def permutation_deltas(df: DataFrame, key: str, fold: str, groups: dict[str, list[str]], score: Scorer, features: list[str], actual: str, permutations: int, seed: int) -> DataFrame:
     """(fold, group, permutation, baseline, delta): RMSE gained when a group's features are permuted together in a fold.
 
-    Each condition pairs natural and shuffled row numbers, so all conditions are one join and two sums."""
+    Each condition pairs natural and shuffled row numbers, so all conditions are one join and two sums. Only row numbers and the
+    values of a condition's own features are shuffled."""
     natural = numbered(value_ranges(df, key, "_part"), [fold], [key], "_n", "_part")
-    condition = F.explode(F.array(*(F.struct(F.lit(g).alias("group"), F.lit(p).alias("permutation")) for g in groups for p in range(1, permutations + 1))))
-    many = df.select(key, fold, *features).withColumn("_c", condition).select("*", "_c.group", "_c.permutation").drop("_c")
+    own_values = F.explode(F.array(*(F.struct(F.lit(g).alias("group"), F.array(*(F.col(f).cast("double") for f in fs)).alias("v")) for g, fs in groups.items())))
+    many = df.select(key, fold, own_values.alias("_c")).select(key, fold, "_c.group", F.col("_c.v").alias("_v"), F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("permutation"))
     digest = shuffled_order(seed, F.col("group"), F.col("permutation"), F.col(key))
-    mixed = shuffled(many, [fold, "group", "permutation"], digest, key, "_n").select(fold, "group", "permutation", "_n", *(F.col(f).alias(f"_{f}") for f in features))
+    mixed = shuffled(many, [fold, "group", "permutation"], digest, key, "_n").select(fold, "group", "permutation", "_n", "_v")
     both = natural.join(mixed, [fold, "_n"])
     own = {f: F.col(f) for f in features}
-    swapped = {f: F.when(F.col("group").isin([g for g, fs in groups.items() if f in fs]), F.col(f"_{f}")).otherwise(F.col(f)) for f in features}
+
+    def changed(f: str) -> Column:
+        out = F.col(f).cast("double")
+        for g, fs in groups.items():
+            if f in fs:
+                out = F.when(F.col("group") == g, F.col("_v")[fs.index(f)]).otherwise(out)
+        return out
+
+    swapped = {f: changed(f) for f in features}
     square = lambda s: F.pow(F.col(actual) - s, F.lit(2))
     rmse = both.groupBy(fold, "group", "permutation").agg(F.sqrt(F.avg(square(score(own)))).alias("baseline"), F.sqrt(F.avg(square(score(swapped)))).alias("permuted"))
     return rmse.select(fold, "group", "permutation", "baseline", (F.col("permuted") - F.col("baseline")).alias("delta"))

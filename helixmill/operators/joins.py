@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -164,12 +166,26 @@ def band_or_nearest(left: DataFrame, grid: DataFrame, a: str, b: str, width: flo
     """Pairs within a band of each grid value; a grid value with fewer than ``least`` of them gets its nearest rows instead.
 
     The grid is small (a list of targets) and is checked to be; nearest rows are the ``least`` first of each grid value by
-    distance and key, and each task drops what can't be among them. ``fallback`` tells the two apart."""
+    distance and key. Tasks sort their rows and send only the nearest ones on either side of a value, so the table isn't crossed
+    with the grid. ``fallback`` tells the two apart."""
     if grid.count() > GRID:
         raise ValueError(f"a grid of at most {GRID} values is needed")
     near = within_band(left, grid, a, b, width)
     full = near.groupBy(b).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(b)
-    rest = left.crossJoin(F.broadcast(grid.join(full, b, "left_anti"))).withColumn("_d", F.abs(F.col(a) - F.col(b)))
+    short = grid.join(full, b, "left_anti").where(F.col(b).isNotNull())
+    lacking = [float(r[0]) for r in short.select(F.col(b).cast("double")).distinct().collect()]
+
+    def sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for up in (True, False):  # rows from the value on, and rows below it, of equal ones those with the first keys
+                some = pdf.sort_values([a, key], ascending=[True, up], kind="stable").reset_index(drop=True)
+                place = np.searchsorted(some[a].to_numpy(float), lacking, side="left")
+                for x, p in zip(lacking, place.tolist(), strict=True):
+                    yield some.iloc[p : p + least].assign(_at=x) if up else some.iloc[max(0, p - least) : p].assign(_at=x)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema)
+    few = left.where(F.col(a).isNotNull()).mapInPandas(sides, f"{fields}, _at double")
+    rest = few.join(F.broadcast(short), F.col("_at") == F.col(b).cast("double")).drop("_at").withColumn("_d", F.abs(F.col(a) - F.col(b)))
     rest = rest.withColumn("_r", F.row_number().over(Window.partitionBy(b).orderBy("_d", key))).where(F.col("_r") <= least).drop("_r", "_d")
     return near.join(full, b, "left_semi").withColumn("fallback", F.lit(False)).unionByName(rest.withColumn("fallback", F.lit(True)))
 

@@ -125,7 +125,7 @@ def l20_target_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbourhood of each target, its eight heaviest anchors, and 256 samples dealt out by weight."""
     rows = sequences(spark, sf_dir).select("sample_idx", "y")
     grid = spark.range(6).select(F.col("id").cast("int").alias("target_rank"), (1.0 + F.col("id") * 0.5).alias("target_y"))
-    near = J.within_band(rows, F.broadcast(grid), "y", "target_y", 0.5).crossJoin(F.broadcast(rows.agg(T.silverman("y").alias("h"))))
+    near = J.within_band(rows, F.broadcast(grid), "y", "target_y", 0.5).crossJoin(F.broadcast(T.scales(rows, "y").select(F.col("bandwidth").alias("h"))))
     weighed = near.withColumn("w", F.round(F.exp(-0.5 * F.pow((F.col("y") - F.col("target_y")) / F.col("h"), F.lit(2))), 9))
     anchors = ranked(weighed, "target_rank", [F.desc("w"), "sample_idx"], 8)
     return D.largest_remainder(anchors, "w", 256, ["target_rank"], "sample_idx", "n_samples").select("target_rank", F.col("sample_idx").alias("anchor_sample_idx"), "n_samples")

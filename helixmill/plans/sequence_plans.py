@@ -184,6 +184,20 @@ def c14_paired_stem_mutants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired_stem_mutants(with_geometry(sequences(spark, sf_dir))).select("sample_idx", "left", "right", "bases", "mutant")
 
 
+@query(
+    "l16_loop_and_tail_mutants",
+    "WITH {S}, {G}, x AS (SELECT s.sample_idx, seq, loop_start, loop_end, hairpin_end FROM s JOIN g ON s.sample_idx = g.sample_idx), p AS (SELECT sample_idx, seq, 'loop' AS region, unnest(range(loop_start, loop_end)) AS p FROM x UNION ALL SELECT sample_idx, seq, 'tail', unnest(range(hairpin_end, least(hairpin_end + 15, length(seq)))) FROM x)"
+    " SELECT sample_idx, region, p::INT AS position, alt, substr(seq, 1, p::INT) || alt || substr(seq, p::INT + 2) AS mutant FROM p, (SELECT unnest(['A', 'C', 'G', 'T']) AS alt) WHERE substr(seq, p::INT + 1, 1) <> alt AND (region = 'loop' OR alt = 'T')",
+)
+def l16_loop_and_tail_mutants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of a letter of the loop, and every change to T downstream of the hairpin."""
+    from ..operators.mutation import loop_mutants, tail_mutants
+
+    rows = with_geometry(sequences(spark, sf_dir))
+    pick = lambda df, region: df.select("sample_idx", F.lit(region).alias("region"), "position", "alt", "mutant")
+    return pick(loop_mutants(rows), "loop").unionByName(pick(tail_mutants(rows), "tail"))
+
+
 @query(
     "c15_crossover",
     "WITH {S}, {G}, a AS (SELECT s.sample_idx, s.seq, loop_end, o.seq AS other FROM s JOIN g ON s.sample_idx = g.sample_idx JOIN s o ON o.sample_idx = s.sample_idx + 1) SELECT sample_idx, CASE WHEN loop_end > 0 AND loop_end < length(seq) AND loop_end < length(other) THEN substr(seq, 1, loop_end) || substr(other, loop_end + 1) END AS child FROM a",

@@ -81,8 +81,8 @@ def a22_weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT p_brand, round(quantile_cont(p_retailprice, 0.75) - quantile_cont(p_retailprice, 0.25), 6) AS scale, round(0.9 * least(stddev_samp(p_retailprice), (quantile_cont(p_retailprice, 0.75) - quantile_cont(p_retailprice, 0.25)) / 1.349) * pow(count(*), -0.2), 6) AS bandwidth FROM part GROUP BY p_brand HAVING count(*) > 1",
 )
 def a19_a21_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(T.robust_scale("p_retailprice"), 6).alias("scale"), F.round(T.silverman("p_retailprice"), 6).alias("bandwidth"), F.count(F.lit(1)).alias("n"))
-    return rows.where("n > 1").drop("n")
+    rows = T.scales(load(spark, sf_dir, "part"), "p_retailprice", ("p_brand",))
+    return rows.where("n > 1").select("p_brand", F.round("scale", 6).alias("scale"), F.round("bandwidth", 6).alias("bandwidth"))
 
 
 @query(

@@ -61,10 +61,11 @@ def find_files(spark: SparkSession, root: str, pattern: str, without: tuple[str,
     return files
 
 
-def resolve_file(files: DataFrame, name: str) -> tuple[str | None, list[str]]:
-    """The path of the file of just this name, the first by path, and the paths of its duplicates, if any."""
-    same = [r[0] for r in files.where(F.element_at(F.split("path", "/"), -1) == name).select("path").orderBy("path").limit(100).collect()]
-    return (same[0] if same else None), same[1:]
+def resolve_file(files: DataFrame, name: str) -> tuple[str | None, DataFrame]:
+    """The path of the file of just this name, the first by path, and a table (path) of its duplicates."""
+    same = files.where(F.element_at(F.split("path", "/"), -1) == name).select("path")
+    first = same.agg(F.min("path")).first()[0]
+    return first, same.where(F.col("path") > F.lit(first))
 
 
 def best_source(spark: SparkSession, paths: list[str], needed: list[str], words: list[str]) -> str | None:
@@ -147,10 +148,15 @@ def batches(spark: SparkSession, path: str) -> list[int]:
 
 
 def with_offsets(rows: DataFrame, done: DataFrame, job: str, order: str, name: str = "sample_number") -> DataFrame:
-    """Numbers rows of each job on from the highest number that is done: done + 0, done + 1, ..."""
+    """Numbers rows of each job on from the highest number that is done: done + 0, done + 1, ... by a numeric order.
+
+    No window holds more than a range of a job's rows."""
+    from ..functions.statistics import value_ranges
+    from ..operators.folds import numbered
+
     last = done.groupBy(job).agg((F.max(name) + 1).alias("_done"))
-    local = F.row_number().over(Window.partitionBy(job).orderBy(order)) - 1
-    return rows.withColumn("_local", local).join(last, job, "left").withColumn(name, (F.coalesce("_done", F.lit(0)) + F.col("_local")).cast("long")).drop("_local", "_done")
+    local = numbered(value_ranges(rows, order, "_part"), [job], [order], "_local", "_part")
+    return local.join(last, job, "left").withColumn(name, (F.coalesce("_done", F.lit(0)) + F.col("_local") - 1).cast("long")).drop("_local", "_done")
 
 
 def complete(cache: DataFrame, keys: list[str], expected: int) -> DataFrame:

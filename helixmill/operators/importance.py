@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.statistics import value_ranges
+from ..functions.statistics import average_ranks, value_ranges
 from .folds import numbered, shuffled, shuffled_order
 
 Scorer = Callable[[dict[str, Column]], Column]
@@ -39,6 +39,38 @@ def permutation_deltas(df: DataFrame, key: str, fold: str, groups: dict[str, lis
     return rmse.select(fold, "group", "permutation", "baseline", (F.col("permuted") - F.col("baseline")).alias("delta"))
 
 
+def evidence(deltas: DataFrame, associations: DataFrame, feature: str = "feature") -> DataFrame:
+    """(feature, pi_percentile, pi_stability, association_convergence, fdr_support, evidence) of the features of ``associations``
+    (feature, rho_actual, rho_oof, q): the geometric mean of four parts in 0..1, of which missing ones count 0.
+
+    The parts are the percent rank of the mean importance, the share of permutations that gain error, the geometric mean of two
+    correlations of one direction, and what the adjusted p-value leaves of 1."""
+    names = associations.select(feature)
+    own = deltas.join(names, F.col("group") == F.col(feature), "left_semi")
+    mean = importance(own, "fold").select(F.col("group").alias(feature), F.round("mean", 9).alias("_mean"))
+    steady = own.groupBy(F.col("group").alias(feature)).agg(F.avg((F.round("delta", 9) > 0).cast("int")).alias("pi_stability"))
+    rows = associations.join(average_ranks(mean, "_mean", "pi_percentile", percent=True), feature, "left").join(steady, feature, "left")
+    rows = rows.withColumn("association_convergence", F.when(F.signum("rho_actual") == F.signum("rho_oof"), F.sqrt(F.abs(F.col("rho_actual") * F.col("rho_oof")))))
+    rows = rows.withColumn("fdr_support", 1.0 - F.least(F.greatest(F.coalesce("q", F.lit(1.0)), F.lit(0.0)), F.lit(1.0)))
+    parts = ("pi_percentile", "pi_stability", "association_convergence", "fdr_support")
+    safe = {c: F.round(F.least(F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), 5) for c in parts}
+    product = safe[parts[0]]
+    for c in parts[1:]:
+        product = product * safe[c]
+    return rows.select(feature, *(x.alias(c) for c, x in safe.items()), F.pow(product, F.lit(0.25)).alias("evidence"))
+
+
+def operator_weights(scores: DataFrame, operators: dict[str, list[str]], fixed: dict[str, float], feature: str = "feature", score: str = "evidence") -> DataFrame:
+    """(operator, score, weight): the mean score of each operator's features (missing ones count 0), and its share; ``fixed`` scores join in."""
+    spark = scores.sparkSession
+    wanted = spark.createDataFrame([(o, f) for o, fs in operators.items() for f in fs], f"operator string, `{feature}` string")
+    mean = wanted.join(scores.select(feature, score), feature, "left").groupBy("operator").agg(F.avg(F.coalesce(score, F.lit(0.0))).alias("score"))
+    every = mean.unionByName(spark.createDataFrame(list(fixed.items()), "operator string, score double")) if fixed else mean
+    every = every.withColumn("score", F.greatest("score", F.lit(0.0)))
+    total = every.agg(F.sum("score").alias("_total"))
+    return every.crossJoin(F.broadcast(total)).select("operator", "score", F.try_divide("score", "_total").alias("weight"))  # a row an operator
+
+
 def importance(deltas: DataFrame, fold: str) -> DataFrame:
     """(group, mean, sd, median): means over a fold's permutations first, then over folds."""
     each = deltas.groupBy(fold, "group").agg(F.avg("delta").alias("d"))

@@ -97,6 +97,49 @@ def l8_adjusted_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.benjamini_hochberg(rows, "p").select("feature", "n", *(F.round(c, 6).alias(c) for c in ("rho_actual", "rho_oof", "p", "q")))
 
 
+#: Features that speak for each mutation operator, and the score of the one that is guided by mutagenesis.
+OPERATORS = {
+    "paired_stem": ["stem_length", "stem_pairing_score", "gu_wobble_count", "loop_proximal_gc_pair_fraction", "stem_polyT_interaction", "compact_gc_hairpin_score"],
+    "loop": ["loop_length", "loop_proximal_gc_pair_fraction"],
+    "polyT": ["freq_T", "count_poly_t_4", "max_poly_t_run", "kmer_TTT", "positional_poly_t_score", "spacer_length", "stem_polyT_coupling", "polyT_spacer_proximity", "polyT_position_interaction"],
+    "random": [*Q.FEATURE_GROUPS["Sequence composition"], *Q.FEATURE_GROUPS["3-mer motifs"]],
+}
+GUIDED = {"ism_guided": 0.25}
+EVIDENCE_SQL = (
+    DELTAS_SQL
+    + ASSOCIATIONS_SQL.removeprefix(DESCRIBED_SQL)
+    + STUDENT_SQL
+    + f", pm AS (SELECT g AS feature, round(avg(d), 9) AS m FROM e WHERE g IN ({', '.join(repr(f) for f in FEATURES)}) GROUP BY g), ps AS (SELECT g AS feature, avg((round(delta, 9) > 0)::INT) AS st FROM d2 GROUP BY g), pr AS (SELECT feature, (rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2.0) / count(*) OVER () AS pct FROM pm),"
+    " ev0 AS (SELECT h.feature, round(coalesce(pct, 0), 5) AS pi_percentile, round(coalesce(st, 0), 5) AS pi_stability, round(coalesce(CASE WHEN sign(rho_actual) = sign(rho_oof) THEN sqrt(abs(rho_actual * rho_oof)) END, 0), 5) AS association_convergence, round(1 - least(greatest(coalesce(q.q, 1), 0), 1), 5) AS fdr_support FROM h LEFT JOIN pr ON pr.feature = h.feature LEFT JOIN ps ON ps.feature = h.feature LEFT JOIN p ON p.feature = h.feature LEFT JOIN q ON q.p = p.p),"
+    " ev AS (SELECT *, pow(pi_percentile * pi_stability * association_convergence * fdr_support, 0.25) AS evidence FROM ev0)"
+)
+
+
+def feature_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kept(described(spark, sf_dir).select("sample_idx", (F.col("sample_idx") % 5).alias("fold"), "y", *FEATURES), "described")
+    deltas = kept(I.permutation_deltas(rows, "sample_idx", "fold", {f: [f] for f in FEATURES}, stand_in, FEATURES, "y", PERMUTATIONS, 42), "deltas")
+    told = kept(associations(spark, sf_dir).withColumn("p", T.p_value(F.col("rho_actual"), F.col("n"))), "associations")
+    return kept(I.evidence(deltas, T.benjamini_hochberg(told, "p")), "evidence")
+
+
+@query("a18_feature_evidence", EVIDENCE_SQL + " SELECT feature, pi_percentile, pi_stability, association_convergence, fdr_support, round(evidence, 4) AS evidence FROM ev")
+def a18_feature_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What speaks for each of the 29 descriptors: importance, its stability, association and its significance, in one score."""
+    return feature_evidence(spark, sf_dir).withColumn("evidence", F.round("evidence", 4))
+
+
+@query(
+    "a17_operator_weights",
+    EVIDENCE_SQL
+    + ", ow AS (SELECT o, avg(coalesce(evidence, 0)) AS score FROM (VALUES "
+    + ", ".join(f"('{o}', '{f}')" for o, fs in OPERATORS.items() for f in fs)
+    + ") v(o, f) LEFT JOIN ev ON ev.feature = f GROUP BY o UNION ALL SELECT 'ism_guided', 0.25) SELECT o AS operator, round(score, 4) AS score, round(score / sum(score) OVER (), 4) AS weight FROM ow",
+)
+def a17_operator_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each mutation operator is drawn: the mean evidence of its features, as shares."""
+    return I.operator_weights(feature_evidence(spark, sf_dir), OPERATORS, GUIDED).select("operator", F.round("score", 4).alias("score"), F.round("weight", 4).alias("weight"))
+
+
 MUTANT_SQL = (
     "m AS (SELECT sample_idx, p, alt, seq, substr(seq, 1, p::INT) || alt || substr(seq, p::INT + 2) AS mutant FROM s, (SELECT unnest(range(0, 60)) AS p), (SELECT unnest(['A','C','G','T']) AS alt) WHERE p < length(seq) AND alt <> substr(seq, p::INT + 1, 1)),"
     " e AS (SELECT sample_idx, p, alt, 0.3 * (list_sum(list_transform(range(1, length(seq) - 2), lambda j: CASE WHEN substr(mutant, j, 4) = 'TTTT' THEN 1 ELSE 0 END)) - list_sum(list_transform(range(1, length(seq) - 2), lambda j: CASE WHEN substr(seq, j, 4) = 'TTTT' THEN 1 ELSE 0 END)))"

@@ -266,3 +266,34 @@ def cover(df: DataFrame, block: str, key: str, vector: str, weight: str, radius:
             picks.append((b, x["_k"], x["_w"], count[b]))
     kinds = f"`{block}` {df.schema[block].dataType.simpleString()}, `{key}` {df.schema[key].dataType.simpleString()}, `{weight}` double, anchor_rank int"
     return df.sparkSession.createDataFrame(picks, kinds)
+
+
+def final_selection(pools: list[DataFrame], known: DataFrame, target: str, sequence: str, objectives: list[str], vector: str, supported: str, least: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """The final report of each target, and its summary.
+
+    Of the pools' sequences, of which an earlier pool's row stays, those that are supported and not ``known`` are the novel ones.
+    Their first front, in the order of crowding (the widest first), the first objective and the sequence, is thinned to ``most`` rows that
+    lie ``least`` apart, and ranked by the objectives. The summary has a row for each target of the pools: its status, the numbers
+    of novel rows, of the first front, of reported rows and of known ones that were left out, and the best reported sequence."""
+    from .joins import union_first
+
+    one = union_first(pools, [target, sequence], [*objectives, sequence]).where(F.col(target).isNotNull() & F.col(sequence).isNotNull())
+    flagged = one.join(known.select(sequence).distinct().withColumn("_known", F.lit(True)), sequence, "left")
+    flagged = kept(flagged.withColumn("is_exact_training_sequence", F.coalesce("_known", F.lit(False))).drop("_known"), "pool")
+    good = flagged.where(F.col(supported))
+    ranked = kept(fronts(good.where(~F.col("is_exact_training_sequence")), target, objectives), "novel")
+    front = crowding(ranked.where("pareto_rank = 0"), [target], objectives, sequence).withColumn("_wide", -F.col("crowding_distance"))
+    front = kept(front, "front")
+    picks = diverse(front, target, sequence, vector, ["_wide", objectives[0]], least, most)
+    chosen = front.drop("_wide").join(picks, [target, sequence])
+    order = Window.partitionBy(target).orderBy(*objectives, sequence)  # ``most`` rows a target
+    final = kept(chosen.withColumn("final_report_rank", F.row_number().over(order)), "final")
+    count = lambda df, name: df.groupBy(target).agg(F.count(F.lit(1)).alias(name))
+    best = final.where("final_report_rank = 1").select(target, F.col(sequence).alias("best_sequence"), *(F.col(o).alias(f"best_{o}") for o in objectives))
+    summary = flagged.select(target).distinct()
+    for part in (count(ranked, "supported_novel_pool_n"), count(front, "pareto_front_n"), count(final, "n_final"), count(good.where("is_exact_training_sequence"), "exact_training_removed"), best):
+        summary = summary.join(part, target, "left")
+    numbers = ["supported_novel_pool_n", "pareto_front_n", "n_final", "exact_training_removed"]
+    summary = summary.fillna(0, numbers)
+    status = F.when(F.col("supported_novel_pool_n") > 0, "candidate_available").otherwise("no_supported_novel_candidate")
+    return final, summary.select(target, status.alias("status"), *numbers, "best_sequence", *(f"best_{o}" for o in objectives))

@@ -146,6 +146,16 @@ def l22_final_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.withColumn("final_rank", F.row_number().over(Window.partitionBy("target").orderBy("off", "doc_id"))).where(F.col("final_rank") <= FINAL).select("target", "doc_id", "final_rank")
 
 
+@query("l22_final_report")
+def l22_final_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of the final selection of each brand: two pools, known names, first fronts, thinned to designs that lie apart."""
+    rows = load(spark, sf_dir, "part").select("p_brand", "p_name", "p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").cast("double").alias("b"), (F.col("p_size") > 3).alias("ok"))
+    rows = rows.withColumn("v", F.array(F.col("a") / 50, F.col("b") / 2000))
+    known = rows.where("p_partkey % 7 = 0")
+    _, summary = P.final_selection([rows.where("p_partkey % 2 = 0"), rows.where("p_partkey % 2 = 1")], known, "p_brand", "p_name", ["a", "b"], "v", "ok", 0.05, FINAL)
+    return summary.select(*summary.columns[:-2], F.round("best_a", 4).alias("best_a"), F.round("best_b", 4).alias("best_b"))
+
+
 def stand_in_score(names: list[str]) -> np.ndarray:
     """GC share and T runs of sequences, as a stand-in for a trained model."""
     return np.array([2.0 * (s.count("G") + s.count("C")) / len(s) + 0.3 * sum(s[k : k + 4] == "TTTT" for k in range(len(s) - 3)) for s in names])

@@ -113,3 +113,33 @@ def test_concordance_of_a_large_table(spark):
 
     df = spark.range(60_000).select("id", (F.col("id") * 7919 % 60_000).cast("double").alias("a"), (-F.col("id") * 7919 % 60_000).cast("double").alias("b"))
     assert joins.concordance(df, "id", "a", "a").first() == (1.0, 60_000 * 59_999 // 2)
+
+
+def test_final_selection(spark):
+    r = np.random.default_rng(11)
+    rows = [(f"t{i % 3}", f"s{int(r.integers(0, 90))}", float(r.integers(0, 20)), float(r.integers(0, 20)), bool(r.random() < 0.7)) for i in range(240)] + [("none", "s1", 1.0, 1.0, True), ("bad", "q", 1.0, 1.0, False)]
+    known = {f"s{k}" for k in range(0, 90, 5)} | {"s1"}
+    schema = "t string, s string, a double, b double, ok boolean"
+    table = lambda x: spark.createDataFrame(x, schema).withColumn("v", F.array("a", "b"))
+    final, summary = pareto.final_selection([table(rows[:100]), table(rows[100:])], spark.createDataFrame([(k,) for k in known], "s string"), "t", "s", ["a", "b"], "v", "ok", 2.0, 4)
+    told = {x.t: x for x in summary.collect()}
+    assert set(told) == {"t0", "t1", "t2", "none", "bad"} and told["none"].status == told["bad"].status == "no_supported_novel_candidate" and told["none"].exact_training_removed == 1
+    for t in ("t0", "t1", "t2"):
+        pool: dict = {}
+        for part in (rows[:100], rows[100:]):
+            for x in sorted(x for x in part if x[0] == t):
+                pool.setdefault(x[1], min((y for y in part if y[:2] == x[:2]), key=lambda y: y[2:4]) if x[1] not in pool else None)
+        novel = [x for x in pool.values() if x[4] and x[1] not in known]
+        ranks = plain_fronts(np.array([x[2:4] for x in novel]))
+        front = [x for x, k in zip(novel, ranks, strict=True) if k == 0]
+        crowd = {x[1]: 0.0 for x in front}
+        for o in (2, 3):
+            own = sorted(front, key=lambda x: (x[o], x[1]))
+            span = own[-1][o] - own[0][o]
+            for i, x in enumerate(own):
+                crowd[x[1]] += float("inf") if len(own) <= 2 or i in (0, len(own) - 1) else (own[i + 1][o] - own[i - 1][o]) / span if span else 0.0
+        picks = plain_choice([(x[1], x[2:4], (-crowd[x[1]], x[2])) for x in front], 2.0, 4)
+        mine = sorted((x for x in final.collect() if x.t == t), key=lambda x: x.final_report_rank)
+        assert {x.s for x in mine} == set(picks) and [(x.a, x.b, x.s) for x in mine] == sorted((x.a, x.b, x.s) for x in mine)
+        assert (told[t].supported_novel_pool_n, told[t].pareto_front_n, told[t].n_final, told[t].best_sequence) == (len(novel), len(front), len(picks), mine[0].s)
+        assert told[t].exact_training_removed == sum(x[4] and x[1] in known for x in pool.values())

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,6 +19,9 @@ from .folds import numbered
 
 #: Different rows of a range of fronts, about.
 STEP = 50_000
+#: Rows that a round of a cover sends of each block at most, and of all blocks.
+AHEAD = 256
+AHEAD_ROWS = 20_000
 
 def front_numbers(x: np.ndarray) -> np.ndarray:
     """Front (0 is best) of each row of objectives, all of which are minimised; equal rows share one."""
@@ -223,9 +226,10 @@ def diverse(df: DataFrame, block: str, key: str, vector: str, order: list[str],
 def cover(df: DataFrame, block: str, key: str, vector: str, weight: str, radius: str) -> DataFrame:
     """Farthest-point anchors per block from the heaviest row on (ties by key), until each row lies within the heaviest row's radius.
 
-    A round is one aggregate for all blocks at once: the row farthest from the anchors so far (ties: the heaviest, then by key), of
-    which tasks send their own one. Only anchors are sent out; distances are written every ``REFRESH`` rounds, so a round looks at
-    the anchors since. Blocks may be of any size."""
+    An anchor is the row farthest from the anchors so far (ties: the heaviest, then by key). A round is one job for all blocks at once,
+    in which tasks send their farthest rows, ``AHEAD`` of a block at most; anchors are taken from them as long as no row that wasn't
+    sent can lie farther. Only anchors are sent out; distances are written every ``REFRESH`` rounds, so a round looks at the anchors
+    since. Blocks may be of any size."""
     selectable(df, block)
     rows = df.where(F.col(vector).isNotNull()).select(F.col(block).alias("_b"), F.col(key).alias("_k"), F.col(vector).cast("array<double>").alias("_v"), F.col(weight).cast("double").alias("_w"), F.col(radius).cast("double").alias("_radius"))
     rows = kept(rows.withColumn("_near", F.lit(float("inf"))), "cover")
@@ -242,28 +246,49 @@ def cover(df: DataFrame, block: str, key: str, vector: str, weight: str, radius:
         for pdf in batches:
             yield pdf.assign(_near=np.minimum(pdf["_near"].to_numpy(float), near_chosen(pdf, recent)))
 
+    ahead = max(1, min(AHEAD, AHEAD_ROWS // max(1, len(limit))))
+
     def farthest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
         for pdf in nearer(batches):
-            yield pdf.sort_values(["_near", "_w", "_k"], ascending=[False, False, True], kind="stable").groupby("_b", dropna=False, sort=False).head(1)
+            best = pdf if best is None else pd.concat([best, pdf], ignore_index=True)
+            best = best.sort_values(["_near", "_w", "_k"], ascending=[False, False, True], kind="stable").groupby("_b", dropna=False, sort=False).head(ahead)
+        if best is not None:
+            yield best
+
+    def place(x: Row, near: float) -> tuple:
+        return -near, x["_w"] is not None, -(x["_w"] or 0.0), x["_k"] is not None, x["_k"]
 
     rounds = 0
+    order = Window.partitionBy("_b").orderBy(F.desc("_near"), F.col("_w").desc_nulls_first(), "_k")
     while open_:
         rounds += 1
-        best = rows.mapInPandas(farthest, fields).groupBy("_b").agg(F.min_by(F.struct("_k", "_v", "_w", "_near"), F.struct(-F.col("_near"), -F.col("_w"), F.col("_k"))).alias("x")).collect()
+        sent = rows.mapInPandas(farthest, fields).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= ahead).collect()  # AHEAD_ROWS at most
         if rounds % REFRESH == 0:
             rows = kept(rows.mapInPandas(nearer, fields), "cover")
             recent = {}
-        for r in best:
-            b, x = r["_b"], r["x"]
-            if b not in open_:
-                continue
-            if x["_near"] <= limit[b] or (b, x["_k"]) in taken:
-                open_.discard(b)
-                continue
-            taken.add((b, x["_k"]))
-            recent.setdefault(b, []).append(x["_v"])
-            count[b] += 1
-            picks.append((b, x["_k"], x["_w"], count[b]))
+        lists: dict = {b: [] for b in open_}
+        for x in sent:
+            if x["_b"] in lists:
+                lists[x["_b"]].append(x)
+        for b, some in lists.items():
+            vectors = np.array([x["_v"] for x in some], float)
+            near = np.array([x["_near"] for x in some])
+            # rows that weren't sent lie behind the last one, and distances only fall
+            last = max(place(x, x["_near"]) for x in some) if len(some) == ahead else None
+            while True:
+                i = min(range(len(some)), key=lambda j: place(some[j], near[j]))
+                x = some[i]
+                if last is not None and place(x, near[i]) > last and -last[0] > limit[b]:
+                    break
+                if near[i] <= limit[b] or (b, x["_k"]) in taken:
+                    open_.discard(b)
+                    break
+                taken.add((b, x["_k"]))
+                recent.setdefault(b, []).append(x["_v"])
+                count[b] += 1
+                picks.append((b, x["_k"], x["_w"], count[b]))
+                near = np.minimum(near, least_distance(vectors, [x["_v"]]))
     kinds = f"`{block}` {df.schema[block].dataType.simpleString()}, `{key}` {df.schema[key].dataType.simpleString()}, `{weight}` double, anchor_rank int"
     return df.sparkSession.createDataFrame(picks, kinds)
 

@@ -6,37 +6,57 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.statistics import average_ranks, value_ranges
-from .folds import numbered, shuffled, shuffled_order
+from ..sources.tables import kept
+from .folds import numbered, shuffled_order
 
 Scorer = Callable[[dict[str, Column]], Column]
 
 
+#: Rows of a condition that one window numbers, about.
+SHUFFLE_ROWS = 20_000
+
+
 def permutation_deltas(df: DataFrame, key: str, fold: str, groups: dict[str, list[str]], score: Scorer, features: list[str], actual: str, permutations: int, seed: int) -> DataFrame:
     """(fold, group, permutation, baseline, delta): RMSE gained when a group's features are permuted together in a fold.
 
     Each condition pairs natural and shuffled row numbers, so all conditions are one join and two sums. Only row numbers and the
-    values of a condition's own features are shuffled."""
-    natural = numbered(value_ranges(df, key, "_part"), [fold], [key], "_n", "_part")
-    own_values = F.explode(F.array(*(F.struct(F.lit(g).alias("group"), F.array(*(F.col(f).cast("double") for f in fs)).alias("v")) for g, fs in groups.items())))
-    many = df.select(key, fold, own_values.alias("_c")).select(key, fold, "_c.group", F.col("_c.v").alias("_v"), F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("permutation"))
-    digest = shuffled_order(seed, F.col("group"), F.col("permutation"), F.col(key))
-    mixed = shuffled(many, [fold, "group", "permutation"], digest, key, "_n").select(fold, "group", "permutation", "_n", "_v")
-    both = natural.join(mixed, [fold, "_n"])
-    own = {f: F.col(f) for f in features}
+    values of a condition's own features are shuffled. A condition's rows are numbered in parts of about ``SHUFFLE_ROWS`` by the first
+    bits of their digests: counts of parts are written before they are joined, as the planner takes them to be as small as the table."""
+    square = lambda s: F.pow(F.col(actual) - s, F.lit(2))
+    natural = numbered(value_ranges(df, key, "_part"), [fold], [key], "_n", "_part").withColumn("_base", square(score({f: F.col(f) for f in features})))
+    most = df.groupBy(fold).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = min(1 << 16, -(-most // SHUFFLE_ROWS))
+    names = list(groups)
+    own_values = F.explode(F.array(*(F.struct(F.lit(i).alias("g"), F.lit(g).alias("name"), F.array(*(F.col(f).cast("double") for f in fs)).alias("v")) for i, (g, fs) in enumerate(groups.items()))))
+    many = df.select(key, fold, own_values.alias("_c")).select(key, fold, "_c", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("permutation"))
+    digest = F.unhex(shuffled_order(seed, F.col("_c.name"), F.col("permutation"), F.col(key)))
+    many = many.select(key, F.col(fold).alias("_fold"), F.col("_c.g").alias("_g"), "permutation", digest.alias("_digest"), F.col("_c.v").alias("_v"))
+    by = ["_fold", "_g", "permutation"]
+    if parts > 1:
+        many = many.withColumn("_part", F.shiftright(F.conv(F.hex(F.substring("_digest", 1, 2)), 16, 10).cast("int") * parts, 16))
+        counts = kept(many.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_c")), "parts")
+        before = counts.select(*by, "_part", F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        within = many.withColumn("_within", F.row_number().over(Window.partitionBy(*by, "_part").orderBy("_digest", key)))
+        mixed = within.join(before, (within["_fold"].eqNullSafe(before["_fold"])) & (within["_g"] == before["_g"]) & (within["permutation"] == before["permutation"]) & (within["_part"] == before["_part"]))
+        mixed = mixed.select(within["_fold"], within["_g"], within["permutation"], (F.col("_within") + F.col("_before")).alias("_n"), "_v")
+    else:
+        mixed = many.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy("_digest", key)).alias("_n"), "_v")
+    # a natural row meets all conditions: the few natural rows are the side that is held
+    both = mixed.withColumnRenamed("_n", "_m").join(natural.hint("shuffle_hash"), (F.col("_m") == F.col("_n")) & (F.col("_fold") == F.col(fold)))
 
     def changed(f: str) -> Column:
         out = F.col(f).cast("double")
-        for g, fs in groups.items():
+        for i, fs in enumerate(groups.values()):
             if f in fs:
-                out = F.when(F.col("group") == g, F.col("_v")[fs.index(f)]).otherwise(out)
+                out = F.when(F.col("_g") == i, F.get("_v", F.lit(fs.index(f)))).otherwise(out)
         return out
 
-    swapped = {f: changed(f) for f in features}
-    square = lambda s: F.pow(F.col(actual) - s, F.lit(2))
-    rmse = both.groupBy(fold, "group", "permutation").agg(F.sqrt(F.avg(square(score(own)))).alias("baseline"), F.sqrt(F.avg(square(score(swapped)))).alias("permuted"))
-    return rmse.select(fold, "group", "permutation", "baseline", (F.col("permuted") - F.col("baseline")).alias("delta"))
+    rmse = both.groupBy(fold, "_g", "permutation").agg(F.sqrt(F.avg("_base")).alias("baseline"), F.sqrt(F.avg(square(score({f: changed(f) for f in features})))).alias("permuted"))
+    group = F.element_at(F.array(*map(F.lit, names)), F.col("_g") + 1)
+    return rmse.select(fold, group.alias("group"), "permutation", "baseline", (F.col("permuted") - F.col("baseline")).alias("delta"))
 
 
 def evidence(deltas: DataFrame, associations: DataFrame, feature: str = "feature") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import statistics as T
 from ..functions import vectors as V
 from ..operators import folds as D
 from ..operators import joins as J
@@ -55,12 +56,8 @@ def j10_remaining_work(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j12_correlated_pairs", f"WITH {VECTORS}, l AS (SELECT vec_id, unnest(range(1, 65)) AS i, e FROM v) SELECT a.i::INT AS i, b.i::INT AS j, round(corr(a.e[a.i], b.e[b.i]), 6) AS r FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY 1, 2 HAVING abs(corr(a.e[a.i], b.e[b.i])) >= 0.02")
 def j12_correlated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # all components' sums of products in one aggregate of one row: no join of rows
-    rows, n = vectors(spark, sf_dir), 64
-    pairs = [(i, j) for i in range(1, n + 1) for j in range(i + 1, n + 1)]
-    told = rows.select(*(F.get("e", i - 1).alias(f"e{i}") for i in range(1, n + 1))).agg(*(F.corr(f"e{i}", f"e{j}").alias(f"c{i}_{j}") for i, j in pairs))
-    long = told.select(F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("r")) for i, j in pairs))))
-    return long.where(F.abs("r") >= 0.02).select("i", "j", F.round("r", 6).alias("r"))
+    told = T.correlation_matrix(vectors(spark, sf_dir), "e", 64)
+    return told.where(F.abs("r") >= 0.02).select("i", "j", F.round("r", 6).alias("r"))
 
 
 @query("j15_nearest_other", f"WITH {VECTORS} SELECT a.vec_id, round(sqrt(min({SQUARE})), 6) AS nn_distance FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY 1")

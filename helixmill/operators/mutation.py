@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import BASES, splice, substitute
@@ -43,6 +45,23 @@ def crossover(pairs: DataFrame, a: str, b: str, cut: str) -> DataFrame:
     return pairs.withColumn("child", splice(F.col(a), F.col(b), F.col(cut)))
 
 
+def guided_mutant(df: DataFrame, sequence: str, wanted: str, score: Callable[[Column], Column], digits: int = 9) -> DataFrame:
+    """Adds position, alt and delta of the point mutant that ``guided_choice`` picks (the first place and base of equal ones).
+
+    A row's mutants are looked at within the row: none moves, and a task holds those of one row. Rows without a base go."""
+    s, base = F.col(sequence), F.col("_base")
+
+    def told(p: Column, b: Column) -> Column:
+        delta = F.round(score(substitute(s, p, b)) - base, digits)
+        fits = (F.signum(F.col(wanted)) == F.signum(delta)) & (delta != 0)
+        return F.struct((-fits.cast("int")).alias("unfit"), (-F.abs(delta)).alias("weak"), p.alias("position"), b.alias("alt"), delta.alias("delta"))
+
+    others = lambda p: F.filter(F.array(*map(F.lit, BASES)), lambda b: b != F.substring(s, p + 1, F.lit(1)))
+    each = F.transform(F.sequence(F.lit(0), F.length(s) - 1), lambda p: F.array_min(F.transform(others(p), lambda b: told(p, b))))
+    best = df.where(F.length(s) > 0).withColumn("_base", score(s)).withColumn("_best", F.array_min(each))
+    return best.withColumns({c: F.col(f"_best.{c}") for c in ("position", "alt", "delta")}).drop("_base", "_best")
+
+
 def guided_choice(df: DataFrame, key: str, wanted: str, delta: str, distance: str, tie: str) -> DataFrame:
     """One mutant per key: of those that move the prediction the wanted way (all, if none does) the strongest, nearest the rules."""
     from .joins import first_by

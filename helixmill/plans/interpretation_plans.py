@@ -11,7 +11,7 @@ from ..functions import sequence as Q
 from ..functions import statistics as T
 from ..operators import importance as I  # noqa: E741
 from ..operators.descriptors import describe
-from ..operators.mutation import guided_choice, point_mutants
+from ..operators.mutation import guided_mutant, point_mutants
 from ..sources.tables import kept
 from .base import load, query, sequences
 
@@ -147,11 +147,14 @@ MUTANT_SQL = (
 )
 
 
+def mutant_score(s: Column) -> Column:
+    return 0.3 * Q.overlapping_count(s, "TTTT") + 2.0 * (Q.count_of(s, "G") + Q.count_of(s, "C")) / F.length(s)
+
+
 def effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sample_idx, position, alt, delta): each mutant's score less its sequence's, worked out in its own row."""
-    score = lambda s: 0.3 * Q.overlapping_count(s, "TTTT") + 2.0 * (Q.count_of(s, "G") + Q.count_of(s, "C")) / F.length(s)
     rows = point_mutants(sequences(spark, sf_dir).select("sample_idx", "seq"))
-    return rows.select("sample_idx", "position", "alt", "mutant", (score(F.col("mutant")) - score(F.col("seq"))).alias("delta"))
+    return rows.select("sample_idx", "position", "alt", "mutant", (mutant_score(F.col("mutant")) - mutant_score(F.col("seq"))).alias("delta"))
 
 
 @query("l9_a13_mutation_profile", f"WITH {{S}}, {MUTANT_SQL}, a AS (SELECT sample_idx, p, avg(abs(delta)) AS v FROM e GROUP BY 1, 2) SELECT p::INT AS position, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_samp(v), 6) AS sd, count(*) AS n, round(stddev_samp(v) / sqrt(count(*)), 6) AS sem FROM a GROUP BY p")
@@ -167,9 +170,8 @@ def a11_base_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("l17_guided_choice", f"WITH {{S}}, {MUTANT_SQL} SELECT e.sample_idx, e.p::INT AS position, e.alt, round(e.delta, 6) AS delta FROM e JOIN s ON s.sample_idx = e.sample_idx QUALIFY row_number() OVER (PARTITION BY e.sample_idx ORDER BY (coalesce(sign(y - 3) = sign(delta) AND round(delta, 9) <> 0, false))::INT DESC, abs(round(delta, 9)) DESC, p, alt) = 1")
 def l17_guided_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = sequences(spark, sf_dir).select("sample_idx", F.coalesce(F.col("y") - 3, F.lit(0.0)).alias("wanted"))
-    rows = effects(spark, sf_dir).withColumn("delta", F.round("delta", 9)).join(wanted, "sample_idx")
-    return guided_choice(rows, "sample_idx", "wanted", "delta", "position", "alt").select("sample_idx", "position", "alt", F.round("delta", 6).alias("delta"))
+    rows = sequences(spark, sf_dir).select("sample_idx", "seq", F.coalesce(F.col("y") - 3, F.lit(0.0)).alias("wanted"))
+    return guided_mutant(rows, "seq", "wanted", mutant_score).select("sample_idx", "position", "alt", F.round("delta", 6).alias("delta"))
 
 
 @query(

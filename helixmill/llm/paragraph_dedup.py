@@ -6,13 +6,17 @@ share it, so a text has few. The band is tuned by this bound: two passages of 50
 a Jaccard similarity of 0.8 are equal over 25 words in a row somewhere, whatever is substituted, inserted or deleted,
 and so share a key.
 
-Places of equal keys are candidates. Up to ``MEET`` places of a key all meet each other. A place of a more frequent key is
+Places of equal keys are candidates. Of a key that over ``MEET`` places share, places with the same ``REACH`` words on each side
+are copies: they meet the smallest of them, which stands for them. Up to ``MEET`` places of a key all meet each other. A place of a more frequent key is
 known by more: the key, the ``LEAST`` words around it at eight offsets, and ``BANDS`` bands of ``ROWS`` MinHashes each of the
 shingles of about 60 words around it, wider than a line. With a similarity s of these surroundings two places share a band
 with the probability 1 - (1 - s ** ROWS) ** BANDS: over 0.999 for 0.75, 0.94 for 0.58 (the middle of a passage of 50 words with
 an edited word), 0.3 for 0.35 (a line in other surroundings). Up to ``MEET`` places that one of these values shares all meet each
-other, more meet the smallest document of the value: exact passages of 50 words find each other at once, and edited ones by
-any band, even if all their lines are frequent. These are equi-joins on hashes, so no task holds a frequent key. Candidates of
+other, more meet the smallest document of the value. For the exact words of an offset that loses nothing, as the smallest
+document holds them too. Places of a crowded band need not be like its smallest; they are also known by the 50, 59 or 68 words around them without
+one, two or three words in a row (``GAPS``), wherever these are. All that share such a value are similar, so meeting the smallest is exact there:
+passages of 55, 64 or 73 words with one such gap around two crowded places meet for sure. Wider or uneven gaps in crowded bands are found by other bands alone.
+The bands' joins are equi-joins on hashes; edited windows are compared by whole keys of at most ``LARGE`` places, larger keys by shuffled values. Candidates of
 two texts on one diagonal form a region, whose words are aligned: substitutions, insertions and deletions are bridged, gaps of
 up to ``JUMP`` words or a quarter of what is aligned so far, and the widest runs of at least ``LEAST`` words with a similarity of
 0.8 are removals, each linked with a smaller document. Texts that are equal as a whole are found by their digest.
@@ -25,7 +29,8 @@ documents that hold a passage the smallest id keeps it. Columns of any other nam
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +64,17 @@ ROWS = 4
 SIDE = 26
 #: Equal words after a gap.
 AGAIN = 4
+#: (words left out, words) of windows that a crowded place is also known by: two that differ in so many words in a row, substituted,
+#: inserted or deleted, have a similarity of 0.8.
+GAPS = ((1, 50), (2, 59), (3, 68))
+#: Windows begin so many words apart, and equal words in a row that hold the key.
+STEP = 6
+HELD = KEY + WINDOW - STEP
+#: Words on each side of a crowded place that these windows can hold.
+FAR = GAPS[-1][1] - KEY
+#: Crowded places that a task compares, about; and those of one key, beyond which their values are shuffled.
+DEALT = 20_000
+LARGE = 100_000
 #: Places of a key, or of a value that a frequent key's place is known by, that all meet each other.
 MEET = 8
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -89,16 +105,18 @@ def window_hash(sums: np.ndarray, power: np.ndarray, a: np.ndarray, size: int) -
     return mix64((sums[a + size] - sums[a]) * power[a])
 
 
-def anchors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, place) where the MinHash of a paragraph begins, and the number of words of each text."""
+def anchors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, place, around) where the MinHash of a paragraph begins, and the number of words of each text. ``around`` is a hash
+    of the ``REACH`` words on each side, as far as there are."""
     row, h = hashed(texts)
     size = np.bincount(row, minlength=len(texts))
     begin = np.concatenate([[0], np.cumsum(size)])[:-1]
     none = np.zeros(0, np.int64)
     least = WINDOW + KEY - 1
     if len(h) < LEAST:
-        return none, none, none, size
-    key = window_hash(*rolling(h), np.arange(len(h) - KEY + 1), KEY)
+        return none, none, none, none, size
+    sums, power = rolling(h)
+    key = window_hash(sums, power, np.arange(len(h) - KEY + 1), KEY)
     starts = np.flatnonzero((row[: len(row) - least + 1] == row[least - 1 :]) & (size[row[: len(row) - least + 1]] >= LEAST))
     view = np.lib.stride_tricks.sliding_window_view(key, WINDOW)
     places = [none]
@@ -108,7 +126,9 @@ def anchors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     p = np.concatenate(places)
     p = p[np.concatenate([[True], p[1:] != p[:-1]])[: len(p)]]  # they ascend
     p = p[unlike_before(row[p], key[p], p)]
-    return row[p], key[p].view(np.int64), p - begin[row[p]], size
+    a, b = np.maximum(begin[row[p]], p - REACH), np.minimum(begin[row[p]] + size[row[p]], p + KEY + REACH)
+    around = mix64(window_hash(sums, power, a, b - a) + (p - a).astype(np.uint64))
+    return row[p], key[p].view(np.int64), p - begin[row[p]], around.view(np.int64), size
 
 
 def unlike_before(row: np.ndarray, key: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -131,26 +151,26 @@ def text_key(text: Column | str = "text") -> Column:
 
 
 def key_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, digest, n_words, n_chars, keys, places) of each document."""
+    """(doc_id, h, digest, n_words, n_chars, keys, places, around) of each document."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            row, key, place, size = anchors(batch.column("text"))
+            row, key, place, near, size = anchors(batch.column("text"))
             ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32))
-            keys, places = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (key, place.astype(np.int32)))
+            keys, places, around = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (key, place.astype(np.int32), near))
             own = ["doc_id", "h", "digest", "n_chars"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(size.astype(np.int64)), keys, places], [*own, "n_words", "keys", "places"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(size.astype(np.int64)), keys, places, around], [*own, "n_words", "keys", "places", "around"])
 
     rows = docs.where("doc_id is not null and text is not null")
     rows = rows.select("doc_id", text_key().alias("h"), F.md5("text").alias("digest"), F.char_length("text").cast("long").alias("n_chars"), "text")
-    return rows.mapInArrow(walk, "doc_id long, h long, digest string, n_chars long, n_words long, keys array<long>, places array<int>")
+    return rows.mapInArrow(walk, "doc_id long, h long, digest string, n_chars long, n_words long, keys array<long>, places array<int>, around array<long>")
 
 
 def repeated_keys(rows: DataFrame) -> DataFrame:
-    """(key, n, doc_id, h, place): each place of the n places of keys that more than one document holds."""
-    one = rows.select(*TEXT, F.explode(F.arrays_zip("keys", "places")).alias("k")).select(F.col("k.keys").alias("key"), *TEXT, F.col("k.places").alias("place"))
+    """(key, n, doc_id, h, place, around): each place of the n places of keys that more than one document holds."""
+    one = rows.select(*TEXT, F.explode(F.arrays_zip("keys", "places", "around")).alias("k")).select(F.col("k.keys").alias("key"), *TEXT, F.col("k.places").alias("place"), F.col("k.around").alias("around"))
     shared = one.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).where("_low < _high").select("key", "n")
-    return one.join(shared, "key").select("key", "n", *TEXT, "place")
+    return one.join(shared, "key").select("key", "n", *TEXT, "place", "around")
 
 
 def with_texts(lists: DataFrame, docs: DataFrame) -> DataFrame:
@@ -178,9 +198,42 @@ def band_values(shingle: np.ndarray, key: np.ndarray, start: np.ndarray, low: np
     return out
 
 
-def known_by(places: DataFrame, docs: DataFrame) -> DataFrame:
-    """(value, doc_id, h, place): hashes of the key at each place, of the ``LEAST`` words around it at each offset, and of the bands
-    of its surroundings."""
+def edited_values(sums: np.ndarray, power: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(index of a place, value), by gap and offset: hashes of the windows that hold the key at each place, with the words of a gap left
+    out wherever ``HELD`` words in a row still hold the key.
+
+    Windows in which these words are substituted agree without them; if they are inserted, without them and without the last (or
+    first) words of the other. So all that share a value are similar."""
+    for gap, size in GAPS:
+        for x in (*range(0, size - KEY, STEP), size - KEY):
+            a = start - x
+            ok = np.flatnonzero((a >= low) & (a + size <= high))
+            out = np.array([*range(min(x, size - HELD) - gap + 1), *range(max(x + KEY, HELD), size - gap + 1)])
+            cut = a[ok, None] + out[None, :]
+            rest = (sums[cut] - sums[a[ok], None]) + (sums[a[ok] + size, None] - sums[cut + gap]) * np.uint64(pow(int(MULT), gap, 1 << 64))
+            yield np.repeat(ok, len(out)), mix64(mix64(rest * power[a[ok], None]) + np.uint64(x + 128 * gap)).ravel()
+
+
+def surrounding_values(sums: np.ndarray, power: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of a place, value): hashes of the key at each place, of the ``LEAST`` words around it at each offset, and of the bands
+    of its surroundings. Only those of bands are odd."""
+    picked, values = [], []
+    for size, x in ((KEY, 0), *((LEAST, x) for x in OFFSETS)):
+        a = start - x
+        ok = np.flatnonzero((a >= low) & (a + size <= high))
+        picked.append(ok)
+        values.append(mix64(window_hash(sums, power, a[ok], size) + np.uint64(x + 64 * size)) & ~np.uint64(1))
+    if len(start):
+        shingle = window_hash(sums, power, np.arange(len(sums) - WORDS), WORDS)
+        bands = band_values(shingle, window_hash(sums, power, start, KEY), start, low, high)
+        picked.append(np.repeat(np.arange(len(start)), BANDS))
+        values.append(bands.ravel() | np.uint64(1))
+    return np.concatenate(picked), np.concatenate(values)
+
+
+def told_of(places: DataFrame, docs: DataFrame, tell: Callable, schema: str) -> DataFrame:
+    """What ``tell`` tells of places (doc_id, h, place): of arrays (doc_id, h, place) and (hashes of words, sums, powers, place among these,
+    begin and end of its text) it makes columns of ``schema``."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -190,36 +243,113 @@ def known_by(places: DataFrame, docs: DataFrame) -> DataFrame:
             begins = np.concatenate([[0], ends])[:-1]
             at = batch.column("at")
             own, place = pc.list_parent_indices(at).to_numpy(), at.flatten().to_numpy()
-            start, low, high = begins[own] + place, begins[own], ends[own]
-            picked, values = [], []
-            for size, x in ((KEY, 0), *((LEAST, x) for x in OFFSETS)):
-                a = start - x
-                ok = np.flatnonzero((a >= low) & (a + size <= high))
-                picked.append(ok)
-                values.append(mix64(window_hash(sums, power, a[ok], size) + np.uint64(x + 64 * size)).view(np.int64))
-            if len(start):
-                shingle = window_hash(sums, power, np.arange(len(h) - WORDS + 1), WORDS)
-                bands = band_values(shingle, window_hash(sums, power, start, KEY), start, low, high)
-                picked.append(np.repeat(np.arange(len(start)), BANDS))
-                values.append(bands.ravel().view(np.int64))
-            i, value = np.concatenate(picked), np.concatenate(values)
-            doc, key = (batch.column(c).to_numpy()[own[i]] for c in TEXT)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (value, doc, key, place[i])], ["value", *TEXT, "place"])
+            for k in range(0, len(own), 4096):
+                o, x = own[k : k + 4096], place[k : k + 4096]
+                ids = [*(batch.column(c).to_numpy()[o] for c in TEXT), x]
+                yield pa.RecordBatch.from_pydict(tell(ids, h, sums, power, begins[o] + x, begins[o], ends[o]))
 
     lists = places.groupBy(*TEXT).agg(F.collect_list("place").alias("at"))
-    return with_texts(lists, docs).mapInArrow(walk, "value long, doc_id long, h long, place int")
+    return with_texts(lists, docs).mapInArrow(walk, schema)
+
+
+VALUES = "value long, doc_id long, h long, place int"
+AROUND = "key long, doc_id long, h long, place int, before int, words array<int>"
+
+
+def valued(ids: list[np.ndarray], i: np.ndarray, value: np.ndarray) -> dict:
+    return {"value": value.view(np.int64)} | {c: v[i] for c, v in zip((*TEXT, "place"), ids, strict=True)}
+
+
+def tell_values(ids: list[np.ndarray], h: np.ndarray, *at: np.ndarray) -> dict:
+    return valued(ids, *surrounding_values(*at))
+
+
+def tell_words(ids: list[np.ndarray], h: np.ndarray, sums: np.ndarray, power: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray) -> dict:
+    """Key of each place and 32 bits of each word around it, of which ``before`` come before the key."""
+    a, b = np.maximum(low, start - FAR), np.minimum(high, start + KEY + FAR)
+    ends = np.concatenate([[0], np.cumsum(b - a)])
+    words = h[np.arange(ends[-1]) + np.repeat(a - ends[:-1], b - a)]
+    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((words >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+    return {"key": window_hash(sums, power, start, KEY).view(np.int64)} | dict(zip((*TEXT, "place"), ids, strict=True)) | {"before": (start - a).astype(np.int32), "words": lists}
+
+
+def around_words(rows: pa.Table | pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``edited_values`` of rows (AROUND)."""
+    words = rows.column("words")
+    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    h = mix64(words.flatten().to_numpy().view(np.uint32).astype(np.uint64))
+    return edited_values(*rolling(h), ends[:-1] + rows.column("before").to_numpy(), ends[:-1], ends[1:])
+
+
+def near_places(rows: pa.Table) -> pa.Table:
+    """Pairs of places (AROUND) of whole keys that share an edited value: all of ``MEET`` places at most, else each with the smallest."""
+    rows = rows.sort_by([(c, "ascending") for c in (*TEXT, "place")])
+    found = [np.zeros(0, np.int64)]
+    for i, value in around_words(rows):
+        order = np.argsort(value, kind="stable")  # rows stay in order
+        i, value = i[order], value[order]
+        at = np.arange(len(i))
+        new = np.concatenate([[True], value[1:] != value[:-1]])[: len(i)]
+        begin = np.maximum.accumulate(np.where(new, at, 0))
+        few = np.bincount(begin, minlength=len(i))[begin] <= MEET
+        found.append((i * rows.num_rows + i[begin])[begin < at])
+        for d in range(1, MEET):
+            k = np.flatnonzero(few & (at - d > begin))
+            found.append(i[k] * rows.num_rows + i[k - d])
+        found = [np.unique(np.concatenate(found))]
+    later, first = (rows.select([*TEXT, "place"]).take(pa.array(k)) for k in (found[0] // max(rows.num_rows, 1), found[0] % max(rows.num_rows, 1)))
+    both = pa.Table.from_arrays([*later.columns, *first.columns], names=["doc_id", "h", "place", "keep_id", "keep_h", "keep_place"])
+    return both.filter(pc.less(both.column("keep_id"), both.column("doc_id")))
+
+
+def edited_pairs(places: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of places (doc_id, h, place) that share an edited value. Whole keys are dealt to tasks, but for those of more than ``LARGE``
+    places, whose values are shuffled."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
+                for i, value in around_words(part):
+                    yield pa.RecordBatch.from_pydict(valued([part.column(c).to_numpy() for c in (*TEXT, "place")], i, value))
+
+    around = scratch.keep(told_of(places, docs, tell_words, AROUND), "around")
+    large = scratch.keep(around.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select("key"), "large")
+    dealt = F.pmod(F.xxhash64("key"), F.lit(max(64, around.count() // DEALT)))
+    pairs = around.join(large, "key", "left_anti").groupBy(dealt).applyInArrow(near_places, "doc_id long, h long, place int, keep_id long, keep_h long, keep_place int")
+    if large.isEmpty():
+        return pairs
+    some, low, _ = by_values(around.join(large, "key").mapInArrow(walk, VALUES), scratch, "edits")
+    return pairs.unionByName(met(some, "value")).unionByName(low)
 
 
 def candidates(shared: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, h, place, keep_id, keep_h, keep_place): places that may lie in one passage; keep_id is smaller."""
     few = shared.where(F.col("n") <= MEET).select("key", *TEXT, "place")
-    each = scratch.keep(known_by(shared.where(F.col("n") > MEET), docs), "each")
+    often = shared.where(F.col("n") > MEET).drop("n")
+    kinds = scratch.keep(often.groupBy("key", "around").agg(F.min(F.struct(*TEXT, "place")).alias("m")), "kinds")
+    same = often.join(kinds, ["key", "around"]).select(*TEXT, "place", *lowest()).where("keep_id < doc_id")
+    kinds = kinds.join(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").select("key", "n", "m.*")
+    few = few.unionByName(kinds.where(F.col("n") <= MEET).drop("n"))
+    some, low, crowded = by_values(told_of(kinds.where(F.col("n") > MEET), docs, tell_values, VALUES), scratch, "each")
+    places = crowded.where(F.col("value").bitwiseAND(F.lit(1)) == 1).select(*TEXT, "place").distinct()
+    pairs = [met(few, "key"), met(some, "value"), low, same, edited_pairs(places, docs, scratch)]
+    return reduce(DataFrame.unionByName, pairs)
+
+
+def lowest() -> list[Column]:
+    return [F.col("m.doc_id").alias("keep_id"), F.col("m.h").alias("keep_h"), F.col("m.place").alias("keep_place")]
+
+
+def by_values(each: DataFrame, scratch: Scratch, label: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of places that share values: those of values of ``MEET`` places at most, pairs with the smallest document of the others, and
+    places of the others."""
+    each = scratch.keep(each, label)
     known = each.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*TEXT, "place")).alias("m"), F.max("doc_id").alias("_high")).where("m.doc_id < _high")
-    known = scratch.keep(known.select("value", "n", "m"), "values")
-    some = each.join(known.where(F.col("n") <= MEET).select("value"), "value")
-    low = known.where(F.col("n") > MEET).select("value", F.col("m.doc_id").alias("keep_id"), F.col("m.h").alias("keep_h"), F.col("m.place").alias("keep_place"))
-    pairs = [met(few, "key"), met(some, "value"), each.join(low, "value").where("keep_id < doc_id").drop("value")]
-    return pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
+    known = scratch.keep(known.select("value", "n", "m"), f"{label}_values")
+    many = each.join(known.where(F.col("n") > MEET), "value")
+    return each.join(known.where(F.col("n") <= MEET).select("value"), "value"), many.select(*TEXT, "place", *lowest()).where("keep_id < doc_id"), many
 
 
 def met(rows: DataFrame, by: str) -> DataFrame:
@@ -380,10 +510,10 @@ def passages(docs: DataFrame) -> DataFrame:
     known = table.join(first, "digest")
     copies = known.where("doc_id <> rep").select(*TEXT, F.lit(0).cast("long").alias("start"), F.col("n_chars").alias("end"), F.col("rep").alias("keep_id")).distinct()
     copies = scratch.keep(copies, "copies")
-    shared = scratch.keep(repeated_keys(known.where("doc_id = rep").select(*TEXT, "keys", "places")), "shared")
+    shared = scratch.keep(repeated_keys(known.where("doc_id = rep").select(*TEXT, "keys", "places", "around")), "shared")
     scratch.drop("table", "first")
     found = scratch.keep(regions(candidates(shared, docs, scratch)), "regions")
-    scratch.drop("shared", "each", "values")
+    scratch.drop("shared", "kinds", "each", "each_values", "around", "large", "edits", "edits_values")
     wanted = found.select(*TEXT, "s", "e").unionByName(found.select(F.col("keep_id").alias("doc_id"), F.col("keep_h").alias("h"), F.col("keep_s").alias("s"), F.col("keep_e").alias("e")))
     texts = scratch.keep(cut_out(wanted, docs), "texts")
     spans = scratch.keep(merged(verified(found, texts).unionByName(copies)), "spans")

@@ -109,6 +109,30 @@ def test_edits_where_all_lines_are_frequent(spark, others, changes):
     assert len(whole) > 15 and sum(whole) >= 0.9 * len(whole)
 
 
+@pytest.mark.parametrize("large", [paragraph_dedup.LARGE, 0] if hasattr(paragraph_dedup, "LARGE") else [None])
+def test_edits_where_all_surroundings_are_frequent(spark, monkeypatch, large):
+    """Of each passage there are 600 smaller versions that are unlike each other and all later ones, but share each of its shingles: two
+    versions that differ by one gap of up to three words still meet."""
+    monkeypatch.setattr(paragraph_dedup, "LARGE", large, raising=False)
+    r, rows, want = random.Random(23), [], {}
+    for k in range(6):
+        words = prose(r, 80).split()
+        for j in range(600):
+            cut = [False]
+            while min(sum(cut[i : i + 45]) for i in range(36)) < 2 or any(sum(cut[i : i + 5]) > 1 for i in range(76)):
+                cut = [r.random() < 1 / 12 for _ in words]
+            other = " ".join(f"x{r.randrange(4000)}" if c else w for c, w in zip(cut, words, strict=True))
+            rows.append((1000 * k + j, f"{prose(r, 20)} {other} {prose(r, 20)}"))
+        p, n = r.randrange(36, 44), k // 3 + 1
+        copy = " ".join({0: [*words[:p], *["zz"] * n, *words[p + n :]], 1: [*words[:p], *["zz"] * n, *words[p:]], 2: words[:p] + words[p + n :]}[k % 3])
+        before = prose(r, 20) + " "
+        rows += [(100_000 + 2 * k, f"{prose(r, 20)} {' '.join(words)} {prose(r, 20)}"), (100_001 + 2 * k, f"{before}{copy} {prose(r, 20)}")]
+        want[100_001 + 2 * k] = (len(before), len(before) + len(copy))
+    got = found(spark, rows)
+    for doc, (a, b) in want.items():
+        assert sum(min(e, b) - max(s, a) for s, e in got.get(doc, []) if min(e, b) > max(s, a)) >= 0.9 * (b - a), doc
+
+
 def test_long_gaps_in_long_passages(spark):
     """Twenty words inserted after the fortieth of three hundred: a similarity of 0.91 as a whole."""
     r, rows, want = random.Random(21), [], {}

@@ -4,11 +4,11 @@
    ``CELLS`` hashed cells. A cell's total bounds what falls into it from above, so a run whose cell is below the threshold is no
    candidate. Cells that reach it become a bitmap of fixed size (CELLS / 8 bytes), which tasks get. More text than cells makes
    the bound looser and the candidates more, never the result other.
-2. Candidates. Runs that pass, and all runs inside which do, are collected as different (lang, phrase) in a written table;
-   tasks tell runs apart by hashes of 64 bits.
-3. Counts. Candidates are dealt by hash into groups of about ``PATTERNS``; each group compiles into an automaton for each
-   language whose patterns begin and end with a delimiter, so only whole words match. Tasks scan their texts, pieces apart,
-   count all matches, overlaps included, and Spark sums them.
+2. Candidates. A task takes up its texts in parts of ``PART`` bytes. The candidates of a part are its runs that pass and all of
+   whose inner runs do; it tells runs apart by hashes of 64 bits. A run passes in all parts or in none.
+3. Counts. A part's candidates compile into automata for each language, of ``PATTERNS`` at most, whose patterns begin and end with
+   a delimiter, so only whole words match. They scan the part, pieces apart, and count all matches, overlaps included; counts
+   of equal phrases are summed by shares of the hashes. So texts are scanned once, however many candidates a corpus has.
 4. Thresholds, cuts, containment and ranks are joins and aggregates on the counted phrases.
 
 Texts are lower-cased (A-Z), cut into pieces at . , ; : ! ? and line ends, and those into words at blanks and tabs. Null texts count
@@ -17,8 +17,10 @@ count and then phrase. Empty tables give an empty result. Only the columns lang
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 from operator import itemgetter
 
 import ahocorasick
@@ -33,17 +35,16 @@ from .common import Scratch, mix64, powers, slices
 
 #: Cells of a sketch: a power of two, at least 2**15.
 CELLS = 1 << 27
-#: Phrases of an automaton group, about.
+#: Phrases of an automaton at most.
 PATTERNS = 250_000
 LONGEST = 5
-#: One text in so many is looked through first for candidates, of which so many are told to all tasks.
-SAMPLED = 16
-KNOWN = 1 << 20
-#: Counts that a row holds.
-WIDE = 64
-#: Cells that a task holds before it counts and sends them, and bytes of text that are hashed at once.
-HELD = 1 << 20
+#: Cells that a row holds counts of (their places there take 16 bits), and shares of the hashes that phrases are summed by.
+WIDE = 1 << 15
+SHARES = 1024
+#: Cells that a task holds before it counts and sends them, bytes of text that are hashed at once, and those that are scanned for the same candidates.
+HELD = 1 << 21
 BLOCK = 1 << 20
+PART = 1 << 24
 #: Parts that a language's phrases are dealt into for their order.
 PARTS = 32
 
@@ -137,8 +138,16 @@ class Runs:
         return {k: np.flatnonzero(x) for k, x in ok.items()}
 
 
+def lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The values as one binary value for each run of them that begins at ``starts``."""
+    ends = np.append(starts, len(values)).astype(np.int32) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def passing_cells(docs: DataFrame, least: int, cells: int, take: Callable[[Runs], list[np.ndarray]]) -> DataFrame:
-    """(lang, cell, n) of the cells that ``take`` fills and that reach ``least``, and, with cell null, each language's words."""
+    """(lang, cell, n) of the cells that ``take`` fills and that reach ``least``, and, with cell null, each language's words.
+
+    Counts travel as rows of ``WIDE`` neighbouring cells, and a task sums the rows of one such block at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -147,7 +156,10 @@ def passing_cells(docs: DataFrame, least: int, cells: int, take: Callable[[Runs]
         def counted() -> pa.RecordBatch:
             cell, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.nulls(len(cell), pa.string()), pa.array(cell), pa.array(n)], ["lang", "cell", "n"])
+            block = (cell // WIDE).astype(np.int32)
+            starts = np.flatnonzero(np.append([True], block[1:] != block[:-1])) if len(cell) else np.zeros(0, np.int64)
+            at, many = lists((cell % WIDE).astype(np.uint16), starts), lists(n.astype(np.uint32), starts)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(starts), pa.string()), pa.array(block[starts]), at, many, pa.nulls(len(starts), pa.int64())], ["lang", "block", "at", "many", "words"])
 
         for batch in slices(batches, "text", BLOCK):
             runs = Runs(batch.column("text"), batch.column("lang"), cells)
@@ -157,10 +169,33 @@ def passing_cells(docs: DataFrame, least: int, cells: int, take: Callable[[Runs]
             if sum(map(len, held)) > HELD:
                 yield counted()
         yield counted()
+        none = pa.nulls(len(total), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([-1] * len(total), pa.int32()), none, none, pa.array(list(total.values()), pa.int64())], ["lang", "block", "at", "many", "words"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, own = np.zeros(WIDE, np.int64), -1
+        total: dict[str, int] = {}
+
+        def told() -> pa.RecordBatch:
+            some = np.flatnonzero(n >= max(least, 1))
+            out = pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.string()), pa.array(some + own * WIDE), pa.array(n[some])], ["lang", "cell", "n"])
+            n[:] = 0
+            return out
+
+        for batch in batches:
+            for lang, block, at, many, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block < 0:
+                    total[lang] = total.get(lang, 0) + words
+                    continue
+                if block != own:
+                    yield told()
+                    own = block
+                n[np.frombuffer(at, np.uint16)] += np.frombuffer(many, np.uint32)
+        yield told()
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.nulls(len(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["lang", "cell", "n"])
 
-    told = docs.mapInArrow(count, "lang string, cell long, n long")
-    return told.groupBy("lang", "cell").agg(F.sum("n").alias("n")).where(F.col("cell").isNull() | (F.col("n") >= least))
+    told = docs.mapInArrow(count, "lang string, block int, at binary, many binary, words long")
+    return told.repartition("block").sortWithinPartitions("block").mapInArrow(add, "lang string, cell long, n long")
 
 
 def bitmap(cells: DataFrame, size: int) -> bytes:
@@ -177,49 +212,16 @@ def bits_of(packed: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed), np.uint8)
 
 
-def passing_runs(docs: DataFrame, short: bytes, long: bytes, cells: int, known: np.ndarray) -> DataFrame:
-    """(lang, phrase, key): runs of one to five words that the sketches let pass, with all runs inside, but for ``known`` keys."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        few, many = bits_of(short), bits_of(long)
-        seen: set[int] = set()
-        for batch in slices(batches, "text", BLOCK):
-            runs = Runs(batch.column("text"), batch.column("lang"), cells)
-            langs = batch.column("lang").to_pylist()
-            low = LOWER[runs.raw].tobytes()
-            own, phrases, keys = [], [], []
-            places = runs.pairs(few)
-            for n in range(1, LONGEST + 1):
-                if n > 2:
-                    inner = np.zeros(len(runs.hash) + 1, bool)
-                    inner[places[n - 1]] = True
-                    places[n] = runs.passing(n, places[n][inner[places[n]] & inner[places[n] + 1]], many)
-                key, at = np.unique(runs.keys(n, places[n]), return_index=True)
-                new = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] != key if len(known) else np.ones(len(key), bool)
-                for k, i in zip(key[new].tolist(), places[n][at[new]].tolist(), strict=True):
-                    if k not in seen:
-                        seen.add(k)
-                        own.append(langs[runs.row[i]])
-                        phrases.append(b" ".join([low[runs.first[j] : runs.last[j]] for j in range(i, i + n)]).decode())
-                        keys.append(k)
-            if len(seen) > HELD:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(phrases, pa.string()), pa.array(np.array(keys, np.uint64).view(np.int64))], ["lang", "phrase", "key"])
-
-    return docs.mapInArrow(find, "lang string, phrase string, key long")
-
-
-def candidates(docs: DataFrame, short: bytes, long: bytes, cells: int, scratch: Scratch) -> DataFrame:
-    """(lang, phrase): different runs that the sketches let pass.
-
-    Most of them stand in any part of the texts, so a few tasks first gather those of one text in ``SAMPLED``; what they found, up
-    to ``KNOWN`` keys, every task then leaves out when it gathers the runs of all texts."""
-    few = max(1, docs.rdd.getNumPartitions() // SAMPLED)
-    some = docs.where(F.rand(7) < 1.0 / SAMPLED).coalesce(few)
-    first = scratch.keep(passing_runs(some, short, long, cells, np.zeros(0, np.uint64)).distinct(), "sampled")
-    told = first.select("key").distinct().limit(KNOWN).toArrow().column("key").to_numpy()
-    known = np.sort(told.view(np.uint64))
-    return first.unionByName(passing_runs(docs, short, long, cells, known)).select("lang", "phrase").distinct()
+def passing_runs(runs: Runs, few: np.ndarray, many: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words, keys, places) of the different runs of one to five words that the bitmaps let pass, with all runs inside."""
+    places = runs.pairs(few)
+    for n in range(1, LONGEST + 1):
+        if n > 2:
+            inner = np.zeros(len(runs.hash) + 1, bool)
+            inner[places[n - 1]] = True
+            places[n] = runs.passing(n, places[n][inner[places[n]] & inner[places[n] + 1]], many)
+        key, at = np.unique(runs.keys(n, places[n]), return_index=True)
+        yield n, key, places[n][at]
 
 
 def compiled(phrases: list[str]) -> ahocorasick.Automaton:
@@ -233,48 +235,84 @@ def compiled(phrases: list[str]) -> ahocorasick.Automaton:
 
 def scanned(texts: list[str | None]) -> str:
     """Texts of words between single blanks, with line ends between pieces."""
-    raw = "\n".join([t or "" for t in texts]).encode().translate(PLAIN).decode()
-    return "\n".join([f" {' '.join([w for w in piece.split(' ') if w])} " for piece in raw.split("\n")])
+    raw = b"\n".join([(t or "").encode() for t in texts]).translate(PLAIN)
+    return re.sub(rb"  +", b" ", re.sub(rb" *\n[ \n]*", b" \n ", b" %b " % raw)).decode()
+
 
+def matches(block: pa.RecordBatch, automata: dict[str, ahocorasick.Automaton]) -> Iterator[tuple[str, np.ndarray]]:
+    """The numbers of all phrases that a block's texts match, by language."""
+    texts, langs = block.column("text").to_pylist(), block.column("lang").to_pylist()
+    for lang in {*langs} & automata.keys():
+        text = scanned([t for t, own in zip(texts, langs, strict=True) if own == lang])
+        yield lang, np.fromiter(map(itemgetter(1), automata[lang].iter(text)), np.int64)
 
-def matches(docs: DataFrame, patterns: dict[str, list[str]]) -> DataFrame:
-    """(lang, block, c0, c1, ...): how often phrase WIDE * block + i of a language's list stands in its texts."""
+
+def counted(docs: DataFrame, short: bytes, long: bytes, cells: int, least: int, patterns: int = PATTERNS) -> DataFrame:
+    """(lang, phrase, f) of the runs that the sketches let pass and that occur ``least`` times."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata: dict[str, ahocorasick.Automaton] = {}
-        count: dict[str, np.ndarray] = {}
-        for batch in slices(batches, "text", BLOCK):
-            texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-            for lang in {*langs} & patterns.keys():
-                if lang not in automata:
-                    automata[lang], count[lang] = compiled(patterns[lang]), np.zeros(-(-len(patterns[lang]) // WIDE) * WIDE, np.int64)
-                text = scanned([t for t, own in zip(texts, langs, strict=True) if own == lang])
-                met = np.fromiter(map(itemgetter(1), automata[lang].iter(text)), np.int64)
-                count[lang] += np.bincount(met, minlength=len(count[lang]))
-        for lang, n in count.items():
-            rows = n.reshape(-1, WIDE)
-            some = np.flatnonzero(rows.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), *(pa.array(rows[some, i]) for i in range(WIDE))], ["lang", "block", *names])
-
-    names = [f"c{i}" for i in range(WIDE)]
-    told = docs.mapInArrow(scan, "lang string, block int, " + ", ".join(f"{c} long" for c in names))
-    return told.groupBy("lang", "block").agg(*(F.sum(c).alias(c) for c in names))
-
-
-def counted(docs: DataFrame, found: DataFrame, scratch: Scratch, patterns: int = PATTERNS) -> DataFrame:
-    """(lang, phrase, f) of all candidates, a group of about ``patterns`` of them at a time."""
-    groups = max(1, -(-found.count() // patterns))
-    out = None
-    for g in range(groups):
-        own: dict[str, list[str]] = {}
-        for lang, phrase in found.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(groups)) == g).select("lang", "phrase").toLocalIterator():
-            own.setdefault(lang, []).append(phrase)
-        blocks = [(lang, k // WIDE, phrases[k : k + WIDE]) for lang, phrases in own.items() for k in range(0, len(phrases), WIDE)]
-        names = docs.sparkSession.createDataFrame(blocks, "lang string, block int, phrases array<string>")
-        each = matches(docs, own).join(names, ["lang", "block"]).select("lang", F.explode(F.arrays_zip("phrases", F.array(*(f"c{i}" for i in range(WIDE))).alias("f"))).alias("x"))
-        part = scratch.keep(each.select("lang", "x.phrases", "x.f").toDF("lang", "phrase", "f").where("phrase is not null and f > 0"), f"counts{g}")
-        out = part if out is None else out.unionByName(part)
-    return out
+        few, many = bits_of(short), bits_of(long)
+        held: list[pa.RecordBatch] = []
+        own: dict[str, dict[int, str]] = {}
+        seen: set[int] = set()
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for k in range(0, max(map(len, own.values()), default=0), patterns):
+                some = {lang: [*islice(phrases.items(), k, k + patterns)] for lang, phrases in own.items() if len(phrases) > k}
+                automata = {lang: compiled([p for _, p in x]) for lang, x in some.items()}
+                n = {lang: np.zeros(len(x), np.int64) for lang, x in some.items()}
+                for block in held:
+                    for lang, met in matches(block, automata):
+                        n[lang] += np.bincount(met, minlength=len(n[lang]))
+                for lang, x in some.items():
+                    share = (np.array([key for key, _ in x], np.uint64) % np.uint64(SHARES)).astype(np.int32)
+                    order = np.argsort(share, kind="stable")
+                    share = share[order]
+                    starts = np.flatnonzero(np.append([True], share[1:] != share[:-1]))
+                    ends = pa.array(np.append(starts, len(share)).astype(np.int32))
+                    phrases = pa.ListArray.from_arrays(ends, pa.array([p for _, p in x], pa.string()).take(pa.array(order)))
+                    yield pa.RecordBatch.from_arrays([pa.array(share[starts]), pa.array([lang] * len(starts), pa.string()), phrases, pa.ListArray.from_arrays(ends, pa.array(n[lang][order]))], ["share", "lang", "phrase", "f"])
+            for x in (held, own, seen):
+                x.clear()
+
+        for block in slices(batches, "text", BLOCK):
+            runs = Runs(block.column("text"), block.column("lang"), cells)
+            langs, low = block.column("lang").to_pylist(), LOWER[runs.raw].tobytes()
+            for n, keys, places in passing_runs(runs, few, many):
+                for key, i in zip(keys.tolist(), places.tolist(), strict=True):
+                    if key not in seen:  # of any language, as keys are salted by it
+                        seen.add(key)
+                        own.setdefault(langs[runs.row[i]], {})[key] = b" ".join([low[runs.first[j] : runs.last[j]] for j in range(i, i + n)]).decode()
+            held.append(block)
+            if sum(b.column("text").nbytes for b in held) > PART or len(seen) > patterns:
+                yield from told()
+        yield from told()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if held:
+                rows = pa.Table.from_batches(held)
+                held.clear()
+                size = pc.list_value_length(rows["f"]).to_numpy()
+                lang = rows["lang"].take(pa.array(np.repeat(np.arange(rows.num_rows), size)))
+                sums = pa.table({"lang": lang, "phrase": pc.list_flatten(rows["phrase"]), "f": pc.list_flatten(rows["f"])}).group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+                yield from sums.filter(pc.greater_equal(sums["f_sum"], least)).rename_columns({"f_sum": "f"}).select(["lang", "phrase", "f"]).to_batches()
+
+        share = None
+        for batch in batches:
+            own = batch.column("share").to_numpy()
+            starts = [*(np.flatnonzero(np.append([True], own[1:] != own[:-1])).tolist() if len(own) else []), len(own)]
+            for a, b in zip(starts, starts[1:], strict=False):
+                if own[a] != share:
+                    yield from told()
+                    share = own[a]
+                held.append(batch.slice(a, b - a))
+        yield from told()
+
+    told = docs.mapInArrow(scan, "share int, lang string, phrase array<string>, f array<long>")
+    return told.repartition("share").sortWithinPartitions("share").mapInArrow(add, "lang string, phrase string, f long")
 
 
 def scored(counts: DataFrame, totals: DataFrame, least: int) -> DataFrame:
@@ -328,8 +366,7 @@ def mine(docs: DataFrame, least: int = 100, most: int = 2000, cells: int = CELLS
         return [runs.cells(n, places[n]) for n in range(3, LONGEST + 1)]
 
     second = scratch.keep(passing_cells(own, least, cells, long_runs).where("cell is not null"), "long")
-    found = scratch.keep(candidates(own, short, bitmap(second, cells), cells, scratch), "candidates")
     totals = first.where("cell is null").select("lang", "n")
-    counts = counted(own, found, scratch, patterns)
+    counts = scratch.keep(counted(own, short, bitmap(second, cells), cells, least, patterns), "counts")
     some = scratch.keep(scored(counts, totals, least), "scored")
     return ranked(outermost(some), most).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

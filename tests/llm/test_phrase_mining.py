@@ -77,6 +77,18 @@ def test_equals_plain_counting(spark, cells, patterns):
     assert sorted(map(tuple, got.collect())) == plain(rows, 6, 50)
 
 
+def test_texts_are_scanned_once(spark, monkeypatch):
+    """Tables are written as often for many groups of candidates as for one, and parts of a task's texts change no count."""
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    told, keep = [], P.Scratch.keep
+    monkeypatch.setattr(P.Scratch, "keep", lambda self, df, label: told.append(label) or keep(self, df, label))
+    for name, size in (("BLOCK", 300), ("PART", 900), ("HELD", 500)):
+        monkeypatch.setattr(P, name, size)
+    assert sorted(map(tuple, P.mine(docs, least=6, most=50, patterns=7).collect())) == plain(rows, 6, 50)
+    assert len(told) <= 4
+
+
 def test_sketch_leaves_candidates_out(spark):
     docs = spark.createDataFrame(corpus(), "lang string, text string").selectExpr("coalesce(lang, 'und') AS lang", "text")
     cells = P.passing_cells(docs, 6, 1 << 27, lambda r: [r.cells(1, np.arange(len(r.hash))), r.cells(2, np.flatnonzero(r.same(2)))])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +23,9 @@ PERMUTATIONS = 10
 WEIGHTS = {f: ((7 * i) % 11 - 5) / (100.0 if f in ("seq_len", "stem_pairing_score", "stem_polyT_interaction", "stem_polyT_coupling") else 10.0) for i, f in enumerate(FEATURES)}
 
 
-def stand_in(c: dict[str, Column]) -> Column:
+def stand_in(c: dict[str, Column | np.ndarray]) -> Column | np.ndarray:
     """A fixed linear scorer over all descriptors, in place of a trained model."""
-    total = F.lit(0.0)
+    total = 0.0
     for f, w in WEIGHTS.items():
         total = total + w * c[f]
     return total

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from helixmill.functions import statistics
@@ -27,6 +29,26 @@ def test_deltas_in_parts(spark, monkeypatch):
     assert told(run()) == whole
 
 
+def test_conditions_in_batches(spark, monkeypatch):
+    """Shuffled rows of a few groups at a time are on disk; a batch is one packed shuffle, and all are equal to plain permutations."""
+    r = np.random.default_rng(9)
+    rows = [(k, k % 2, *(None if k == 7 and c == 1 else float(v) for c, v in enumerate(r.normal(size=3)))) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, fold int, y double, a double, b double")
+    done = []
+    monkeypatch.setattr(importance, "kept", lambda df, name, **k: done.append((name, k)) or kept(df, name, **k))
+    monkeypatch.setattr(importance, "BATCH_ROWS", 600)
+    monkeypatch.setattr(importance, "SHUFFLE_ROWS", 40)
+    groups = {"a": ["a"], "b": ["b"], "ba": ["b", "a"]}
+    got = {(q.fold, q.group, q.permutation): q.delta for q in importance.permutation_deltas(df, "id", "fold", groups, lambda c: 3 * c["a"] - c["b"], ["a", "b"], "y", 2, 5).collect()}
+    assert done.count(("errors", {"clean": True})) == 3 and len(got) == 12
+    for (fold, group, p), delta in got.items():
+        own = [q for q in rows if q[1] == fold]
+        mixed = sorted(own, key=lambda q: hashlib.md5(f"5|{group}|{p}|{q[0]}".encode()).digest())
+        pick = lambda q, m: (q[2], m[3] if "a" in group else q[3], m[4] if "b" in group else q[4])
+        rmse = lambda told: np.sqrt(np.mean([(y - (3 * a - b)) ** 2 for y, a, b in told if None not in (y, a, b)]))
+        assert delta == pytest.approx(rmse(map(pick, own, mixed)) - rmse(map(pick, own, own)), abs=1e-12)
+
+
 def test_cells_not_rows_are_met(spark, monkeypatch):
     """What is known of cells isn't copied to queries, and a point that is no number hides no other."""
     r = np.random.default_rng(4)
